@@ -113,14 +113,14 @@ def quantile_table(df: DataFrame, keys: list[str], value: str, probs: list[float
     per_bucket = placed.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_m"), F.first("_total").alias("_total"))
     w = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     located = per_bucket.withColumn("_end", F.sum("_m").over(w)).withColumn("_start", F.col("_end") - F.col("_m"))
-    wanted = F.array(*[F.struct(F.lit(p).alias("prob"), (F.col("_total") - 1) * F.lit(p)) for p in probs])
+    wanted = F.array(*[F.struct(F.lit(p).alias("prob"), ((F.col("_total") - 1) * F.lit(p)).alias("at")) for p in probs])
     ranks = F.transform(
         wanted,
         lambda t: F.struct(
             t["prob"].alias("prob"),
-            F.floor(t[1]).alias("low"),
-            F.ceil(t[1]).alias("high"),
-            (t[1] - F.floor(t[1])).alias("part"),
+            F.floor(t["at"]).alias("low"),
+            F.ceil(t["at"]).alias("high"),
+            (t["at"] - F.floor(t["at"])).alias("part"),
         ),
     )
     located = located.withColumn("_ranks", ranks)

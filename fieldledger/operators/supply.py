@@ -470,3 +470,15 @@ def recovered_strata(strata: DataFrame, sample: DataFrame, h: float) -> DataFram
         (F.col("price") * F.exp(-F.col("m_unit") + F.pow("s_unit", 2) / 2)).alias("mu_return"),
     )
     return unconditional(with_scalars(strata, facts), h, "m_full", "s_full")
+
+
+def forecast_difference(df: DataFrame) -> DataFrame:
+    """Absolute and percentage difference of ``forecast`` from ``actual``."""
+    diff = F.col("forecast") - F.col("actual")
+    return df.withColumns({"diff": diff, "diff_pct": 100 * ratio(diff, "actual")})
+
+
+def calibrate_population(df: DataFrame) -> DataFrame:
+    """Farms needed for the supply of one farm (million tons) to add up to the recorded output (kg)."""
+    return df.withColumn("n_farms", ratio(F.col("output") * F.col("rain_factor") * 1e-9, "supply"))
+
