@@ -1,7 +1,13 @@
-"""Normal and lognormal functions as Column expressions (Spark SQL has no ``erf``)."""
+"""Normal and lognormal functions (Spark SQL has no ``erf``).
+
+The distribution function is rendered once as SQL text: a parsed expression costs the driver far less
+than building the same tree call by call, and the text also serves the SQL twins of the queries. The
+arguments are therefore SQL expressions, best plain column names since they are repeated.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -34,43 +40,51 @@ HART_TAIL_START = 7.07106781186547
 SQRT_2PI = 2.5066282746310002
 
 
-def _horner(coefs: list[float], x: Column) -> Column:
-    return reduce(lambda acc, c: acc * x + F.lit(c), coefs[1:], F.lit(coefs[0]))
+Literal = Callable[[float], str]
+
+
+def spark_double(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
+def _horner(coefs: list[float], x: str, lit: Literal) -> str:
+    return reduce(lambda acc, c: f"({acc} * {x} + {lit(c)})", coefs[1:], lit(coefs[0]))
+
+
+def pdf_text(z: str, lit: Literal = spark_double) -> str:
+    return f"(exp(-({z}) * ({z}) / 2) / {lit(SQRT_2PI)})"
 
 
-def norm_pdf(z: Column | str) -> Column:
-    z = as_col(z)
-    return F.exp(-z * z / 2) / F.lit(SQRT_2PI)
+def cdf_text(z: str, lit: Literal = spark_double) -> str:
+    """Standard normal distribution function of an SQL expression, absolute error about 1e-16."""
+    x, density = f"abs({z})", f"exp(-({z}) * ({z}) / 2)"
+    body = f"{density} * {_horner(HART_NUMERATOR, x, lit)} / {_horner(HART_DENOMINATOR, x, lit)}"
+    fraction = reduce(lambda acc, k: f"({x} + {lit(k)} / {acc})", (4, 3, 2, 1), f"({x} + {lit(0.65)})")
+    far = f"{density} / ({fraction} * {lit(SQRT_2PI)})"
+    tail = f"(CASE WHEN {x} < {lit(HART_TAIL_START)} THEN {body} ELSE {far} END)"
+    return f"(CASE WHEN ({z}) > 0 THEN {lit(1)} - {tail} ELSE {tail} END)"
 
 
-def _upper_tail(x: Column) -> Column:
-    """P(Z > x) for x >= 0."""
-    dens = F.exp(-x * x / 2)
-    body = dens * _horner(HART_NUMERATOR, x) / _horner(HART_DENOMINATOR, x)
-    frac = reduce(lambda acc, k: x + F.lit(float(k)) / acc, (4, 3, 2, 1), x + F.lit(0.65))
-    return F.when(x < F.lit(HART_TAIL_START), body).otherwise(dens / (frac * F.lit(SQRT_2PI)))
+def norm_pdf(z: str) -> Column:
+    return F.expr(pdf_text(z))
 
 
-def norm_cdf(z: Column | str) -> Column:
-    """Standard normal distribution function, absolute error about 1e-16."""
-    z = as_col(z)
-    tail = _upper_tail(F.abs(z))
-    return F.when(z > 0, F.lit(1.0) - tail).otherwise(tail)
+def norm_cdf(z: str) -> Column:
+    return F.expr(cdf_text(z))
 
 
-def inverse_mills(z: Column | str) -> Column:
+def inverse_mills(z: str) -> Column:
     """Density over distribution function, the mean shift of an upper-truncated normal."""
-    return norm_pdf(z) / norm_cdf(z)
+    return F.expr(f"{pdf_text(z)} / {cdf_text(z)}")
 
 
-def lognormal_pdf(x: Column | str, m: Column | float, s: Column | float) -> Column:
-    x = as_col(x)
-    return F.when(x > 0, norm_pdf((F.ln(x) - m) / s) / (x * s)).otherwise(F.lit(0.0))
+def lognormal_pdf(x: str, m: str, s: str) -> Column:
+    density = pdf_text(f"(ln({x}) - {m}) / {s}")
+    return F.expr(f"CASE WHEN {x} > 0 THEN {density} / ({x} * {s}) ELSE 0.0D END")
 
 
-def lognormal_cdf(x: Column | str, m: Column | float, s: Column | float) -> Column:
-    x = as_col(x)
-    return F.when(x > 0, norm_cdf((F.ln(x) - m) / s)).otherwise(F.lit(0.0))
+def lognormal_cdf(x: str, m: str, s: str) -> Column:
+    return F.expr(f"CASE WHEN {x} > 0 THEN {cdf_text(f'((ln({x}) - {m}) / {s})')} ELSE 0.0D END")
 
 
 def lognormal_mean(m: Column | str, s: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.functions.nulls import ratio
-from fieldledger.operators.joins import dimension_join, semi_join, with_scalars
+from fieldledger.operators.joins import dimension_join, with_scalars
 
 
 def sum_safe(c: str | Column) -> Column:
@@ -75,7 +75,8 @@ def share_of_group(df: DataFrame, keys: list[str], value: str, name: str) -> Dat
 def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key occurs more than once, with the number of occurrences."""
     repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
-    return dimension_join(df, repeated, keys)
+    counts = repeated.select(*keys, F.col("n_rows").alias("_n"))
+    return dimension_join(df, repeated, keys, counts=counts)
 
 
 def largest_cohort(df: DataFrame, key: str) -> DataFrame:
@@ -92,20 +93,3 @@ def single_valued(df: DataFrame, keys: list[str], col: str) -> DataFrame:
         .filter(F.col("lowest") != F.col("highest"))
     )
 
-
-__all__ = [
-    "condition_rate",
-    "duplicate_rows",
-    "group_mean",
-    "group_share",
-    "group_sum",
-    "largest_cohort",
-    "mixed_rollup",
-    "ratio_of_sums",
-    "semi_join",
-    "share_of_group",
-    "single_valued",
-    "sum_safe",
-    "summarise_all",
-    "with_subtotal",
-]

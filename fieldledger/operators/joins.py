@@ -44,26 +44,42 @@ def left_join_chain(first: DataFrame, others: list[DataFrame]) -> DataFrame:
 
 
 def dimension_join(
-    fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS
+    fact: DataFrame,
+    dim: DataFrame,
+    keys: list[str],
+    how: str = "inner",
+    max_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Join to a table with one row per key: broadcast if its counted size allows, else salted."""
-    if is_small(dim, max_rows):
+    """Join to a table with one row per key: broadcast if its counted size allows, else salted.
+
+    ``small`` passes on a size check already made; ``counts`` as for ``salted_join``.
+    """
+    if is_small(dim, max_rows) if small is None else small:
         return fact.join(F.broadcast(dim), keys, how)
-    return salted_join(fact, dim, keys, how)
+    return salted_join(fact, dim, keys, how, counts=counts)
 
 
 def salted_join(
-    fact: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", salts: int = 64, hot_share: float = 0.002
+    fact: DataFrame,
+    dim: DataFrame,
+    keys: list[str],
+    how: str = "inner",
+    salts: int = 64,
+    hot_share: float = 0.002,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffle join with the rows of hot keys spread over ``salts`` tasks.
 
     A key is hot above ``hot_share`` of all fact rows, so there are at most ``1 / hot_share`` of them
     and their list is always small. The salt is a hash of the row, so a retried task repeats it.
+    ``counts`` gives the fact rows ``_n`` of each key where they are known already.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
-    per_key = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = per_key.agg(F.sum("_n").alias("n")).scalar()
+    per_key = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts
+    total = fact.agg(F.count(F.lit(1)).alias("n")).scalar()
     hot = per_key.filter(F.col("_n") > total * hot_share).select(*keys, F.lit(True).alias("_hot"))
     hot = F.broadcast(hot)
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns]), F.lit(salts)).cast("int")
@@ -87,10 +103,21 @@ def semi_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b.select(*keys).distinct(), keys, "left_semi")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over the cores when a scan yields too few partitions for costly per-row work.
+
+    A table with more partitions than there are cores is left as it is, so nothing large is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate as scalar subqueries (no join)."""
     row = one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("r")).scalar()
-    return df.withColumns({c: row.getField(c) for c in one_row.columns})
+    # one subquery in the plan, from which every column is taken
+    out = df.withColumn("_row", row)
+    return out.withColumns({c: F.col("_row").getField(c) for c in one_row.columns}).drop("_row")
 
 
 def grid_axis(start: float, stop: float, n: int):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldledger.functions.nulls import log_positive
 from fieldledger.functions.normal import lognormal_mean, lognormal_mode, lognormal_pdf, lognormal_power_mean
-from fieldledger.operators.joins import dimension_join, with_scalars
+from fieldledger.operators.joins import BROADCAST_ROWS, dimension_join, is_small, with_scalars
 
 
 def group_moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -85,30 +85,30 @@ def density_overlay(df: DataFrame, keys: list[str], value: str, bins: int) -> Da
     return out.withColumns(
         {
             "density": F.col("n") / (F.col("n_fit") * F.col("width")),
-            "fitted": lognormal_pdf("mid", F.col("m"), F.col("s")),
+            "fitted": lognormal_pdf("mid", "m", "s"),
         }
     )
 
 
-def quantile_table(df: DataFrame, keys: list[str], value: str, probs: list[float], splits: int = 1000) -> DataFrame:
+def quantile_table(df: DataFrame, keys: list[str], value: str, probs: list[float], slack: float = 2e-4) -> DataFrame:
     """Exact interpolated quantiles (the convention of R's default) without gathering a group.
 
-    Approximate split points cut every group into many buckets; bucket counts locate the buckets
-    that hold the wanted ranks, and only the values in those are ranked. Equal values are counted
-    together first, so ties do not pile up. The split points steer the work and never the result.
+    Approximate quantiles just below and above each wanted one cut every group into buckets, of which
+    those holding the wanted ranks are narrow. Bucket counts locate the ranks, and only the values in
+    those buckets are ranked. Equal values are counted together first, so ties do not pile up. The cuts
+    steer the work and never the result: whatever they are, the ranks are counted exactly.
     """
-    counts = (
-        df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ).withColumnRenamed(value, "_v")
-    marks = [i / splits for i in range(1, splits)]
     group = keys or ["_all"]
-    base = counts if keys else counts.withColumn("_all", F.lit(1))
-    cuts = base.groupBy(*group).agg(
-        F.array_distinct(F.percentile_approx("_v", marks, 10 * splits)).alias("_cuts"),
-        F.sum("_n").alias("_total"),
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    rows = rows if keys else rows.withColumn("_all", F.lit(1))
+    marks = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-slack, slack)})
+    cuts = rows.groupBy(*group).agg(
+        F.percentile_approx("_v", marks, 10_000).alias("_cuts"), F.count(F.lit(1)).alias("_total")
     )
-    # bucket = number of split points at or below the value, by binary search in the array
-    placed = dimension_join(base, cuts, group).withColumn("_bucket", _bucket_of("_cuts", "_v", splits))
+    counts = rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # a group needs at most two buckets per probability, so one size check covers both joins
+    small = is_small(cuts, BROADCAST_ROWS // (2 * len(probs)))
+    placed = dimension_join(counts, cuts, group, small=small).withColumn("_bucket", _bucket_of("_cuts", "_v", len(marks)))
     placed = placed.drop("_cuts")
     per_bucket = placed.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_m"), F.first("_total").alias("_total"))
     w = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -130,7 +130,7 @@ def quantile_table(df: DataFrame, keys: list[str], value: str, probs: list[float
         | ((r["high"] >= F.col("_start")) & (r["high"] < F.col("_end"))),
     )
     needed = located.filter(holds).select(*group, "_bucket", "_start", "_ranks")
-    inside = dimension_join(placed.drop("_total"), needed, [*group, "_bucket"])
+    inside = dimension_join(placed.drop("_total"), needed, [*group, "_bucket"], small=small)
     w2 = (
         Window.partitionBy(*group, "_bucket")
         .orderBy("_v")
@@ -157,7 +157,7 @@ def quantile_table(df: DataFrame, keys: list[str], value: str, probs: list[float
 
 def _bucket_of(cuts: str, value: str, splits: int):
     """Number of sorted split points at or below the value: bisection with a fixed number of steps."""
-    steps = max(1, splits.bit_length() + 1)
+    steps = splits.bit_length() + 1
     start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
 
     def halve(acc, _):

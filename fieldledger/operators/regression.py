@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fieldledger.functions.linear import linear_score
 from fieldledger.functions.nulls import ratio
 from fieldledger.operators.joins import dimension_join, with_scalars
+from fieldledger.operators.lineage import materialise
 from fieldledger.operators.moments import correlation_matrix
 
 
@@ -23,9 +24,9 @@ def ols_fit(df: DataFrame, y: str, xs: list[str], intercept: bool = True) -> Dat
     Columns that do not vary or repeat another column make the normal equations singular and are
     dropped beforehand, as R drops aliased terms.
     """
-    complete = df.select(y, *xs).dropna("any")
+    complete = df.select(y, *xs).dropna("any").persist()
     kept = independent_columns(complete, xs, intercept)
-    vec = VectorAssembler(inputCols=kept, outputCol="features").transform(complete).persist()
+    vec = VectorAssembler(inputCols=kept, outputCol="features").transform(complete)
     model = LinearRegression(
         featuresCol="features", labelCol=y, fitIntercept=intercept, solver="normal", regParam=0.0
     ).fit(vec)
@@ -36,7 +37,7 @@ def ols_fit(df: DataFrame, y: str, xs: list[str], intercept: bool = True) -> Dat
         (t, float(b), float(se), float(p), int(s.numInstances), float(s.r2), float(s.r2adj))
         for t, b, se, p in zip(terms, estimates, s.coefficientStandardErrors, s.pValues)
     ]
-    vec.unpersist()
+    complete.unpersist()
     schema = "term string, estimate double, std_error double, p_value double, n long, r2 double, r2_adj double"
     return df.sparkSession.createDataFrame(rows, schema)
 
@@ -249,11 +250,10 @@ def varimax(loadings: np.ndarray, iterations: int = 1000, tol: float = 1e-10) ->
 def logistic_fit(df: DataFrame, y: str, x: str) -> DataFrame:
     """Logistic curve through a share ``y`` in [0, 1] against ``x``."""
     vec = VectorAssembler(inputCols=[x], outputCol="features").transform(df.select(y, x).dropna("any"))
-    vec = vec.persist()  # each reweighting step reads the points again
+    vec = materialise(vec)  # each reweighting step reads the points again
     model = GeneralizedLinearRegression(
         family="binomial", link="logit", featuresCol="features", labelCol=y, maxIter=100
     ).fit(vec)
-    vec.unpersist()
     rows = [("(intercept)", float(model.intercept)), (x, float(model.coefficients[0]))]
     return df.sparkSession.createDataFrame(rows, "term string, estimate double")
 

@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldledger.functions.linear import linear_score, masked_dot
-from fieldledger.functions.normal import lognormal_power_mean, norm_cdf, norm_pdf
+from fieldledger.functions.normal import lognormal_power_mean, norm_cdf, norm_pdf, spark_double
 from fieldledger.functions.nulls import as_col, log_positive, ratio
 from fieldledger.operators.joins import with_grid, with_levels, with_scalars
+from fieldledger.operators.lineage import materialise
 from fieldledger.operators.truncation import untruncate_upper
 
 # Rainfall relative to the benchmark in the supply curve.
@@ -29,13 +30,19 @@ def eta_of(h: float) -> float:
     return h / (1 - h)
 
 
+def control_moments(coefs: dict[str, float]) -> tuple[Column, Column]:
+    """Aggregates for the mean and deviation of the summed, independent logged controls."""
+    mean = sum((F.avg(F.col(c) * F.lit(b)) for c, b in coefs.items()), F.lit(0.0))
+    var = sum((F.var_samp(F.col(c) * F.lit(b)) for c, b in coefs.items()), F.lit(0.0))
+    return mean, F.sqrt(var)
+
+
 def product_lognormal_mean(df: DataFrame, coefs: dict[str, float], keys: list[str] | None = None) -> DataFrame:
     """Mean of a product of independent lognormal controls: ``mk, sk, mu_k`` from one aggregate."""
-    mk = sum((F.avg(F.col(c) * F.lit(b)) for c, b in coefs.items()), F.lit(0.0))
-    var = sum((F.var_samp(F.col(c) * F.lit(b)) for c, b in coefs.items()), F.lit(0.0))
+    mk, sk = control_moments(coefs)
     return (
         df.groupBy(*(keys or []))
-        .agg(mk.alias("mk"), F.sqrt(var).alias("sk"))
+        .agg(mk.alias("mk"), sk.alias("sk"))
         .withColumn("mu_k", lognormal_power_mean("mk", "sk", F.lit(1.0)))
     )
 
@@ -43,30 +50,54 @@ def product_lognormal_mean(df: DataFrame, coefs: dict[str, float], keys: list[st
 def strata_table(farms: DataFrame, controls: dict[str, float], h: float) -> DataFrame:
     """One row per endowment label, ordered by ``v``, plus a ``Sample`` row of the same layout.
 
-    ``farms`` has ``label, log_v, log_cost, yield`` and the logged controls.
+    ``farms`` has ``label, log_v, log_cost, yield, area`` and the logged controls. One grouping-sets pass
+    gives the labels and the whole sample; the few resulting rows are kept, since what follows reads
+    them several times. ``price`` is the highest implicit unit expenditure of the row's farms.
     """
-    base = with_scalars(
-        farms.withColumns({"v": F.exp("log_v"), "k": F.exp(linear_score(controls))}),
-        product_lognormal_mean(farms, controls),
+    score = linear_score(controls)
+    base = farms.select(
+        "label",
+        "log_cost",
+        "yield",
+        "area",
+        *controls,
+        F.exp("log_v").alias("v"),
+        F.exp(score).alias("k"),
+        F.exp((1 - h) * F.col("log_cost") - score - F.col("log_v")).alias("unit"),
     )
-    measures = [
+    mk, sk = control_moments(controls)
+    rows = base.groupingSets([[F.col("label")], []], F.col("label")).agg(
+        F.grouping("label").alias("_all"),
+        F.avg("v").alias("_mean_v"),
+        F.max("v").alias("_v"),
         F.avg("log_cost").alias("m_cost"),
         F.stddev_samp("log_cost").alias("s_cost"),
         F.avg("yield").alias("mean_yield"),
         F.avg("k").alias("mean_k"),
+        F.avg("area").alias("mean_area"),
+        F.max("unit").alias("price"),
         F.count(F.lit(1)).alias("n"),
-        *[F.first(c).alias(c) for c in ("mk", "sk", "mu_k")],
-    ]
-    by_label = base.groupBy("label").agg(F.max("v").alias("v"), *measures)
+        mk.alias("_mk"),
+        sk.alias("_sk"),
+    )
+    rows = materialise(rows)
+    whole = F.col("_all") == 1
+    sample = rows.filter(whole).select(F.col("_mk").alias("mk"), F.col("_sk").alias("sk"), F.col("n").alias("_total"))
     # as many rows as there are combinations of the 0/1 endowments
-    order = Window.orderBy("v", "label")
-    by_label = by_label.withColumn("stratum", F.row_number().over(order).cast("string"))
-    whole = base.agg(F.avg("v").alias("v"), *measures).withColumns(
-        {"label": F.lit("Sample"), "stratum": F.lit("All")}
+    order = F.row_number().over(Window.partitionBy("_all").orderBy("v", "label"))
+    out = (
+        with_scalars(rows, sample)
+        .withColumn("v", F.when(whole, F.col("_mean_v")).otherwise(F.col("_v")))
+        .withColumns(
+            {
+                "mu_k": lognormal_power_mean("mk", "sk", F.lit(1.0)),
+                "frac": F.col("n") / F.col("_total"),
+                "stratum": F.when(whole, F.lit("All")).otherwise(order.cast("string")),
+                "label": F.when(whole, F.lit("Sample")).otherwise(F.col("label")),
+            }
+        )
     )
-    total = farms.agg(F.count(F.lit(1)).alias("n_total"))
-    both = with_scalars(by_label.unionByName(whole), total)
-    return _with_unit_cost(both.withColumn("frac", F.col("n") / F.col("n_total")).drop("n_total"), h)
+    return _with_unit_cost(out.drop("_all", "_mean_v", "_v", "_mk", "_sk", "_total"), h)
 
 
 def _with_unit_cost(df: DataFrame, h: float) -> DataFrame:
@@ -89,8 +120,7 @@ def market_table(farms: DataFrame, keys: list[str], controls: dict[str, float],
     """The sample row per market, with the highest unit expenditure as the market's price ceiling."""
     unit = F.exp((1 - h) * F.col("log_cost") - linear_score(controls) - F.col("log_v"))
     base = farms.withColumns({"v": F.exp("log_v"), "unit": unit})
-    mk = sum((F.avg(F.col(c) * F.lit(b)) for c, b in controls.items()), F.lit(0.0))
-    vk = sum((F.var_samp(F.col(c) * F.lit(b)) for c, b in controls.items()), F.lit(0.0))
+    mk, sk = control_moments(controls)
     out = (
         base.groupBy(*keys)
         .agg(
@@ -101,7 +131,7 @@ def market_table(farms: DataFrame, keys: list[str], controls: dict[str, float],
             F.max("unit").alias("price"),
             F.avg("area").alias("mean_area"),
             mk.alias("mk"),
-            F.sqrt(vk).alias("sk"),
+            sk.alias("sk"),
         )
         .withColumn("mu_k", lognormal_power_mean("mk", "sk", F.lit(1.0)))
     )
@@ -129,10 +159,9 @@ def unconditional(table: DataFrame, h: float, m: str = "m", s: str = "s") -> Dat
 
 def truncation_rates(table: DataFrame, h: float, price: str = "price") -> DataFrame:
     """Employment rate and adjusted probability of profit at a price."""
-    z = (F.ln(price) - F.col("m")) / F.col("s")
-    return table.withColumns(
-        {"employment_rate": norm_cdf(z), "prob_profit": norm_cdf(z - eta_of(h) * F.col("s"))}
-    )
+    at = (F.ln(price) - F.col("m")) / F.col("s")
+    out = table.withColumn("_at", at).withColumn("_z", F.col("_at") - eta_of(h) * F.col("s"))
+    return out.withColumns({"employment_rate": norm_cdf("_at"), "prob_profit": norm_cdf("_z")}).drop("_at", "_z")
 
 
 def supply_curve(markets: DataFrame, h: float, n_farms: float, kappa_rain: float, lo: float, hi: float, n: int):
@@ -141,14 +170,7 @@ def supply_curve(markets: DataFrame, h: float, n_farms: float, kappa_rain: float
     The grid runs over multiples of each market's ``price``.
     """
     g = with_grid(markets, "fraction", lo, hi, n).withColumn("p", F.col("fraction") * F.col("price"))
-    z = (F.ln("p") - F.col("m")) / F.col("s") - eta_of(h) * F.col("s")
-    g = g.withColumns(
-        {
-            "prob_profit": norm_cdf(z),
-            "elasticity": ratio(norm_pdf(z), norm_cdf(z)) / F.col("s"),
-            "employment_rate": norm_cdf((F.ln("p") - F.col("m")) / F.col("s")),
-        }
-    )
+    g = _profit_columns(g, F.lit(eta_of(h)))
     levels = F.array(
         *[F.struct(F.lit(k).alias("rainfall"), F.lit(r**kappa_rain).alias("rain_factor")) for k, r in RAINFALL.items()]
     )
@@ -187,12 +209,12 @@ def supply_with_risk(
     power = kappa_rain * eta / h
     out = g.withColumns({"p": p, "z": z}).withColumns(
         {
-            "participation": norm_cdf(-F.col("z")),
+            "participation": norm_cdf("-z"),
             "base": F.col("mean_area") * n_farms * F.col("mu_y") * F.pow("fraction", F.lit(eta)) * 1e-9,
         }
     )
     base = F.col("base") * F.col("participation")
-    hazard = ratio(norm_pdf(-F.col("z")), F.col("participation"))
+    hazard = ratio(norm_pdf("-z"), F.col("participation"))
     return out.withColumns(
         {
             "supply": base,
@@ -208,15 +230,15 @@ def homogeneity_sensitivity(markets: DataFrame, levels: list[float], lo: float,
     """Employment rate, profit probability and elasticity on a price grid for several ``h``."""
     g = with_levels(with_grid(markets, "fraction", lo, hi, n), "h", [float(x) for x in levels])
     g = g.withColumns({"p": F.col("fraction") * F.col("price"), "eta": F.col("h") / (1 - F.col("h"))})
+    return _profit_columns(g, F.col("eta"))
+
+
+def _profit_columns(g: DataFrame, eta: Column) -> DataFrame:
+    """Employment rate, profit probability and price elasticity at the row's price ``p``."""
     at = (F.ln("p") - F.col("m")) / F.col("s")
-    z = at - F.col("eta") * F.col("s")
-    return g.withColumns(
-        {
-            "employment_rate": norm_cdf(at),
-            "prob_profit": norm_cdf(z),
-            "elasticity": ratio(norm_pdf(z), norm_cdf(z)) / F.col("s"),
-        }
-    )
+    g = g.withColumn("_at", at).withColumn("_z", F.col("_at") - eta * F.col("s"))
+    g = g.withColumns({"employment_rate": norm_cdf("_at"), "prob_profit": norm_cdf("_z")})
+    return g.withColumn("elasticity", ratio(norm_pdf("_z"), "prob_profit") / F.col("s")).drop("_at", "_z")
 
 
 def adoption_ceiling(h: float, subsidy: Column, dln_nu: Column, dln_g: float) -> Column:
@@ -302,24 +324,30 @@ def _impact(
             "_net": for_welfare + dln_g,
             "_net_h": dln_nu_h + dln_g,
         }
-    ).withColumn("_z", (F.ln("ceiling") - F.col("m_c")) / F.col("s_c"))
+    )
+    out = out.withColumns(
+        {
+            "_z": (F.ln("ceiling") - F.col("m_c")) / F.col("s_c"),
+            "_z_all": (F.ln("ceiling") - F.col("m_c_all")) / F.col("s_c"),
+        }
+    )
     farms = F.col("frac") * n_farms * F.col("mean_area")
     rate = norm_cdf("_z")
-    gain = F.col("mu_c_all") * norm_cdf(F.col("_z") - F.col("s_c")) - F.col("ceiling") * rate
+    gain = F.col("mu_c_all") * norm_cdf("(_z - s_c)") - F.col("ceiling") * rate
     return out.withColumns(
         {
             "adoption_rate": rate,
-            "adoption_all": norm_cdf((F.ln("ceiling") - F.col("m_c_all")) / F.col("s_c")),
+            "adoption_all": norm_cdf("_z_all"),
             "subsidy_cost": farms * F.col("subsidy") * rate * 1e-6,
             "welfare_change": farms * F.col("_net") * F.col("mu_return") * F.col("employment_rate") * gain * 1e-6,
             "supply_change": farms
             * F.col("mu_y")
             * F.col("_net_h")
             / (1 - h)
-            * norm_cdf(F.col("_z") - h * F.col("s_c"))
+            * norm_cdf(f"(_z - {spark_double(h)} * s_c)")
             * 1e-6,
         }
-    ).drop("_net", "_net_h", "_z")
+    ).drop("_net", "_net_h", "_z", "_z_all")
 
 
 def shift_supply(curve: DataFrame, supply: str, change: DataFrame) -> DataFrame:
@@ -379,16 +407,21 @@ def cobb_douglas(
     )
 
 
-def supply_scale(h: float, a0: float, bx: Column, m: Column, s: Column) -> Column:
-    """Participation-adjusted mean of the budget multiplier's power in the closed-form supply."""
+def supply_scale(h: float, a0: float) -> Column:
+    """Participation-adjusted mean of the budget multiplier's power in the closed-form supply.
+
+    Reads ``bx, m_lambda, s_lambda`` of the row.
+    """
     eta = eta_of(h)
-    inside = norm_cdf(-(F.lit(log(h)) - m) / s - eta * s)
-    return F.exp(-eta * m + eta**2 * s * s / 2) * inside * F.pow(F.lit(exp(a0)) * bx, F.lit(1 / (1 - h)))
+    m, s = F.col("m_lambda"), F.col("s_lambda")
+    z = f"((m_lambda - ({spark_double(log(h))})) / s_lambda - {spark_double(eta)} * s_lambda)"
+    scale = F.exp(-eta * m + eta**2 * s * s / 2) * norm_cdf(z)
+    return scale * F.pow(F.lit(exp(a0)) * F.col("bx"), F.lit(1 / (1 - h)))
 
 
 def market_supply(h: float, a0: float, price: Column) -> Column:
     """Quantity supplied at a price from ``n_s, bx, mu_bk, m_lambda, s_lambda`` of the row."""
-    scale = supply_scale(h, a0, F.col("bx"), F.col("m_lambda"), F.col("s_lambda"))
+    scale = supply_scale(h, a0)
     return F.col("n_s") * scale * F.pow(F.col("mu_bk") * F.pow(price, F.lit(h)), F.lit(1 / (1 - h)))
 
 
@@ -399,7 +432,7 @@ def market_demand(price: Column, eta_d: float, scale: Column) -> Column:
 def market_equilibrium(markets: DataFrame, h: float, a0: float, eta_d: float) -> DataFrame:
     """Equilibrium price and quantity per market; the row's ``demand_factor`` scales demand."""
     gap = eta_of(h) - eta_d
-    denom = F.col("n_s") * supply_scale(h, a0, F.col("bx"), F.col("m_lambda"), F.col("s_lambda")) * F.col("mu_bk")
+    denom = F.col("n_s") * supply_scale(h, a0) * F.col("mu_bk")
     factor = F.col("demand_factor")
     return markets.withColumn("_d", denom).withColumns(
         {
@@ -444,21 +477,23 @@ def comparative_statics(markets: DataFrame, eta_d: float, fixed_cost: float = 0.
 def participation_supply(markets: DataFrame, h: float, price: Column) -> DataFrame:
     """Participants and supply when the level has mean ``mu`` and deviation ``sig`` (lognormal)."""
     s2 = F.ln(F.pow(F.col("sig") / F.col("mu"), 2) + 1)
-    upper = F.lit(-eta_of(h) * log(h))
+    upper = spark_double(-eta_of(h) * log(h))
     out = markets.withColumns({"s_lvl": F.sqrt(s2), "m_lvl": F.ln("mu") - s2 / 2})
-    inside = norm_cdf((upper - F.col("m_lvl")) / F.col("s_lvl"))
+    inside = norm_cdf(f"(({upper} - m_lvl) / s_lvl)")
     return out.withColumn("participants", F.col("n_s") * inside).withColumn(
         "supply", F.exp(F.col("b") / (1 - h)) * F.pow(price, F.lit(eta_of(h))) * F.col("participants")
     )
 
 
-def recovered_strata(strata: DataFrame, sample: DataFrame, h: float) -> DataFrame:
+def recovered_strata(table: DataFrame, h: float) -> DataFrame:
     """Strata with unconditional moments: the sample row is untruncated and its moments used throughout.
 
-    ``sample`` is one row with ``m_unit, s_unit, price, mean_area``.
+    Takes the strata table and returns its strata without the sample row.
     """
+    is_sample = F.col("stratum") == "All"
+    sample = table.filter(is_sample)
+    strata = table.filter(~is_sample).drop("price", "mean_area")
     full = untruncate_upper(sample, "m_unit", "s_unit", "price")
-    z = (F.ln("price") - F.col("m")) / F.col("s")
     facts = unconditional(full, h).select(
         F.col("m").alias("m_full"),
         F.col("s").alias("s_full"),
@@ -466,9 +501,10 @@ def recovered_strata(strata: DataFrame, sample: DataFrame, h: float) -> DataFram
         F.col("m_c").alias("m_c_all"),
         "price",
         "mean_area",
-        norm_cdf(z).alias("employment_rate"),
+        norm_cdf("((ln(price) - m) / s)").alias("employment_rate"),
         (F.col("price") * F.exp(-F.col("m_unit") + F.pow("s_unit", 2) / 2)).alias("mu_return"),
     )
+    facts = materialise(facts)
     return unconditional(with_scalars(strata, facts), h, "m_full", "s_full")
 
 

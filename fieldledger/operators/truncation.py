@@ -13,41 +13,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.functions.normal import inverse_mills
+from fieldledger.functions.normal import Literal, cdf_text, pdf_text, spark_double
 
 Z_LOW, Z_HIGH, STEPS = -30.0, 37.0, 80
 # below this the distribution function is so small that z + r is taken from its continued fraction
 FRACTION_BELOW, FRACTION_TERMS = -5.0, 40
 
 
-def mean_gap(z: Column) -> Column:
+def mean_gap_text(z: str, lit: Literal = spark_double) -> str:
     """``z + pdf(z) / cdf(z)``, the distance of the cut from the truncated mean in units of s."""
-    x = -z
-    fraction = reduce(lambda acc, k: F.lit(float(k)) / (x + acc), range(FRACTION_TERMS, 0, -1), F.lit(0.0))
-    return F.when(z < FRACTION_BELOW, fraction).otherwise(z + inverse_mills(z))
-
-
-def standard_gap(z: Column) -> Column:
-    """Distance of the cut from the truncated mean in truncated standard deviations."""
-    gap = mean_gap(z)
-    return gap / F.sqrt(1 - (gap - z) * gap)
-
-
-def solve_cut(target: Column) -> Column:
-    """z whose ``standard_gap`` equals the target."""
-    start = F.struct(F.lit(Z_LOW).alias("lo"), F.lit(Z_HIGH).alias("hi"), target.alias("t"))
-
-    def halve(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / 2
-        below = standard_gap(mid) < acc["t"]
-        return F.struct(
-            F.when(below, mid).otherwise(acc["lo"]).alias("lo"),
-            F.when(below, acc["hi"]).otherwise(mid).alias("hi"),
-            acc["t"].alias("t"),
-        )
-
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, halve, lambda a: (a["lo"] + a["hi"]) / 2)
-    return F.when(target > 1, root)
+    fraction = reduce(lambda acc, k: f"({lit(k)} / (-{z} + {acc}))", range(FRACTION_TERMS, 0, -1), lit(0))
+    body = f"{z} + {pdf_text(z, lit)} / {cdf_text(z, lit)}"
+    return f"(CASE WHEN {z} < {lit(FRACTION_BELOW)} THEN {fraction} ELSE {body} END)"
+
+
+def solve_cut(target: str) -> Column:
+    """z whose gap in truncated standard deviations equals the target column."""
+    # one-element arrays bind the mid-point and its gap once per step
+    step = (
+        f"transform(array((a.lo + a.hi) / 2), z -> transform(array({mean_gap_text('z')}), g -> "
+        f"CASE WHEN g / sqrt(1 - (g - z) * g) < {target} THEN named_struct('lo', z, 'hi', a.hi) "
+        "ELSE named_struct('lo', a.lo, 'hi', z) END)[0])[0]"
+    )
+    start = f"named_struct('lo', {spark_double(Z_LOW)}, 'hi', {spark_double(Z_HIGH)})"
+    root = f"aggregate(sequence(1, {STEPS}), {start}, (a, i) -> {step}, a -> (a.lo + a.hi) / 2)"
+    return F.expr(f"CASE WHEN {target} > 1 THEN {root} END")
 
 
 def untruncate_upper(moments: DataFrame, m_bar: str, s_bar: str, cut: str) -> DataFrame:
@@ -61,11 +51,11 @@ def untruncate_lower(moments: DataFrame, m_bar: str, s_bar: str, cut: str) -> Da
 
 
 def _untruncate(moments: DataFrame, gap: Column, s_bar: str, cut: str, side: float) -> DataFrame:
-    target = F.try_divide(gap, F.col(s_bar))
-    # the root is materialised as a column once; the later columns only refer to it
-    solved = moments.withColumn("_gap", gap).withColumn("z", solve_cut(target))
+    # gap, ratio and root become columns one after another, so that none is expanded into the next
+    solved = moments.withColumn("_gap", gap).withColumn("_t", F.try_divide("_gap", s_bar))
+    solved = solved.withColumn("z", solve_cut("_t")).drop("_t")
     return (
-        solved.withColumn("s", F.col("_gap") / mean_gap(F.col("z")))
+        solved.withColumn("s", F.col("_gap") / F.expr(mean_gap_text("z")))
         .withColumn("m", F.ln(cut) - F.lit(side) * F.col("z") * F.col("s"))
         .drop("_gap")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldledger.operators.joins import spread
 from fieldledger.operators.text import LATEX_STRIP, MARKDOWN_STRIP, WORD, count_document_words
 from fieldledger.plans.registry import query
 from fieldledger.plans.views import table
@@ -31,7 +32,7 @@ counts AS (
         CAST(latex_words AS BIGINT) AS latex_words FROM counts""",
 )
 def document_word_count(spark, d):
-    counted = count_document_words(table(spark, d, "documents").select("doc_id", "text"))
+    counted = count_document_words(spread(table(spark, d, "documents").select("doc_id", "text")))
     return counted.select(
         "doc_id", F.col("markdown_words").cast("long").alias("markdown_words"),
         F.col("latex_words").cast("long").alias("latex_words"),
@@ -45,7 +46,7 @@ def document_word_count(spark, d):
         FROM counts GROUP BY source""",
 )
 def source_word_totals(spark, d):
-    counted = count_document_words(table(spark, d, "documents").select("source", "text"))
+    counted = count_document_words(spread(table(spark, d, "documents").select("source", "text")))
     return counted.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.sum(F.col("markdown_words").cast("long")).alias("markdown_words"),

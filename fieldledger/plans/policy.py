@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from math import exp, log
 
 from pyspark.sql import functions as F
 
@@ -13,15 +13,14 @@ from fieldledger.operators.joins import dimension_join, with_grid, with_levels,
 from fieldledger.operators.reshape import nearest_cell, pivot_measures
 from fieldledger.operators.series import season_drift
 from fieldledger.operators.truncation import (
-    FRACTION_BELOW,
-    FRACTION_TERMS,
     STEPS,
     Z_HIGH,
     Z_LOW,
+    mean_gap_text,
     untruncate_lower,
     untruncate_upper,
 )
-from fieldledger.plans.registry import query, rnd, sql_cdf, sql_log, sql_pdf
+from fieldledger.plans.registry import duck_double, query, rnd, sql_cdf, sql_log, sql_pdf
 from fieldledger.plans.views import (
     CONTROLS,
     DISTRICT_SQL,
@@ -98,8 +97,7 @@ def strata_table(spark, d):
 
 
 def _mean_gap_sql(z: str) -> str:
-    frac = reduce(lambda acc, k: f"({k}.0::DOUBLE / (-{z} + {acc}))", range(FRACTION_TERMS, 0, -1), "0.0::DOUBLE")
-    return f"(CASE WHEN {z} < {FRACTION_BELOW} THEN {frac} ELSE {z} + {sql_pdf(z)} / {sql_cdf(z)} END)"
+    return mean_gap_text(z, duck_double)
 
 
 def _solve_sql(source: str, key: str, out: str, side: int, cut: str, m_bar: str, s_bar: str) -> str:
@@ -193,11 +191,7 @@ st AS (
 
 def recovered(spark, d):
     """Strata with unconditional moments, without the sample row."""
-    rows = strata(spark, d)
-    unit = F.exp((1 - H) * F.col("log_cost") - linear_score(CONTROLS) - F.col("log_v"))
-    extra = farms(spark, d).agg(F.max(unit).alias("price"), F.avg("area").alias("mean_area"))
-    sample = with_scalars(rows.filter(F.col("stratum") == "All"), extra)
-    return P.recovered_strata(rows.filter(F.col("stratum") != "All"), sample, H)
+    return P.recovered_strata(strata(spark, d), H)
 
 
 UNCOND_DIGITS = {"m_c": 6, "s_c": 6, "mu_c": 2, "mu_c_h": 6, "mu_y": 5}
@@ -401,8 +395,8 @@ IMPACT_SQL = f"""{SAMPLE_SQL}, {_impact_sql(
 IMPACT_DIGITS = {"ceiling": 3, "adoption_rate": 8, "subsidy_cost": 2, "welfare_change": 2, "supply_change": 5}
 
 
-def impact(spark, d):
-    return P.intervention_impact(recovered(spark, d), H, SCENARIO, N_FARMS)
+def impact(rows):
+    return P.intervention_impact(rows, H, SCENARIO, N_FARMS)
 
 
 @query(
@@ -410,7 +404,7 @@ def impact(spark, d):
     f"WITH RECURSIVE {IMPACT_SQL} SELECT label, stratum, {_rounded_sql(IMPACT_DIGITS)} FROM impact",
 )
 def intervention_impact(spark, d):
-    return _round(impact(spark, d), IMPACT_DIGITS, "label", "stratum")
+    return _round(impact(recovered(spark, d)), IMPACT_DIGITS, "label", "stratum")
 
 
 TOTAL_DIGITS = {
@@ -441,15 +435,15 @@ def _total_sql(source: str, out: str, keys: list[str], subsidy: str, *extra: str
         SELECT {_rounded_sql(TOTAL_DIGITS)} FROM tot""",
 )
 def intervention_total(spark, d):
-    return _round(P.intervention_total(impact(spark, d), N_FARMS), TOTAL_DIGITS)
+    return _round(P.intervention_total(impact(recovered(spark, d)), N_FARMS), TOTAL_DIGITS)
 
 
-def _stratum_curve(spark, d):
-    g = with_grid(recovered(spark, d), "fraction", 0.1, 2.0, 20)
-    z = (F.ln(F.col("fraction") * F.col("price")) - F.col("m_full")) / F.col("s_full")
+def _stratum_curve(rows):
+    g = with_grid(rows, "fraction", 0.1, 2.0, 20)
+    z = (F.ln(F.col("fraction") * F.col("price")) - F.col("m_full")) / F.col("s_full") - ETA * F.col("s_full")
     from_stratum = F.col("frac") * F.col("mean_area") * N_FARMS * F.col("mu_y")
-    supply = from_stratum * norm_cdf(z - ETA * F.col("s_full")) * 1e-9
-    return g.groupBy("fraction").agg(F.sum(supply).alias("supply_mmt"))
+    supply = from_stratum * norm_cdf("z") * 1e-9
+    return g.withColumn("z", z).groupBy("fraction").agg(F.sum(supply).alias("supply_mmt"))
 
 
 @query(
@@ -462,7 +456,8 @@ def _stratum_curve(spark, d):
         FROM su, dq""",
 )
 def supply_curve_shift(spark, d):
-    shifted = P.shift_supply(_stratum_curve(spark, d), "supply_mmt", P.intervention_total(impact(spark, d), N_FARMS))
+    rows = recovered(spark, d)
+    shifted = P.shift_supply(_stratum_curve(rows), "supply_mmt", P.intervention_total(impact(rows), N_FARMS))
     return _round(shifted, {"fraction": 6, "supply_mmt": 8, "supply_shifted": 8})
 
 
@@ -619,9 +614,7 @@ def demand_scale(spark, d):
 
 
 def _scale_sql(bx: str, m: str, s: str) -> str:
-    from math import exp, log
-
-    inside = sql_cdf(f"(-({log(H)!r}::DOUBLE - {m}) / {s} - {ETA!r}::DOUBLE * {s})")
+    inside = sql_cdf(f"(({m} - ({log(H)!r}::DOUBLE)) / {s} - {ETA!r}::DOUBLE * {s})")
     return (
         f"(exp({-ETA!r}::DOUBLE * {m} + {ETA**2!r}::DOUBLE * {s} * {s} / 2) * {inside} "
         f"* pow({exp(1.0)!r}::DOUBLE * {bx}, {1 / (1 - H)!r}::DOUBLE))"

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldledger.functions.normal import HART_DENOMINATOR, HART_NUMERATOR, HART_TAIL_START, SQRT_2PI
+from fieldledger.functions.normal import cdf_text, pdf_text
 
 
 @dataclass(frozen=True)
@@ -44,23 +44,13 @@ def sql_safe_log(x: str) -> str:
     return f"(CASE WHEN {x} = 0 THEN 0.0 WHEN {x} > 0 THEN ln({x}) END)"
 
 
-def sql_pdf(z: str) -> str:
-    return f"(exp(-({z}) * ({z}) / 2) / {SQRT_2PI!r}::DOUBLE)"
+def duck_double(x: float) -> str:
+    return f"{float(x)!r}::DOUBLE"
 
 
-def _sql_horner(coefs: list[float], x: str) -> str:
-    out = f"{coefs[0]!r}::DOUBLE"
-    for c in coefs[1:]:
-        out = f"({out} * {x} + {c!r}::DOUBLE)"
-    return out
+def sql_pdf(z: str) -> str:
+    return pdf_text(z, duck_double)
 
 
 def sql_cdf(z: str) -> str:
-    x = f"abs({z})"
-    dens = f"exp(-({z}) * ({z}) / 2)"
-    body = f"({dens} * {_sql_horner(HART_NUMERATOR, x)} / {_sql_horner(HART_DENOMINATOR, x)})"
-    frac = f"({x} + 0.65::DOUBLE)"
-    for k in (4, 3, 2, 1):
-        frac = f"({x} + {k}.0::DOUBLE / {frac})"
-    tail = f"(CASE WHEN {x} < {HART_TAIL_START!r}::DOUBLE THEN {body} ELSE {dens} / ({frac} * {SQRT_2PI!r}::DOUBLE) END)"
-    return f"(CASE WHEN ({z}) > 0 THEN 1.0::DOUBLE - {tail} ELSE {tail} END)"
+    return cdf_text(z, duck_double)
