@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldledger.functions.nulls import log_positive
-from fieldledger.functions.normal import lognormal_mean, lognormal_mode, lognormal_pdf, lognormal_power_mean
+from fieldledger.functions.normal import lognormal_mean, lognormal_mode, lognormal_pdf, lognormal_power_mean, spark_double
 from fieldledger.operators.joins import BROADCAST_ROWS, dimension_join, is_small, with_scalars
+from fieldledger.operators.lineage import materialise
 
 
 def group_moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -61,8 +62,8 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFram
     spans = data.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     placed = dimension_join(data, spans, keys) if keys else with_scalars(data, spans)
     width = (F.col("hi") - F.col("lo")) / bins
-    raw = F.floor((F.col(value) - F.col("lo")) / F.nullif(width, F.lit(0.0))).cast("int") + 1
-    bin_no = F.coalesce(F.least(raw, F.lit(bins)), F.lit(1))
+    raw = F.floor((F.col(value) - F.col("lo")) / width).cast("int") + 1
+    bin_no = F.when(width > 0, F.least(raw, F.lit(bins))).otherwise(F.lit(1))
     return (
         placed.withColumn("bin", bin_no)
         .groupBy(*keys, "bin")
@@ -105,31 +106,26 @@ def quantile_table(df: DataFrame, keys: list[str], value: str, probs: list[float
     cuts = rows.groupBy(*group).agg(
         F.percentile_approx("_v", marks, 10_000).alias("_cuts"), F.count(F.lit(1)).alias("_total")
     )
+    cuts = materialise(cuts)  # one row per group, read by the size check and by each join
     counts = rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
     # a group needs at most two buckets per probability, so one size check covers both joins
     small = is_small(cuts, BROADCAST_ROWS // (2 * len(probs)))
-    placed = dimension_join(counts, cuts, group, small=small).withColumn("_bucket", _bucket_of("_cuts", "_v", len(marks)))
-    placed = placed.drop("_cuts")
+    placed = _with_bucket(dimension_join(counts, cuts, group, small=small), "_cuts", "_v", len(marks)).drop("_cuts")
     per_bucket = placed.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_m"), F.first("_total").alias("_total"))
     w = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     located = per_bucket.withColumn("_end", F.sum("_m").over(w)).withColumn("_start", F.col("_end") - F.col("_m"))
-    wanted = F.array(*[F.struct(F.lit(p).alias("prob"), ((F.col("_total") - 1) * F.lit(p)).alias("at")) for p in probs])
-    ranks = F.transform(
-        wanted,
-        lambda t: F.struct(
-            t["prob"].alias("prob"),
-            F.floor(t["at"]).alias("low"),
-            F.ceil(t["at"]).alias("high"),
-            (t["at"] - F.floor(t["at"])).alias("part"),
-        ),
+    listed = ", ".join(spark_double(p) for p in probs)
+    ranks = F.expr(
+        f"transform(transform(array({listed}), p -> named_struct('prob', p, 'at', (_total - 1) * p)), t -> "
+        "named_struct('prob', t.prob, 'low', floor(t.at), 'high', ceil(t.at), 'part', t.at - floor(t.at)))"
     )
-    located = located.withColumn("_ranks", ranks)
-    holds = F.exists(
-        "_ranks",
+    held = F.filter(
+        ranks,
         lambda r: ((r["low"] >= F.col("_start")) & (r["low"] < F.col("_end")))
         | ((r["high"] >= F.col("_start")) & (r["high"] < F.col("_end"))),
     )
-    needed = located.filter(holds).select(*group, "_bucket", "_start", "_ranks")
+    needed = located.withColumn("_ranks", held).filter(F.size("_ranks") > 0)
+    needed = needed.select(*group, "_bucket", "_start", "_ranks")
     inside = dimension_join(placed.drop("_total"), needed, [*group, "_bucket"], small=small)
     w2 = (
         Window.partitionBy(*group, "_bucket")
@@ -155,21 +151,17 @@ def quantile_table(df: DataFrame, keys: list[str], value: str, probs: list[float
     return out.select(*keys, "prob", "quantile")
 
 
-def _bucket_of(cuts: str, value: str, splits: int):
-    """Number of sorted split points at or below the value: bisection with a fixed number of steps."""
-    steps = splits.bit_length() + 1
-    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+def _with_bucket(df: DataFrame, cuts: str, value: str, n: int) -> DataFrame:
+    """Add the number of sorted cuts at or below the value.
 
-    def halve(acc, _):
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        below = F.get(F.col(cuts), mid) <= F.col(value)
-        open_ = acc["lo"] < acc["hi"]
-        return F.struct(
-            F.when(open_ & below, mid + 1).otherwise(acc["lo"]).alias("lo"),
-            F.when(open_ & ~below, mid).otherwise(acc["hi"]).alias("hi"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda acc: acc["lo"])
+    A binary search in steps of falling powers of two, one compiled projection per step.
+    """
+    out = df.withColumn("_bucket", F.lit(0))
+    for k in reversed(range(n.bit_length())):
+        at_next = F.get(F.col(cuts), F.col("_bucket") + (2**k - 1))
+        jump = F.when(at_next <= F.col(value), F.lit(2**k)).otherwise(F.lit(0))
+        out = out.withColumn("_bucket", F.col("_bucket") + jump)
+    return out
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:

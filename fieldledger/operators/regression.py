@@ -227,24 +227,26 @@ def pca_loadings(df: DataFrame, cols: list[str], keep: float = 0.8) -> DataFrame
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def varimax(loadings: np.ndarray, iterations: int = 1000, tol: float = 1e-10) -> np.ndarray:
-    """Varimax rotation with Kaiser normalisation of the variable-by-component loadings."""
-    if loadings.shape[1] < 2:
-        return loadings
+def varimax(loadings: np.ndarray, sweeps: int = 200, tol: float = 1e-12) -> np.ndarray:
+    """Varimax rotation with Kaiser normalisation: plane rotations, each by its best angle."""
     length = np.sqrt((loadings**2).sum(axis=1, keepdims=True))
     length[length == 0] = 1.0
     x = loadings / length
-    rotation = np.eye(x.shape[1])
-    previous = 0.0
-    for _ in range(iterations):
-        z = x @ rotation
-        target = z**3 - z * (z**2).mean(axis=0)
-        u, d, vt = np.linalg.svd(x.T @ target)
-        rotation = u @ vt
-        if d.sum() < previous * (1 + tol):
+    rows, n = x.shape
+    for _ in range(sweeps):
+        widest = 0.0
+        for i in range(n):
+            for j in range(i + 1, n):
+                u, v = x[:, i] ** 2 - x[:, j] ** 2, 2 * x[:, i] * x[:, j]
+                num = 2 * (u @ v) - 2 * u.sum() * v.sum() / rows
+                den = u @ u - v @ v - (u.sum() ** 2 - v.sum() ** 2) / rows
+                angle = np.arctan2(num, den) / 4
+                c, s = np.cos(angle), np.sin(angle)
+                x[:, [i, j]] = x[:, [i, j]] @ np.array([[c, -s], [s, c]])
+                widest = max(widest, abs(angle))
+        if widest < tol:
             break
-        previous = d.sum()
-    return (x @ rotation) * length
+    return x * length
 
 
 def logistic_fit(df: DataFrame, y: str, x: str) -> DataFrame:
