@@ -100,13 +100,13 @@ bins AS (
 
 @query(
     "histogram_bins",
-    f"""WITH {BINS_SQL} SELECT kind, bin, CAST(count(*) AS BIGINT) AS n, {rnd("any_value(lo + (bin - 0.5) * (hi - lo) / 20)", 4)} AS mid
+    f"""WITH {BINS_SQL} SELECT kind, bin, CAST(count(*) AS BIGINT) AS n, {rnd("any_value(lo + (bin - 0.5) * (hi - lo) / 20)", 6)} AS mid
         FROM bins GROUP BY kind, bin""",
 )
 def histogram_bins(spark, d):
     rows = table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "kind")
     out = M.histogram(rows, ["kind"], "l_extendedprice", 20)
-    return out.select("kind", "bin", "n", rounded("mid", 4).alias("mid"))
+    return out.select("kind", "bin", "n", rounded("mid", 6).alias("mid"))
 
 
 @query(

@@ -233,7 +233,7 @@ def truncation_rates(spark, d):
 
 
 def _axis_sql(lo: float, hi: float, n: int, ix: str, name: str) -> str:
-    step = (hi - lo) / (n - 1)
+    step = (hi - lo) / (n - 1) if n > 1 else 0.0
     return f"(SELECT i AS {ix}, {lo!r}::DOUBLE + i * {step!r}::DOUBLE AS {name} FROM range({n}) t(i))"
 
 
@@ -757,16 +757,15 @@ CALIB_POWER = -KAPPA_RAIN * ETA / H
 
 @query(
     "calibrated_farms",
-    f"""WITH RECURSIVE {MARKET_SQL}, {_risk_sql("unc", (1.0, 1.0, 2), None)},
+    f"""WITH RECURSIVE {MARKET_SQL}, {_risk_sql("unc", (1.0, 1.0, 1), None)},
         ds AS (SELECT district, avg(seed) AS ms FROM dfarms GROUP BY district),
         kr AS (SELECT f.district, avg(pow(f.seed / ds.ms, {CALIB_POWER!r}::DOUBLE)) AS kf, sum(harvest_kg) AS q
                FROM dfarms f JOIN ds ON f.district = ds.district GROUP BY f.district)
-        SELECT r.district, {rnd(f"kr.q * kr.kf * 1e-9 / (r.supply / {N_FARMS!r}::DOUBLE)", 4)} AS n_farms
-        FROM risk r JOIN kr ON r.district = kr.district WHERE r.gi_first""".replace("WHERE r.gi_first", "")
-    .replace("range(2) t(i)", "range(1) t(i)"),
+        SELECT r.district, {rnd(f"ln(kr.q * kr.kf * 1e-9 / (r.supply / {N_FARMS!r}::DOUBLE))", 6)} AS log_n_farms
+        FROM risk r JOIN kr ON r.district = kr.district""",
 )
 def calibrated_farms(spark, d):
-    """Number of farms at which modelled supply equals the recorded output of each district."""
+    """Number of farms (logged) at which modelled supply equals the recorded output of each district."""
     rows = farms_by_district(spark, d)
     means = rows.groupBy("district").agg(F.avg("seed").alias("mean_seed"))
     rain = dimension_join(rows, means, ["district"]).withColumn("k_rain", F.col("seed") / F.col("mean_seed"))
@@ -775,4 +774,5 @@ def calibrated_farms(spark, d):
     )
     per_farm = P.supply_with_risk(markets(spark, d), H, 1.0, KAPPA_RAIN, M_P, S_P, HORIZON, (1.0, 1.0, 1))
     joined = per_farm.select("district", "supply").join(recorded, "district")
-    return _round(P.calibrate_population(joined), {"n_farms": 4}, "district")
+    calibrated = P.calibrate_population(joined).withColumn("log_n_farms", log_positive("n_farms"))
+    return _round(calibrated, {"log_n_farms": 6}, "district")
