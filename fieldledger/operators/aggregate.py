@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.functions.nulls import ratio
-from fieldledger.operators.joins import dimension_join, with_scalars
+from fieldledger.operators.joins import summary_join, with_scalars
 
 
 def sum_safe(c: str | Column) -> Column:
@@ -69,14 +69,13 @@ def share_of_group(df: DataFrame, keys: list[str], value: str, name: str) -> Dat
     Totals are aggregated and joined back, so a group of any size is never gathered in one task.
     """
     totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
-    return dimension_join(df, totals, keys).withColumn(name, 100 * ratio(value, "_total")).drop("_total")
+    return summary_join(df, totals, keys).withColumn(name, 100 * ratio(value, "_total")).drop("_total")
 
 
 def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key occurs more than once, with the number of occurrences."""
     repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > 1)
-    counts = repeated.select(*keys, F.col("n_rows").alias("_n"))
-    return dimension_join(df, repeated, keys, counts=counts)
+    return summary_join(df, repeated, keys, rows="n_rows")
 
 
 def largest_cohort(df: DataFrame, key: str) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldledger.operators.lineage import materialise
+
 # A small side is broadcast only after this many rows have been counted and not exceeded.
 BROADCAST_ROWS = 100_000
 SALT = "_salt"
@@ -61,6 +63,19 @@ def dimension_join(
     return salted_join(fact, dim, keys, how, counts=counts)
 
 
+def summary_join(
+    fact: DataFrame, summary: DataFrame, keys: list[str], how: str = "inner", rows: str | None = None
+) -> DataFrame:
+    """Join rows to an aggregate of themselves.
+
+    The aggregate is written out first, so that the size check and the join read it, not its input.
+    ``rows`` names its column with the number of rows per key, if it has one.
+    """
+    kept = materialise(summary)
+    counts = None if rows is None else kept.select(*keys, F.col(rows).alias("_n"))
+    return dimension_join(fact, kept, keys, how, counts=counts)
+
+
 def salted_join(
     fact: DataFrame,
     dim: DataFrame,

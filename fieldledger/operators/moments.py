@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldledger.functions.nulls import log_positive
 from fieldledger.functions.normal import lognormal_mean, lognormal_mode, lognormal_pdf, lognormal_power_mean, spark_double
-from fieldledger.operators.joins import BROADCAST_ROWS, dimension_join, is_small, with_scalars
+from fieldledger.operators.joins import BROADCAST_ROWS, dimension_join, is_small, summary_join, with_scalars
 from fieldledger.operators.lineage import materialise
 
 
@@ -60,7 +60,7 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFram
     """
     data = df.filter(F.col(value).isNotNull()).select(*keys, value)
     spans = data.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    placed = dimension_join(data, spans, keys) if keys else with_scalars(data, spans)
+    placed = summary_join(data, spans, keys) if keys else with_scalars(data, spans)
     width = (F.col("hi") - F.col("lo")) / bins
     raw = F.floor((F.col(value) - F.col("lo")) / width).cast("int") + 1
     bin_no = F.when(width > 0, F.least(raw, F.lit(bins))).otherwise(F.lit(1))
@@ -82,7 +82,8 @@ def density_overlay(df: DataFrame, keys: list[str], value: str, bins: int) -> Da
     """Histogram density next to the fitted lognormal density at each bin mid-point."""
     fit = log_moments(df, keys, value).withColumnRenamed("n", "n_fit")
     bars = histogram(df.filter(F.col(value) > 0), keys, value, bins)
-    out = dimension_join(bars, fit, keys)
+    # at most ``bins`` rows per group on one side and one on the other
+    out = bars.join(fit, keys) if keys else with_scalars(bars, fit)
     return out.withColumns(
         {
             "density": F.col("n") / (F.col("n_fit") * F.col("width")),

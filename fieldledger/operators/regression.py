@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fieldledger.functions.linear import linear_score
 from fieldledger.functions.nulls import ratio
-from fieldledger.operators.joins import dimension_join, with_scalars
+from fieldledger.operators.joins import summary_join, with_scalars
 from fieldledger.operators.lineage import materialise
 from fieldledger.operators.moments import correlation_matrix
 
@@ -148,7 +148,7 @@ def with_residuals(df: DataFrame, y: str, x: str, keys: list[str] | None = None)
     """Fitted values and residuals of the simple regression, overall or per group."""
     fit = simple_fit(df, y, x, keys).select(*(keys or []), F.col("slope").alias("_b"), F.col("intercept").alias("_a"))
     ok = df.filter(F.col(y).isNotNull() & F.col(x).isNotNull())
-    joined = dimension_join(ok, fit, keys) if keys else with_scalars(ok, fit)
+    joined = summary_join(ok, fit, keys) if keys else with_scalars(ok, fit)
     return (
         joined.withColumn("fitted", F.col("_a") + F.col("_b") * F.col(x))
         .withColumn("residual", F.col(y) - F.col("fitted"))
@@ -163,10 +163,13 @@ def trim_refit(df: DataFrame, y: str, x: str, limit: float = 1.0, keys: list[str
 
 
 def residual_summary(df: DataFrame, y: str, x: str, keys: list[str] | None = None) -> DataFrame:
-    return with_residuals(df, y, x, keys).groupBy(*(keys or [])).agg(
+    """Residual sum of squares and deviation, from the fit's own moments in a single pass."""
+    ok = df.filter(F.col(y).isNotNull() & F.col(x).isNotNull())
+    left = F.var_samp(y) * (1 - F.regr_r2(y, x))
+    return ok.groupBy(*(keys or [])).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("residual") * F.col("residual")).alias("rss"),
-        F.stddev_samp("residual").alias("sd_residual"),
+        ((F.count(F.lit(1)) - 1) * left).alias("rss"),
+        F.sqrt(F.greatest(left, F.lit(0.0))).alias("sd_residual"),
     )
 
 
@@ -175,8 +178,8 @@ def smearing(df: DataFrame, y: str, x: str, cost: str, adjust: tuple[str, float]
 
     ``adjust`` names a logged control and its coefficient to take out of the expectation.
     """
-    resid = with_residuals(df, y, x)
-    out = with_scalars(resid, resid.agg(F.stddev_samp("residual").alias("_s")))
+    spread = residual_summary(df, y, x).select(F.col("sd_residual").alias("_s"))
+    out = with_scalars(with_residuals(df, y, x), spread)
     shift = F.lit(0.0) if adjust is None else F.lit(adjust[1]) * F.col(adjust[0])
     return (
         out.withColumn("expected", F.exp(F.col("fitted") - shift + F.col("_s") * F.col("_s") / 2))

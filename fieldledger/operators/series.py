@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldledger.functions.dates import season_year
 from fieldledger.functions.nulls import log_positive, ratio
-from fieldledger.operators.joins import dimension_join
+from fieldledger.operators.joins import summary_join
 
 
 def period_series(df: DataFrame, entity: str, period: Column, value: str, name: str = "price") -> DataFrame:
@@ -32,14 +32,21 @@ def log_change(df: DataFrame, entity: str, value: str = "price", name: str = "lo
 def densify(df: DataFrame, entity: str, step: str = "day", weekdays_only: bool = False) -> DataFrame:
     """Every period between an entity's first and last, missing values NULL.
 
-    ``weekdays_only`` removes Saturdays and Sundays afterwards.
+    Each row fills the gap up to the next one, so the series is read once and nothing is joined. Monthly
+    dates are first days of months. ``weekdays_only`` removes Saturdays and Sundays afterwards.
     """
-    interval = {"day": F.expr("interval 1 day"), "month": F.expr("interval 1 month")}[step]
-    spans = df.groupBy(entity).agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
-    calendar = spans.select(entity, F.explode(F.sequence("_a", "_b", interval)).alias("date"))
-    if weekdays_only:
-        calendar = calendar.filter(F.weekday("date") < 5)
-    return calendar.join(df, [entity, "date"], "left")
+    following = F.lead("date").over(_by_date(entity))
+    if step == "month":
+        interval, last = F.expr("interval 1 month"), F.add_months(following, -1)
+    else:
+        interval, last = F.expr("interval 1 day"), F.date_sub(following, 1)
+    values = [c for c in df.columns if c not in (entity, "date")]
+    upto = df.withColumn("_last", F.coalesce(last, F.col("date")))
+    filled = upto.select(
+        entity, *values, F.posexplode(F.sequence("date", "_last", interval)).alias("_pos", "date")
+    )
+    out = filled.select(entity, "date", *[F.when(F.col("_pos") == 0, F.col(c)).alias(c) for c in values])
+    return out.filter(F.weekday("date") < 5) if weekdays_only else out
 
 
 def log_change_calendar(
@@ -141,7 +148,7 @@ def price_at_anchor(
 
 def expected_by_regime(anchors: DataFrame, drift: DataFrame, horizon: int, regime: str = "regime") -> DataFrame:
     """Anchor price carried forward by its regime's drift, for anchor and fallback rows alike."""
-    return dimension_join(anchors, drift.select(regime, "m", "s"), [regime]).withColumn(
+    return summary_join(anchors, drift.select(regime, "m", "s"), [regime]).withColumn(
         "expected", F.col("p0") * F.exp(F.col("m") * horizon)
     )
 

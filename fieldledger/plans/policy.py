@@ -6,11 +6,10 @@ from math import exp, log
 
 from pyspark.sql import functions as F
 
-from fieldledger.functions import linear_score, log_positive, norm_cdf, ratio, rounded
+from fieldledger.functions import log_positive, norm_cdf, ratio, rounded
 from fieldledger.operators import supply as P
-from fieldledger.operators.columns import transform_columns
-from fieldledger.operators.joins import dimension_join, with_grid, with_levels, with_scalars
-from fieldledger.operators.reshape import nearest_cell, pivot_measures
+from fieldledger.operators.joins import with_grid, with_levels
+from fieldledger.operators.reshape import nearest_cell
 from fieldledger.operators.series import season_drift
 from fieldledger.operators.truncation import (
     STEPS,
@@ -255,7 +254,7 @@ def curve(spark, d):
     return P.supply_curve(markets(spark, d), H, N_FARMS, KAPPA_RAIN, *CURVE)
 
 
-CURVE_DIGITS = {"fraction": 6, "p": 4, "supply_mmt": 8, "elasticity": 5, "employment_rate": 8}
+CURVE_DIGITS = {"fraction": 6, "p": 4, "supply_mmt": 6, "elasticity": 5, "employment_rate": 8}
 
 
 @query(
@@ -294,9 +293,9 @@ risk AS (
 RISK_DIGITS = {
     "fraction": 6,
     "participation": 8,
-    "supply": 8,
-    "supply_high": 8,
-    "supply_low": 8,
+    "supply": 6,
+    "supply_high": 6,
+    "supply_low": 6,
     "elasticity": 5,
     "risk_elasticity": 4,
 }
@@ -314,7 +313,7 @@ def supply_curve_risk(spark, d):
     return _round(out, RISK_DIGITS, "district")
 
 
-MAP_DIGITS = {"fraction": 6, "rain_ratio": 6, "supply_low": 8, "supply_high": 8}
+MAP_DIGITS = {"fraction": 6, "rain_ratio": 6, "supply_low": 6, "supply_high": 6}
 
 
 @query(
@@ -452,13 +451,13 @@ def _stratum_curve(rows):
           * {sql_cdf(f"((ln(fraction * price) - m_full) / s_full - {ETA!r}::DOUBLE * s_full)")} * 1e-9 AS q
           FROM st, {_axis_sql(0.1, 2.0, 20, "gi", "fraction")} g),
         su AS (SELECT fraction, sum(q) AS q FROM sc GROUP BY fraction), dq AS (SELECT sum(supply_change) AS dq FROM impact)
-        SELECT {rnd("fraction", 6)} AS fraction, {rnd("q", 8)} AS supply_mmt, {rnd("q + dq * 1e-3", 8)} AS supply_shifted
+        SELECT {rnd("fraction", 6)} AS fraction, {rnd("q", 6)} AS supply_mmt, {rnd("q + dq * 1e-3", 6)} AS supply_shifted
         FROM su, dq""",
 )
 def supply_curve_shift(spark, d):
     rows = recovered(spark, d)
     shifted = P.shift_supply(_stratum_curve(rows), "supply_mmt", P.intervention_total(impact(rows), N_FARMS))
-    return _round(shifted, {"fraction": 6, "supply_mmt": 8, "supply_shifted": 8})
+    return _round(shifted, {"fraction": 6, "supply_mmt": 6, "supply_shifted": 6})
 
 
 GRID_SQL = f"""{SAMPLE_SQL},
@@ -527,20 +526,9 @@ cd AS (
 
 def decomposed(spark, d):
     """Farms with their use and price of each input, decomposed by the technology coefficients."""
-    rows = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("farm_id"),
-        "l_returnflag",
-        F.col("l_quantity").alias("kg"),
-        F.col("l_extendedprice").alias("kes"),
-    )
-    use = pivot_measures(rows, ["farm_id"], "l_returnflag", list(INPUT_COEFS), ["kg", "kes"])
-    use = use.select(
-        "farm_id",
-        *[f"{v}_kg" for v in INPUT_COEFS],
-        *[ratio(f"{v}_kes", f"{v}_kg").alias(f"{v}_price") for v in INPUT_COEFS],
-    )
+    prices = {f"{v}_price": ratio(f"{v}_kes", f"{v}_kg") for v in INPUT_COEFS}
     inputs = {f"{v}_kg": (a, f"{v}_price") for v, a in INPUT_COEFS.items()}
-    base = farms_by_district(spark, d).join(use, "farm_id").withColumn("output_price", F.lit(CD_PRICE))
+    base = farms_by_district(spark, d).withColumns({**prices, "output_price": F.lit(CD_PRICE)})
     return P.cobb_douglas(base, CD_INTERCEPT, inputs, CONTROLS, "cost", "output_price")
 
 
@@ -766,11 +754,10 @@ CALIB_POWER = -KAPPA_RAIN * ETA / H
 )
 def calibrated_farms(spark, d):
     """Number of farms (logged) at which modelled supply equals the recorded output of each district."""
-    rows = farms_by_district(spark, d)
-    means = rows.groupBy("district").agg(F.avg("seed").alias("mean_seed"))
-    rain = dimension_join(rows, means, ["district"]).withColumn("k_rain", F.col("seed") / F.col("mean_seed"))
-    recorded = rain.groupBy("district").agg(
-        F.avg(F.pow("k_rain", F.lit(CALIB_POWER))).alias("rain_factor"), F.sum("harvest_kg").alias("output")
+    # the mean of (seed / mean seed)^power needs no second pass: the mean factors out
+    recorded = farms_by_district(spark, d).groupBy("district").agg(
+        (F.avg(F.pow("seed", F.lit(CALIB_POWER))) / F.pow(F.avg("seed"), F.lit(CALIB_POWER))).alias("rain_factor"),
+        F.sum("harvest_kg").alias("output"),
     )
     per_farm = P.supply_with_risk(markets(spark, d), H, 1.0, KAPPA_RAIN, M_P, S_P, HORIZON, (1.0, 1.0, 1))
     joined = per_farm.select("district", "supply").join(recorded, "district")

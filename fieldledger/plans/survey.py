@@ -82,7 +82,7 @@ def regex_rename_columns(spark, d):
 @query(
     "unit_ratios",
     f"""SELECT l_partkey AS input_id, {rnd("sum(l_extendedprice) / nullif(sum(l_quantity), 0)", 6)} AS price_kes_kg,
-        {rnd("sum(l_discount) / nullif(sum(l_tax), 0)", 6)} AS discount_to_tax,
+        {rnd("sum(l_discount) / nullif(sum(l_tax), 0)", 9)} AS discount_to_tax,
         {rnd("sum(l_quantity) / nullif(count(*), 0)", 6)} AS kg_per_use
         FROM lineitem GROUP BY l_partkey""",
 )
@@ -97,7 +97,7 @@ def unit_ratios(spark, d):
     return sums.select(
         "input_id",
         rounded(ratio("kes", "kg"), 6).alias("price_kes_kg"),
-        rounded(ratio("disc", "tax"), 6).alias("discount_to_tax"),
+        rounded(ratio("disc", "tax"), 9).alias("discount_to_tax"),
         rounded(ratio("kg", "n"), 6).alias("kg_per_use"),
     )
 
@@ -503,7 +503,7 @@ def except_keys(spark, d):
     "composite_cost",
     f"""WITH {FARMS_SQL} SELECT farm_id,
         {rnd("(cost_kes + coalesce(seed_kg * 12.5::DOUBLE, 0) + 900.0) / area", 6)} AS composite_cost,
-        {rnd("harvest_kg / area * 18.0", 3)} AS revenue FROM farms""",
+        {rnd("harvest_kg / area * 18.0", 6)} AS revenue FROM farms""",
 )
 def composite_cost(spark, d):
     parts = farms(spark, d).withColumns({"seed_cost": F.col("seed_kg") * 12.5, "land_prep": F.lit(900.0)})
@@ -511,7 +511,7 @@ def composite_cost(spark, d):
     return parts.select(
         "farm_id",
         rounded(total / F.col("area"), 6).alias("composite_cost"),
-        rounded(F.col("yield") * 18.0, 3).alias("revenue"),
+        rounded(F.col("yield") * 18.0, 6).alias("revenue"),
     )
 
 

@@ -28,23 +28,33 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return read_table(spark, d, name)
 
 
+INPUT_KINDS = ["A", "N", "R"]
+
+
 def inputs_by_plot(spark: SparkSession, d: str) -> DataFrame:
+    """Applications summed per plot in one pass; sums a query does not use are pruned from the plan."""
+    kind, kg, kes = F.col("l_returnflag"), F.col("l_quantity"), F.col("l_extendedprice")
+    by_kind = [
+        F.coalesce(F.sum(F.when(kind == v, c)), F.lit(0.0)).alias(f"{v}_{m}")
+        for v in INPUT_KINDS
+        for m, c in (("kg", kg), ("kes", kes))
+    ]
     return (
         table(spark, d, "lineitem")
         .groupBy(F.col("l_orderkey").alias("farm_id"))
         .agg(
-            F.sum("l_quantity").alias("seed_kg"),
-            F.sum("l_extendedprice").alias("cost_kes"),
+            F.sum(kg).alias("seed_kg"),
+            F.sum(kes).alias("cost_kes"),
             F.count(F.lit(1)).cast("double").alias("area"),
-            F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("hybrid"),
+            F.max(F.when(kind == "R", 1).otherwise(0)).alias("hybrid"),
+            *by_kind,
         )
     )
 
 
-def farms(spark: SparkSession, d: str) -> DataFrame:
-    """One row per plot: logged yield, cost and controls per acre, endowment dummies and label."""
+def plots(spark: SparkSession, d: str) -> DataFrame:
     prio = F.col("o_orderpriority")
-    plots = table(spark, d, "orders").select(
+    return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("farm_id"),
         F.col("o_custkey").alias("hhid"),
         F.col("o_totalprice").alias("harvest_kg"),
@@ -52,10 +62,30 @@ def farms(spark: SparkSession, d: str) -> DataFrame:
         F.when(prio.isin("1-URGENT", "2-HIGH"), 1).otherwise(0).alias("oxen"),
         F.when(prio == "3-MEDIUM", 1).otherwise(0).alias("tractor"),
     )
+
+
+def farms(spark: SparkSession, d: str) -> DataFrame:
+    """One row per plot: logged yield, cost and controls per acre, endowment dummies and label."""
+    return _with_inputs(plots(spark, d), spark, d)
+
+
+def farms_by_district(spark: SparkSession, d: str) -> DataFrame:
+    """Farms with the district of their household.
+
+    The household join comes first, on the narrow plot table: should it have to salt, the hot
+    households are counted from one column of one table.
+    """
+    homes = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("hhid"), F.col("c_nationkey").alias("district")
+    )
+    return _with_inputs(dimension_join(plots(spark, d), homes, ["hhid"]), spark, d)
+
+
+def _with_inputs(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     # one row per plot on both sides, so no key repeats
-    joined = plots.join(inputs_by_plot(spark, d), "farm_id")
     return (
-        joined.withColumns(
+        rows.join(inputs_by_plot(spark, d), "farm_id")
+        .withColumns(
             {
                 "yield": F.col("harvest_kg") / F.col("area"),
                 "cost": F.col("cost_kes") / F.col("area"),
@@ -98,14 +128,6 @@ farms AS (
   FROM plots p JOIN inputs i ON p.farm_id = i.farm_id)"""
 
 
-def farms_by_district(spark: SparkSession, d: str) -> DataFrame:
-    """Farms with the district of their household."""
-    homes = table(spark, d, "customer").select(
-        F.col("c_custkey").alias("hhid"), F.col("c_nationkey").alias("district")
-    )
-    return dimension_join(farms(spark, d), homes, ["hhid"])
-
-
 DISTRICT_SQL = (
     FARMS_SQL
     + """,
