@@ -54,7 +54,7 @@ def with_subtotal(df: DataFrame, keys: list[str], item: str, cols: list[str], la
 def group_share(df: DataFrame, keys: list[str]) -> DataFrame:
     """Row count per group and its percentage of all rows."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("n_total"))
+    total = counts.agg(F.sum("n").alias("n_total"))
     return with_scalars(counts, total).withColumn("pct", 100 * F.col("n") / F.col("n_total"))
 
 

@@ -93,8 +93,11 @@ def salted_join(
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
-    per_key = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts
-    total = fact.agg(F.count(F.lit(1)).alias("n")).scalar()
+    if counts is None:
+        per_key = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        total = per_key.agg(F.sum("_n").alias("n")).scalar()
+    else:
+        per_key, total = counts, fact.agg(F.count(F.lit(1)).alias("n")).scalar()
     hot = per_key.filter(F.col("_n") > total * hot_share).select(*keys, F.lit(True).alias("_hot"))
     hot = F.broadcast(hot)
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns]), F.lit(salts)).cast("int")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldledger.functions.nulls import log_positive
+from fieldledger.functions.nulls import log_positive, ratio
 from fieldledger.functions.normal import lognormal_mean, lognormal_mode, lognormal_pdf, lognormal_power_mean, spark_double
 from fieldledger.operators.joins import BROADCAST_ROWS, dimension_join, is_small, summary_join, with_scalars
 from fieldledger.operators.lineage import materialise
@@ -165,16 +165,31 @@ def _with_bucket(df: DataFrame, cuts: str, value: str, n: int) -> DataFrame:
     return out
 
 
-def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlations over complete rows as a long table ``var_a, var_b, r``, in one pass."""
-    complete = df.dropna("any", subset=cols)
-    pairs = list(combinations(cols, 2))
-    wide = complete.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    long = wide.unpivot([], wide.columns, "key", "r")
-    parts = F.split("key", r"\|")
-    upper = long.select(parts[0].alias("var_a"), parts[1].alias("var_b"), "r")
-    lower = upper.select(F.col("var_b").alias("var_a"), F.col("var_a").alias("var_b"), "r")
-    one = complete.agg(*[F.count(c).alias(c) for c in cols]).unpivot([], cols, "var_a", "n")
-    diagonal = one.select("var_a", F.col("var_a").alias("var_b"), F.lit(1.0).alias("r"))
-    return upper.unionByName(lower).unionByName(diagonal)
+def centred_products(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row: ``n``, means ``m0..`` and centred cross products ``p0_0..`` of the columns over complete rows.
+
+    The means are a scalar subquery of the same query, so both passes share the input's shuffles, and
+    plain sums keep the compiled loop small.
+    """
+    complete = df.select(*cols).dropna("any")
+    means = complete.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)])
+    shifted = with_scalars(complete, means).select(
+        "n", *[f"m{i}" for i in range(len(cols))], *[(F.col(c) - F.col(f"m{i}")).alias(f"c{i}") for i, c in enumerate(cols)]
+    )
+    pairs = combinations_with_replacement(range(len(cols)), 2)
+    return shifted.agg(
+        F.max("n").alias("n"),
+        *[F.max(f"m{i}").alias(f"m{i}") for i in range(len(cols))],
+        *[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"p{i}_{j}") for i, j in pairs],
+    )
 
+
+def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pearson correlations over complete rows as a long table ``var_a, var_b, r``."""
+    moments = centred_products(df, cols)
+    entries = []
+    for i, j in combinations_with_replacement(range(len(cols)), 2):
+        r = F.lit(1.0) if i == j else ratio(f"p{i}_{j}", F.sqrt(F.col(f"p{i}_{i}") * F.col(f"p{j}_{j}")))
+        for a, b in {(i, j), (j, i)}:
+            entries.append(F.struct(F.lit(cols[a]).alias("var_a"), F.lit(cols[b]).alias("var_b"), r.alias("r")))
+    return moments.select(F.inline(F.array(*entries)))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations_with_replacement
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,57 +16,87 @@ from fieldledger.functions.linear import linear_score
 from fieldledger.functions.nulls import ratio
 from fieldledger.operators.joins import summary_join, with_scalars
 from fieldledger.operators.lineage import materialise
-from fieldledger.operators.moments import correlation_matrix
+from fieldledger.operators.moments import centred_products, correlation_matrix
 
 
 def ols_fit(df: DataFrame, y: str, xs: list[str], intercept: bool = True) -> DataFrame:
     """Ordinary least squares over complete rows: one row per term with its standard error and p-value.
 
-    Columns that do not vary or repeat another column make the normal equations singular and are
-    dropped beforehand, as R drops aliased terms.
+    One distributed query yields the cross products, k by k whatever the number of rows; only these
+    reach the driver. Columns that do not vary or repeat others make the normal equations singular and
+    are left out, as R leaves out aliased terms.
     """
-    complete = df.select(y, *xs).dropna("any").persist()
-    kept = independent_columns(complete, xs, intercept)
-    vec = VectorAssembler(inputCols=kept, outputCol="features").transform(complete)
-    model = LinearRegression(
-        featuresCol="features", labelCol=y, fitIntercept=intercept, solver="normal", regParam=0.0
-    ).fit(vec)
-    s = model.summary
-    terms = [*kept, "(intercept)"] if intercept else kept
-    estimates = [*model.coefficients.toArray().tolist(), *([model.intercept] if intercept else [])]
+    n, means, g = cross_products(df, [*xs, y], intercept)
+    kept = independent_columns(g[:-1, :-1])
+    inverse = np.linalg.inv(g[np.ix_(kept, kept)])
+    beta = inverse @ g[kept, -1]
+    rss = g[-1, -1] - beta @ g[kept, -1]
+    df_total = n - 1 if intercept else n
+    df_resid = df_total - len(kept)
+    sigma2 = rss / df_resid
+    r2 = 1 - rss / g[-1, -1]
+    terms = [(xs[i], b, sigma2 * inverse[k, k]) for k, (i, b) in enumerate(zip(kept, beta))]
+    if intercept:
+        at = means[kept]
+        terms.append(("(intercept)", means[-1] - beta @ at, sigma2 * (1 / n + at @ inverse @ at)))
+    r2_adj = 1 - (1 - r2) * df_total / df_resid
     rows = [
-        (t, float(b), float(se), float(p), int(s.numInstances), float(s.r2), float(s.r2adj))
-        for t, b, se, p in zip(terms, estimates, s.coefficientStandardErrors, s.pValues)
+        (t, float(b), float(v**0.5), student_p(b / v**0.5, df_resid) if v > 0 else 0.0, n, float(r2), float(r2_adj))
+        for t, b, v in terms
     ]
-    complete.unpersist()
     schema = "term string, estimate double, std_error double, p_value double, n long, r2 double, r2_adj double"
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def independent_columns(df: DataFrame, xs: list[str], intercept: bool = True, tol: float = 1e-9) -> list[str]:
-    """Columns to keep so that the design has full rank: earlier columns win, judged on the cross products."""
-    names = [*(["_one"] if intercept else []), *xs]
-    base = df.withColumn("_one", F.lit(1.0)) if intercept else df
-    g = gram_matrix(base, names)
+def cross_products(df: DataFrame, cols: list[str], centred: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, means and cross-product matrix over complete rows, centred or as they are."""
+    pairs = list(combinations_with_replacement(range(len(cols)), 2))
+    if centred:
+        row = centred_products(df, cols).first()
+    else:
+        row = (
+            df.select(*cols)
+            .dropna("any")
+            .agg(
+                F.count(F.lit(1)).alias("n"),
+                *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"p{i}_{j}") for i, j in pairs],
+            )
+            .first()
+        )
+    g = np.zeros((len(cols), len(cols)))
+    for i, j in pairs:
+        g[i, j] = g[j, i] = row[f"p{i}_{j}"] or 0.0
+    return int(row["n"] or 0), np.array([row[f"m{i}"] or 0.0 for i in range(len(cols))]), g
+
+
+def independent_columns(g: np.ndarray, tol: float = 1e-9) -> list[int]:
+    """Indices of columns to keep for full rank, judged on their cross products; earlier columns win."""
     scale = np.sqrt(np.diag(g))
     kept: list[int] = []
-    for i in range(len(names)):
-        if scale[i] == 0:
-            continue
-        sub = g[np.ix_([*kept, i], [*kept, i])] / np.outer(scale[[*kept, i]], scale[[*kept, i]])
-        if np.linalg.eigvalsh(sub)[0] > tol:
+    for i in range(len(g)):
+        trial = [*kept, i]
+        if scale[i] > 0 and np.linalg.eigvalsh(g[np.ix_(trial, trial)] / np.outer(scale[trial], scale[trial]))[0] > tol:
             kept.append(i)
-    return [names[i] for i in kept if names[i] != "_one"]
-
-
-def gram_matrix(df: DataFrame, cols: list[str]) -> np.ndarray:
-    """Cross-product matrix of the columns (k by k, so bounded whatever the number of rows)."""
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    row = df.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    g = np.zeros((len(cols), len(cols)))
-    for (i, j), v in zip(pairs, row):
-        g[i, j] = g[j, i] = v or 0.0
-    return g
+    return kept
+
+
+def student_p(t: float, dof: int) -> float:
+    """Two-sided p-value of Student's t, from the continued fraction of the incomplete beta function."""
+    x, a, b = dof / (dof + t * t), dof / 2, 0.5
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    swap = x > (a + 1) / (a + b + 2)
+    if swap:
+        x, a, b = 1 - x, b, a
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) / a
+    fraction = 0.0
+    for m in range(300, 0, -1):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
+        fraction = odd / (1 + even / (1 + fraction))
+    p = front / (1 + fraction)
+    return float(1 - p if swap else p)
 
 
 def gram_table(df: DataFrame, y: str, xs: list[str]) -> DataFrame:

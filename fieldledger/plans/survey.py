@@ -8,6 +8,7 @@ from fieldledger.functions import (
     endowment_label,
     linear_score,
     list_recode,
+    log_positive,
     masked_dot,
     nz,
     ratio,
@@ -19,7 +20,7 @@ from fieldledger.functions import (
 )
 from fieldledger.operators import columns as C
 from fieldledger.operators import reshape as R
-from fieldledger.operators.regression import cross_ratio
+from fieldledger.operators.regression import cross_ratio, simple_fit
 from fieldledger.plans.registry import query, rnd, sql_log, sql_safe_log
 from fieldledger.plans.views import FARMS_SQL, LABELS, farms, table
 from fieldledger.sources import literal_table, union_sources
@@ -529,6 +530,27 @@ def expenditure_shares(spark, d):
     return R.unpivot_long(shares, ["dist"], costs, "input", "share").withColumn("share", rounded("share", 8))
 
 
+@query(
+    "share_cost_fit",
+    f"WITH {LABOUR_SQL}, t AS (SELECT *, A_kes + N_kes + R_kes AS total FROM labour), l AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{v}_kes' AS input, {sql_log('total')} AS log_total, {sql_log(f'{v}_kes')} AS log_cost FROM t"
+        for v in FLAGS
+    )
+    + f""") SELECT input, CAST(count(*) AS BIGINT) AS n, {rnd("regr_slope(log_total, log_cost)", 6)} AS slope,
+        {rnd("regr_intercept(log_total, log_cost)", 6)} AS intercept FROM l
+        WHERE log_total IS NOT NULL AND log_cost IS NOT NULL GROUP BY input""",
+)
+def share_cost_fit(spark, d):
+    """Total expenditure against the expenditure on each input, in logs, one fit per input."""
+    costs = ["A_kes", "N_kes", "R_kes"]
+    wide = labour_wide(spark, d).withColumn("total", row_sum(costs))
+    long = R.unpivot_long(wide, ["dist", "total"], costs, "input", "cost")
+    logs = long.select("input", log_positive("total").alias("log_total"), log_positive("cost").alias("log_cost"))
+    fit = simple_fit(logs, "log_total", "log_cost", ["input"])
+    return fit.select("input", "n", rounded("slope", 6).alias("slope"), rounded("intercept", 6).alias("intercept"))
+
+
 RATIOS = [("A_kes", "N_kes"), ("A_kes", "R_kes"), ("N_kes", "R_kes")]
 
 
