@@ -356,7 +356,7 @@ def shift_supply(curve: DataFrame, supply: str, change: DataFrame) -> DataFrame:
     return moved.withColumn("supply_shifted", F.col(supply) + F.col("supply_change") * 1e-3)
 
 
-def strata_recombine(table: DataFrame, rate: str, frac: str = "frac") -> Column:
+def strata_recombine(rate: str, frac: str = "frac") -> Column:
     """Weighted total of a stratum rate."""
     return F.sum(F.col(rate) * F.col(frac))
 

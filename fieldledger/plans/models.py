@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from fieldledger.functions import rounded
 from fieldledger.operators import moments as M
 from fieldledger.operators import regression as G

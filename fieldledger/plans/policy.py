@@ -212,8 +212,8 @@ def strata_unconditional(spark, d):
 def strata_recombine(spark, d):
     rows = strata(spark, d).filter(F.col("stratum") != "All")
     return rows.agg(
-        rounded(P.strata_recombine(rows, "v"), 6).alias("v"),
-        rounded(P.strata_recombine(rows, "mean_yield"), 4).alias("mean_yield"),
+        rounded(P.strata_recombine("v"), 6).alias("v"),
+        rounded(P.strata_recombine("mean_yield"), 4).alias("mean_yield"),
         rounded(F.sum("frac"), 8).alias("frac"),
     )
 
