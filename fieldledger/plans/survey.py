@@ -80,9 +80,13 @@ def regex_rename_columns(spark, d):
     return C.rename_by_pattern(table(spark, d, "part"), rules)
 
 
+# Fixed value: exchange rate of the survey year.
+KES_PER_USD = 67.32
+
+
 @query(
     "unit_ratios",
-    f"""SELECT l_partkey AS input_id, {rnd("sum(l_extendedprice) / nullif(sum(l_quantity), 0)", 6)} AS price_kes_kg,
+    f"""SELECT l_partkey AS input_id, {rnd("sum(l_extendedprice) / nullif(sum(l_quantity), 0) / 67.32", 6)} AS price_usd_kg,
         {rnd("sum(l_discount) / nullif(sum(l_tax), 0)", 9)} AS discount_to_tax,
         {rnd("sum(l_quantity) / nullif(count(*), 0)", 6)} AS kg_per_use
         FROM lineitem GROUP BY l_partkey""",
@@ -97,7 +101,7 @@ def unit_ratios(spark, d):
     )
     return sums.select(
         "input_id",
-        rounded(ratio("kes", "kg"), 6).alias("price_kes_kg"),
+        rounded(ratio("kes", "kg") / KES_PER_USD, 6).alias("price_usd_kg"),
         rounded(ratio("disc", "tax"), 9).alias("discount_to_tax"),
         rounded(ratio("kg", "n"), 6).alias("kg_per_use"),
     )
