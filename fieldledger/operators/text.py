@@ -31,22 +31,26 @@ LATEX_STRIP = [
     (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^}]*\})?", ""),
     (r"[{}]", ""),
 ]
-WORD = r"\S+"
+SPACE = r"\s+"
 
 
 def strip_markup(text: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda acc, r: F.regexp_replace(acc, F.lit(r[0]), F.lit(r[1])), rules, text)
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD))
+def split_words(text: Column) -> Column:
+    return F.split(text, SPACE)
+
+
+def count_parts(parts: str) -> Column:
+    """Words in a split text: its parts, less the empty ones that leading and trailing space leave."""
+    first = (F.get(F.col(parts), F.lit(0)) == "").cast("int")
+    last = ((F.size(parts) > 1) & (F.element_at(F.col(parts), -1) == "")).cast("int")
+    return F.size(parts) - first - last
 
 
 def count_document_words(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the words left after stripping Markdown and LaTeX markup."""
-    return df.withColumns(
-        {
-            "markdown_words": word_count(strip_markup(F.col(text), MARKDOWN_STRIP)),
-            "latex_words": word_count(strip_markup(F.col(text), LATEX_STRIP)),
-        }
-    )
+    rules = {"markdown_words": MARKDOWN_STRIP, "latex_words": LATEX_STRIP}
+    parts = df.withColumns({f"_{c}": split_words(strip_markup(F.col(text), r)) for c, r in rules.items()})
+    return parts.withColumns({c: count_parts(f"_{c}") for c in rules}).drop(*[f"_{c}" for c in rules])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldledger.operators.joins import spread
-from fieldledger.operators.text import LATEX_STRIP, MARKDOWN_STRIP, WORD, count_document_words
+from fieldledger.operators.text import LATEX_STRIP, MARKDOWN_STRIP, count_document_words
 from fieldledger.plans.registry import query
 from fieldledger.plans.views import table
 
@@ -17,7 +17,7 @@ def _sql_strip(text: str, rules: list[tuple[str, str]]) -> str:
 
 
 def _sql_words(rules: list[tuple[str, str]]) -> str:
-    return f"len(regexp_extract_all({_sql_strip('text', rules)}, '{WORD}'))"
+    return f"len(regexp_extract_all({_sql_strip('text', rules)}, '\\S+'))"
 
 
 COUNTS_SQL = f"""

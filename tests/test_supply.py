@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldledger.operators import supply as P
 from fieldledger.operators import truncation as T
-from fieldledger.operators.text import LATEX_STRIP, MARKDOWN_STRIP, strip_markup, word_count
+from fieldledger.operators.text import count_document_words
 
 H = 0.25
 
@@ -201,9 +201,10 @@ Gone.
 """
 
 
-def test_word_counts(frame):
-    df = frame([(MARKDOWN, LATEX), ("", " \n "), ("```\nopen fence", "plain words only")], "a string, b string")
-    got = df.select(
-        word_count(strip_markup(F.col("a"), MARKDOWN_STRIP)), word_count(strip_markup(F.col("b"), LATEX_STRIP))
-    ).collect()
-    assert [tuple(r) for r in got] == [(9, 5), (0, 0), (0, 3)]
+@pytest.mark.parametrize(
+    "text,markdown,latex",
+    [(MARKDOWN, 9, None), (LATEX, None, 5), ("", 0, 0), (" \n ", 0, 0), (" one ", 1, 1), ("```\nopen fence", 0, 3), ("two words", 2, 2)],
+)
+def test_word_counts(frame, text, markdown, latex):
+    r = count_document_words(frame([(text,)], "text string")).first()
+    assert markdown in (None, r.markdown_words) and latex in (None, r.latex_words)
