@@ -5,4 +5,6 @@ Importing the subpackage registers every query in ``registry.QUERIES``.
 
 from fieldledger.llm import (  # noqa: F401
     decontaminate,
+    pii,
+    secrets,
 )
