@@ -5,6 +5,7 @@ Importing the subpackage registers every query in ``registry.QUERIES``.
 
 from fieldledger.llm import (  # noqa: F401
     bpe,
+    count,
     decontaminate,
     pii,
     secrets,
