@@ -9,4 +9,5 @@ from fieldledger.llm import (  # noqa: F401
     decontaminate,
     pii,
     secrets,
+    toxicity,
 )
