@@ -7,6 +7,7 @@ from fieldledger.llm import (  # noqa: F401
     bpe,
     count,
     decontaminate,
+    langid,
     pii,
     secrets,
     toxicity,
