@@ -10,5 +10,6 @@ from fieldledger.llm import (  # noqa: F401
     langid,
     pii,
     secrets,
+    simhash,
     toxicity,
 )
