@@ -9,7 +9,8 @@ from fieldledger.llm import (  # noqa: F401
     decontaminate,
     langid,
     pii,
-    secrets,
+    secretscan,
     simhash,
     toxicity,
+    weighted,
 )
