@@ -204,34 +204,48 @@ def decode_documents(coded: DataFrame, keep: list[Column], ddl: str, ids: str =
     return map_rows(coded, [F.col(ids), *keep], f"{ddl}, text string", make)
 
 
-def coded_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = FILE, folder: str = FOLDER) -> DataFrame:
-    """Encode and decode in one pass, block by block: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
-
-    A null text reads as empty. Rows are kept one for one, repeated rows and null ids too.
+def coded_digests(
+    docs: DataFrame,
+    keep: list[Column] | None = None,
+    ddl: str = "doc_id bigint",
+    text: str = "text",
+    with_ids: bool = False,
+    name: str = FILE,
+    folder: str = FOLDER,
+) -> DataFrame:
+    """Encode and decode in one pass, block by block.
+
+    The ``keep`` columns (the id, unless given; typed by ``ddl``), ``n_tokens``, ``ids_sha256`` over the ids as
+    little-endian unsigned 32-bit integers, ``decoded_sha256`` over the decoded text, and ``token_ids`` if asked
+    for. A null text reads as empty. Rows are kept one for one, repeated rows and null ids too.
     """
 
     def make():
         encoder, decoder = coders(name, folder)
 
-        def run(ids, texts):
-            for i, t in zip(ids, texts, strict=True):
-                coded, plain, n = hashlib.sha256(), hashlib.sha256(), 0
+        def run(texts, *kept):
+            for t, *row in zip(texts, *kept, strict=True):
+                coded, plain, ids, n = hashlib.sha256(), hashlib.sha256(), array("I"), 0
 
-                def passing(blocks, coded=coded):
+                def passing(blocks, coded=coded, ids=ids):
                     nonlocal n
                     for block in blocks:
                         n += len(block) // 4
                         coded.update(block)
+                        if with_ids:
+                            ids.extend(ids_of(block))
                         yield block
 
                 for part in decoder.surfaces(passing(encoder.encode(t))):
                     plain.update(part.encode())
-                yield i, n, coded.hexdigest(), plain.hexdigest()
+                out = (*row, n, coded.hexdigest(), plain.hexdigest())
+                yield (*out, ids.tolist()) if with_ids else out
 
         return run
 
-    ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return map_rows(docs, [F.col(doc_id).cast("long"), text_column(text)], ddl, make)
+    columns = keep or [F.col("doc_id").cast("long")]
+    ddl = f"{ddl}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
+    return map_rows(docs, [text_column(text), *columns], ddl, make)
 
 
 @doc_query("op2_streaming_bpe")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.llm.registry import doc_query, table
-from fieldledger.llm.rows import map_rows, text_column
+from fieldledger.llm.rows import map_rows, ship_package, text_column
 
 WINDOW = 13
 MAX_BLOCK_BYTES = 16 << 20
@@ -135,9 +135,14 @@ def benchmark_hits(
     windows. Rows are kept one for one, repeated rows too; a null id stays null. An empty benchmark or an
     empty table of documents gives no hits or no rows.
     """
-    ddl = "doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
     sc = docs.sparkSession.sparkContext
     groups = [sc.broadcast(g) for g in item_groups(benchmark, item, item_text, max_block_bytes)]
+    return hits_by_group(docs, groups, doc_id, text, length).drop("digest")
+
+
+def hits_by_group(docs: DataFrame, groups: list, doc_id: str, text: str, length: int, digest: bool = False) -> DataFrame:
+    """Search for one broadcast group of items after another; ``digest`` adds the SHA-256 of the text."""
+    ddl = "doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
     inputs = [F.col(doc_id).cast("long"), text_column(text)]
 
     def scan(group):
@@ -153,26 +158,21 @@ def benchmark_hits(
 
         return make
 
-    if len(groups) <= 1:
+    if len(groups) <= 1 and not digest:
         return map_rows(docs, inputs, ddl, scan(groups[0] if groups else None))
-    # several groups: every document keeps a key of its own through the scans, and its runs are merged
-    keyed = [*inputs, F.xxhash64(F.coalesce(F.col(text), F.lit("")))]
+    keyed = [*inputs, F.sha2(text_column(text), 256)]
     parts = None
     for g in groups:
-        part = map_rows(docs, keyed, "k bigint, " + ddl, with_key(scan(g)))
+        part = map_rows(docs, keyed, "digest string, " + ddl, with_key(scan(g)))
         parts = part if parts is None else parts.unionByName(part)
-    counted = parts.groupBy("k", "doc_id", "n_words").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    # every row comes once from each group: repeated rows are told by how many times over
+    merged_rows = parts.groupBy("digest", "doc_id", "n_words").agg(
+        F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         (F.count(F.lit(1)) / F.lit(len(groups))).cast("int").alias("copies"),
     )
-    one = map_rows(
-        counted,
-        [F.col(c) for c in ("doc_id", "n_words", "spans", "items", "copies")],
-        ddl,
-        merge_spans,
-    )
-    return one
+    columns = ["digest", "doc_id", "n_words", "spans", "items", "copies"]
+    return map_rows(merged_rows, [F.col(c) for c in columns], "digest string, " + ddl, merge_spans)
 
 
 def with_key(make):
@@ -189,22 +189,20 @@ def with_key(make):
 
 
 def merge_spans():
-    def run(ids, counts, spans, items, copies):
-        for i, n, s, it, c in zip(ids, counts, spans, items, copies, strict=True):
+    def run(digests, ids, counts, spans, items, copies):
+        for d, i, n, s, it, c in zip(digests, ids, counts, spans, items, copies, strict=True):
             runs = [{"start": a, "end": b} for a, b in merged((x["start"], x["end"]) for x in s)]
             for _ in range(c):
-                yield i, n, runs, it
+                yield d, i, n, runs, it
 
     return run
 
 
-
-
-def contamination(found: DataFrame) -> DataFrame:
+def contamination(found: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The counts of each document and whether a twentieth of its words, at least, is hit."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     out = found.select(
-        "doc_id",
+        *(keys or ["doc_id"]),
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -213,6 +211,41 @@ def contamination(found: DataFrame) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def is_contaminated(n_words: int, n_hit: int) -> bool:
+    return n_hit > 0 and 20 * n_hit >= n_words
+
+
+def uncontaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    max_block_bytes: int = MAX_BLOCK_BYTES,
+) -> DataFrame:
+    """The rows, with all their columns, that are not contaminated; a null or wordless text never is."""
+    ship_package(docs.sparkSession)
+    sc = docs.sparkSession.sparkContext
+    groups = [sc.broadcast(g) for g in item_groups(benchmark, item, item_text, max_block_bytes)]
+    if len(groups) > 1:
+        # runs of hit words must be merged over the groups: found by the digest of the text, then left out
+        keyed = docs.select(text_column(text).alias("text"), F.lit(0).cast("long").alias("doc_id")).distinct()
+        found = hits_by_group(keyed, groups, "doc_id", "text", WINDOW, digest=True)
+        bad = contamination(found, ["digest"]).filter("contaminated").select("digest").distinct()
+        marked = docs.withColumn("_digest", F.sha2(text_column(text), 256))
+        return marked.join(bad, F.col("_digest") == F.col("digest"), "left_anti").drop("_digest")
+
+    def clean(batches):
+        search = searchers(groups[0].value if groups else [])
+        for batch in batches:
+            found = (hits(t, search) if isinstance(t, str) else (0, [], set()) for t in batch)
+            keep = [not is_contaminated(n, sum(b - a for a, b in spans)) for n, spans, _ in found]
+            yield batch.__class__(keep, dtype=bool)
+
+    udf = F.pandas_udf(clean, "boolean", F.PandasUDFType.SCALAR_ITER)
+    return docs.filter(udf(F.col(text)))
+
+
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 SQL = f"""
 WITH item_words AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
