@@ -9,6 +9,7 @@ from fieldledger.llm import (  # noqa: F401
     decontaminate,
     langid,
     pii,
+    repeats,
     secretscan,
     simhash,
     toxicity,
