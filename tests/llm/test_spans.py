@@ -1,0 +1,128 @@
+"""Secrets, personal data and benchmark windows against plain versions."""
+
+import random
+import re
+
+import pytest
+
+from llm_fixtures import docs_of  # noqa: F401
+
+from fieldledger.llm import decontaminate as D
+from fieldledger.llm import pii, secretscan, spans
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+PIECES = ["password", "PASSWD", "Token", "api_key", "apikey", "secret", "=", ":", " ", '"', "'", "abc12345", "x", "AKIA", "AKIAABCDEFGH1234", "deadbeef" * 4, "0" * 31, "ſecret=abcdefgh1", "Key", "é", "@", "a.b", "joe_x@mail.example.com", "1.2.3.4", "999.1.1.1", "4539 1488 0343 6467", "4539-1488-0343-6468", "+1 (415) 555-0101", "+12", "12  34", ".", "-", "DE89 3704 0044 0532 0130 00", "iban", "123-45-6789", "ssn "]
+
+
+def texts(seed, n=400):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 14))) for _ in range(n)]
+
+
+def plain_secrets(t):
+    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(t) if len(m.group(2)) >= 8]
+    found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 16]
+    found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 32]
+    return sorted(found, key=lambda s: (s[1], secretscan.BASE.index(s[0])))
+
+
+def plain_personal(t):
+    tests = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s, d: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s, d: all(int(p) <= 255 for p in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s, d: 13 <= len(d) <= 19 and pii.luhn(d)),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s, d: 9 <= len(d) <= 15),
+    }
+    return [(k, m.start(), m.end()) for k, (p, ok) in tests.items() for m in re.finditer(p, t) if ok(m.group(), re.sub("[^0-9]", "", m.group()))]
+
+
+def test_secrets_equal_plain_scan():
+    sample = texts(1)
+    for t, found in zip(sample, secretscan.TrigramScan(secretscan.RULES).find(sample), strict=True):
+        assert [s[:3] for s in found if s[0] in secretscan.BASE] == plain_secrets(t)
+
+
+def test_rules_without_trigrams_scan_fully():
+    assert secretscan.trigram_query("[0-9a-f]{32,}") is True
+    assert secretscan.trigram_query("ab+c") is True
+    assert secretscan.trigram_query("abcd") == ("and", ("abc", "bcd"))
+    kind, parts = secretscan.trigram_query("(?:abc|xyz)d*")
+    assert kind == "or" and set(parts) == {"abc", "xyz"}
+
+
+@pytest.mark.parametrize("rule", secretscan.RULES, ids=lambda r: r.kind)
+def test_every_match_satisfies_its_query(rule):
+    query = secretscan.trigram_query(rule.pattern)
+
+    def holds(q, text):
+        if q is True:
+            return True
+        if isinstance(q, str):
+            return q in text
+        return (all if q[0] == "and" else any)(holds(p, text) for p in q[1])
+
+    samples = texts(2) + ["-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a" * 36, "xoxb-1234567890", "AIza" + "b" * 35, "eyJabcdefgh.eyJabcdefgh.abcdefgh"]
+    assert all(holds(query, t.lower()) for t in samples if re.search(rule.pattern, t, re.A))
+
+
+def test_personal_data_equals_plain_scan():
+    for t in texts(3, 800):
+        assert [s[:3] for s in pii.personal_data(t) if s[0] in pii.BASE] == plain_personal(t)
+
+
+def test_checksums_and_context():
+    assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE89370400440532013001")
+    assert [s[0] for s in pii.personal_data("my iban: DE89 3704 0044 0532 0130 00.")] == ["iban"]
+    assert [s[0] for s in pii.personal_data("social security 123-45-6789")] == ["ssn"]
+    assert pii.personal_data("order 123-45-6789") == []
+
+
+def test_long_runs_are_linear():
+    assert pii.personal_data("9" * 200_000 + "a" * 200_000 + "." * 1000) == []
+
+
+def test_masking_merges_overlaps():
+    assert spans.masked("abcdef", [("x", 1, 3, 1.0), ("y", 2, 4, 1.0)], "#") == "a#ef"
+
+
+def test_masked_texts_hold_no_secret(spark, docs_of):
+    sample = texts(4, 60)
+    masked = [r.text for r in secretscan.mask_secrets(docs_of(list(enumerate(sample)))).collect()]
+    assert len(masked) == 60 and not any(plain_secrets(t) for t in masked)
+
+
+def plain_hits(text, items):
+    cut = lambda t: [w for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))]
+    w, hit, named = cut(text), set(), set()
+    for name, t in items:
+        p = cut(t)
+        size = min(13, len(p))
+        for i in range(len(p) - size + 1 if p else 0):
+            for j in range(len(w) - size + 1):
+                if w[j : j + size] == p[i : i + size]:
+                    hit |= set(range(j, j + size))
+                    named.add(name)
+    return len(w), len(hit), sorted(named)
+
+
+def test_wu_manber_equals_plain_search(spark, docs_of):
+    rnd = random.Random(5)
+    vocab = ["a", "B", "cé", "d1", "e-f", "G"]
+    draw = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    items = [(str(i), draw(rnd.choice([0, 1, 2, 5, 13, 16]))) for i in range(12)]
+    docs = [(i, draw(rnd.randint(0, 60)) + " " + rnd.choice(items)[1]) for i in range(40)]
+    bench = spark.createDataFrame([(int(i), t) for i, t in items], "item_id bigint, text string")
+    for size in (1 << 20, 40):
+        got = {r.doc_id: r for r in D.benchmark_hits(docs_of(docs), bench, max_block_bytes=size).collect()}
+        for i, t in docs:
+            n_hit = sum(s.end - s.start for s in got[i].spans)
+            assert (got[i].n_words, n_hit, list(got[i]["items"])) == plain_hits(t, items)
+
+
+def test_uncontaminated_keeps_clean_documents(spark, docs_of):
+    passage = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, passage), (2, "other words " * 9)], "item_id bigint, text string")
+    docs = docs_of([(1, passage), (2, "clean text"), (3, "pad " * 500 + passage), (4, None)])
+    for size in (1 << 20, 30):
+        kept = sorted(r.doc_id for r in D.uncontaminated(docs, bench, max_block_bytes=size).collect())
+        assert kept == [2, 3, 4]
