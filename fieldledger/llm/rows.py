@@ -13,6 +13,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 # A piece of a batch holds at most so many rows and, if it is more than one row, so many bytes.
 PIECE_ROWS = 512
 PIECE_BYTES = 4 << 20
+#: So many output rows are handed on at a time, however many a piece yields.
+OUTPUT_ROWS = 8192
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -70,8 +73,8 @@ def map_rows(df: DataFrame, inputs: list[Column], ddl: str, make: Callable[[], C
         fn = make()
         for batch in batches:
             for piece in pieces(batch):
-                rows = list(fn(*[c.to_pylist() for c in piece.columns]))
-                if rows:
+                made = iter(fn(*[c.to_pylist() for c in piece.columns]))
+                while rows := list(islice(made, OUTPUT_ROWS)):
                     columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), arrow.types, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
