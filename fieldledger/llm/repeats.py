@@ -32,7 +32,7 @@ from fieldledger.llm.registry import doc_query, table
 from fieldledger.llm.rows import map_rows, shared_table, ship_package, text_column
 
 LENGTH, GRAM = 400, 64
-SHARE = 8192
+SHARE = 2048
 #: Bytes of context whose suffixes are sorted at a time, if the groups allow; bytes of text hashed at a time.
 SORTED_BYTES, STRETCH = 1 << 20, 1 << 22
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
