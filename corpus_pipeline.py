@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fieldledger.llm import bpe, decontaminate, langid, secretscan, simhash
 from fieldledger.llm.registry import DocQuery, table
-from fieldledger.llm.rows import checkpoint_folder
+from fieldledger.operators.lineage import shared_folder
 
 #: A language is taken as recognised from this calibrated probability on.
 LEAST_LANGUAGE_SCORE = 0.35
@@ -60,7 +60,7 @@ STAGES: list[tuple[str, Stage]] = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what each stage but the last returns is written to the shared folder and reread."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

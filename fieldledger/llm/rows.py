@@ -7,7 +7,6 @@ travel to the workers, so further columns of the table, whatever their names, pl
 
 from __future__ import annotations
 
-import hashlib
 import os
 import tempfile
 import uuid
@@ -21,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from fieldledger.operators.lineage import shared_folder
+
 # A piece of a batch holds at most so many rows and, if it is more than one row, so many bytes.
 PIECE_ROWS = 512
 PIECE_BYTES = 4 << 20
@@ -85,26 +86,14 @@ def map_rows(df: DataFrame, inputs: list[Column], ddl: str, make: Callable[[], C
 def shared_table(df: DataFrame) -> DataFrame:
     """Write a table that several later steps read into the folder the session names, and read it back.
 
-    The written rows outlive any executor. The folder is ``spark.checkpoint.dir``; a session without it must
-    set it first.
+    The written rows outlive any executor.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/docs-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/docs-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", "")
-    if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named.rstrip("/")
-
-
-def sha256_text(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-
-
 def text_column(name: str = "text") -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
