@@ -79,8 +79,8 @@ def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def largest_cohort(df: DataFrame, key: str) -> DataFrame:
-    """Rows sharing the most frequent key value (the smallest such value on a tie)."""
-    top = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), F.asc(key)).limit(1)
+    """Rows sharing the most frequent key value (the smallest such value on a tie); a missing value is none."""
+    top = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), F.asc(key)).limit(1)
     return df.join(F.broadcast(top.select(key)), [key], "left_semi")
 
 

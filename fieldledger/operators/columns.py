@@ -52,26 +52,27 @@ def transform_columns(df: DataFrame, cols: list[str], fn) -> DataFrame:
     return df.withColumns({c: fn(F.col(c)) for c in cols})
 
 
-def dummy_columns(
-    df: DataFrame, cols: list[str], levels: dict[str, list[str]] | None = None, max_levels: int = 200
-) -> DataFrame:
-    """Replace string columns by 0/1 columns named ``<column>_<level>``.
+def dummy_columns(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
+    """Replace string columns by 0/1 columns named ``<column>_<level>``, one for each given level.
 
-    Levels not given are read from the data; a column with more than ``max_levels`` is refused,
-    since each level becomes a column.
+    The levels are named by the caller, so that the schema does not depend on the data; ``level_rows`` needs none.
+    Two levels whose names become equal once cleaned are refused.
     """
     exprs: dict[str, Column] = {}
-    for c in cols:
-        known = (levels or {}).get(c)
-        if known is None:
-            found = df.select(c).where(F.col(c).isNotNull()).distinct().limit(max_levels + 1).collect()
-            if len(found) > max_levels:
-                raise ValueError(f"{c} has more than {max_levels} levels")
-            known = sorted(r[0] for r in found)
+    for c, known in levels.items():
         for v in known:
             name = f"{c}_" + re.sub(r"[^0-9a-z]+", "_", v.lower()).strip("_")
+            if name in exprs or (name in df.columns and name not in levels):
+                raise ValueError(f"level {v!r} of {c} gives the column {name} a second time")
             exprs[name] = F.when(F.col(c) == v, 1).otherwise(0)
-    return df.withColumns(exprs).drop(*cols)
+    return df.withColumns(exprs).drop(*levels)
+
+
+def level_rows(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """The long form of 0/1 columns: ``key, column, level, flag`` = 1 for every value that is not missing."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in cols])
+    long = df.select(F.col(key), F.explode(pairs).alias("_p")).select(key, "_p.column", "_p.level", F.lit(1).alias("flag"))
+    return long.filter(F.col("level").isNotNull())
 
 
 def threshold_flags(df: DataFrame, cols: list[str], threshold: float = 0.15) -> DataFrame:

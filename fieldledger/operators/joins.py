@@ -121,15 +121,6 @@ def semi_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b.select(*keys).distinct(), keys, "left_semi")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over the cores when a scan yields too few partitions for costly per-row work.
-
-    A table with more partitions than there are cores is left as it is, so nothing large is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() <= cores else df
-
-
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate as scalar subqueries (no join)."""
     row = one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("r")).scalar()

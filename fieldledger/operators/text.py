@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # (pattern, replacement); the syntax is common to Java and RE2.
 MARKDOWN_STRIP = [
     (r"(?ms)^```[^\n]*(?:\n|\z).*?(?:^```[^\n]*(?:\n|\z)|\z)", ""),
-    (r"`r[^`]*`", ""),
+    (r"`r[^`\n]*`", ""),
     (r"(?ms)^# References \{-\}.*\z", ""),
     (r"\n", " "),
     (r"\$\$[^$]+\$\$", ""),

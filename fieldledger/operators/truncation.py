@@ -1,9 +1,11 @@
 """Recover the moments of a full lognormal population from a truncated sample.
 
 For ln X ~ N(m, s) cut from above at u, with z = (ln u - m) / s and r = pdf(z) / cdf(z), the sample
-moments satisfy (ln u - mean) / sd = (z + r) / sqrt(1 - r (z + r)). The right side rises with z, so z
-is found by bisection, one fixed-length fold per group inside the JVM; then
-s = (ln u - mean) / (z + r) and m = ln u - z s. A ratio of one or less has no root and gives NULL.
+moments satisfy t = (ln u - mean) / sd = (z + r) / sqrt(1 - r (z + r)). The right side rises with z from 1 and is
+never below z, so the root lies below t; and it is about 1 + 1 / z^2 far below zero, so the root lies above
+-2 / sqrt(t - 1) - 2. Between these ends of its own each row is bisected, one fixed-length fold inside the JVM;
+then s = (ln u - mean) / (z + r) and m = ln u - z s. Next to 1, where the right side cannot be told from its limit
+in double precision, z = -1 / sqrt(t - 1). A ratio of one or less has no root and gives NULL.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from pyspark.sql import functions as F
 
 from fieldledger.functions.normal import Literal, cdf_text, pdf_text, spark_double
 
-Z_LOW, Z_HIGH, STEPS = -30.0, 37.0, 80
+STEPS = 80
+# ratios closer to one take the root of the leading term
+NEAR_ONE = 1e-6
 # below this the distribution function is so small that z + r is taken from its continued fraction
 FRACTION_BELOW, FRACTION_TERMS = -5.0, 40
 
@@ -35,9 +39,10 @@ def solve_cut(target: str) -> Column:
         f"CASE WHEN g / sqrt(1 - (g - z) * g) < {target} THEN named_struct('lo', z, 'hi', a.hi) "
         "ELSE named_struct('lo', a.lo, 'hi', z) END)[0])[0]"
     )
-    start = f"named_struct('lo', {spark_double(Z_LOW)}, 'hi', {spark_double(Z_HIGH)})"
+    start = f"named_struct('lo', -2D / sqrt({target} - 1) - 2D, 'hi', {target})"
     root = f"aggregate(sequence(1, {STEPS}), {start}, (a, i) -> {step}, a -> (a.lo + a.hi) / 2)"
-    return F.expr(f"CASE WHEN {target} > 1 THEN {root} END")
+    far = f"-1D / sqrt({target} - 1)"
+    return F.expr(f"CASE WHEN {target} > 1 + {spark_double(NEAR_ONE)} THEN {root} WHEN {target} > 1 THEN {far} END")
 
 
 def untruncate_upper(moments: DataFrame, m_bar: str, s_bar: str, cut: str) -> DataFrame:

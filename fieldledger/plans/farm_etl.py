@@ -32,7 +32,7 @@ FIELD_FLAGS = ["irrigated", "tenure_deed", "oxen", "tractor"]
 
 
 def crop_by_field(crop: DataFrame) -> DataFrame:
-    """Main-season crops per household, field and crop: dry-equivalent harvest, seed, adoption."""
+    """Main-season crops per household, field and crop: dry-equivalent harvest, seed, share of hybrid entries."""
     kept = crop.filter(F.col("crop").isin(CROPS) & (F.col("harvest") == "main"))
     dry = F.when(F.col("crop") == "maize-green", F.col("kgharv") * GREEN_TO_DRY).otherwise(F.col("kgharv"))
     adopter = F.when(F.col("sdtype").isin(HYBRID_SEED), 1).otherwise(0)
@@ -47,7 +47,7 @@ def crop_by_field(crop: DataFrame) -> DataFrame:
         adopter.alias("adopter"),
     )
     return rows.groupBy("dist", "hhid", "field", "crop").agg(
-        *[sum_safe(c).alias(c) for c in ("kgharv", "seedkg", "scost")], F.max("adopter").alias("adopter")
+        *[sum_safe(c).alias(c) for c in ("kgharv", "seedkg", "scost")], F.avg("adopter").alias("adopter")
     )
 
 
@@ -101,11 +101,14 @@ def labour_wide(labour: DataFrame, activities: list[str]) -> DataFrame:
 
 
 def chemicals_wide(inputs: DataFrame, bad_price: float | None = 76500.0) -> DataFrame:
-    """Pest-chemical kilograms and cost per household and crop, in kilograms whatever the purchase unit."""
+    """Pest-chemical kilograms and cost per household and crop, in kilograms whatever the purchase unit.
+
+    Only purchases for the crops of the study count, and green and dry maize are one crop, as on the fields.
+    """
     factor = unit_factor("punit")
-    rows = inputs.select(
+    rows = inputs.filter(F.col("mcrop").isin(CROPS)).select(
         "hhid",
-        F.col("mcrop").alias("crop"),
+        substring_recode("mcrop", [("maize", "maize")]).alias("crop"),
         (F.col("numpur") * factor).alias("kg"),
         (F.col("inputpr") / factor).alias("price"),
     )

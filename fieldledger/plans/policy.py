@@ -13,8 +13,6 @@ from fieldledger.operators.reshape import nearest_cell
 from fieldledger.operators.series import season_drift
 from fieldledger.operators.truncation import (
     STEPS,
-    Z_HIGH,
-    Z_LOW,
     mean_gap_text,
     untruncate_lower,
     untruncate_upper,
@@ -104,8 +102,8 @@ def _solve_sql(source: str, key: str, out: str, side: int, cut: str, m_bar: str,
     gap = f"({side}) * (ln({cut}) - {m_bar})"
     return f"""
 {out}_bis AS (
-  SELECT {key}, {gap} / {s_bar} AS t, {Z_LOW}::DOUBLE AS lo, {Z_HIGH}::DOUBLE AS hi, 0 AS it FROM {source}
-  WHERE {gap} / {s_bar} > 1
+  SELECT {key}, {gap} / {s_bar} AS t, -3 / sqrt({gap} / {s_bar} - 1) - 5 AS lo, {gap} / {s_bar} + 1 AS hi, 0 AS it
+  FROM {source} WHERE {gap} / {s_bar} > 1
   UNION ALL
   SELECT {key}, t, CASE WHEN sg < t THEN mid ELSE lo END, CASE WHEN sg < t THEN hi ELSE mid END, it + 1 FROM (
     SELECT *, g / sqrt(1 - (g - mid) * g) AS sg FROM (
@@ -300,6 +298,7 @@ RISK_DIGITS = {
     "risk_elasticity": 4,
 }
 RISK_GRID = (0.25, 2.0, 50)
+# Ranges and steps of the supply map, price ratio and rainfall ratio.
 MAP_GRID, MAP_RAIN = (0.75, 1.2, 50), (0.2, 3.0, 50)
 
 
@@ -361,8 +360,10 @@ def scenario_grid(spark, d):
 
 # --------------------------------------------------------------------------------------- interventions
 
+# The intervention scenario (productivity gain, expected-price response, ratio of elasticities, subsidy).
 SCENARIO = {"dln_g": 0.3, "alpha_dlw": 0.2, "nu_ratio": 0.75, "subsidy": 10000.0}
 DLN_P = -SCENARIO["alpha_dlw"] * SCENARIO["nu_ratio"]
+# Ranges and steps of the policy grid, price change and subsidy.
 GRID_DLW, GRID_SUBSIDY = (0.19, 0.23, 30), (3000.0, 20000.0, 30)
 
 

@@ -15,6 +15,7 @@ from fieldledger.plans.views import (
     daily_quotes,
     day_text,
     monthly_prices,
+    table,
 )
 
 
@@ -139,7 +140,7 @@ WEEK_SQL = (
     + f""",
 ch AS ({_change("market", "daily")}),
 reg AS (
-  SELECT *, CAST(week(date) AS INTEGER) AS wk, CAST(isodow(date) AS INTEGER) AS dow,
+  SELECT *, CAST(isoyear(date) * 100 + week(date) AS INTEGER) AS wk, CAST(isodow(date) AS INTEGER) AS dow,
          CASE WHEN week(date) % 2 = 1 THEN 'up' ELSE 'down' END AS regime FROM ch),
 drift AS (SELECT regime, avg(log_change) AS m, stddev_samp(log_change) AS s FROM reg GROUP BY regime),
 anchor AS (
@@ -154,7 +155,8 @@ expect AS (
 def weekly_expected(spark, d):
     changes = S.log_change(daily_quotes(spark, d), "market").withColumns(
         {
-            "wk": F.weekofyear("date"),
+            # ISO year and week, so that the same week of another year is another one
+            "wk": F.extract(F.lit("YEAROFWEEK"), F.col("date")) * 100 + F.weekofyear("date"),
             "dow": F.weekday("date") + 1,
             "regime": F.when(F.weekofyear("date") % 2 == 1, "up").otherwise("down"),
         }
@@ -201,3 +203,85 @@ def forecast_anomaly(spark, d):
 def price_at_anchor(spark, d):
     out = S.price_at_anchor(market_months(spark, d), ["market", "yr"], F.col("mon"), "price", 3, (2, 4))
     return out.withColumn("p0", rounded("p0", 4))
+
+
+# Regimes by year: odd years play the part of the up years.
+YEARLY_SQL = (
+    MONTHLY_SQL
+    + f""",
+ych AS ({_change("market", "monthly")}),
+yreg AS (
+  SELECT *, CAST(year(date) AS INTEGER) AS yr, CAST(month(date) AS INTEGER) AS mon,
+         CASE WHEN year(date) % 2 = 1 THEN 'up' ELSE 'down' END AS regime FROM ych),
+ydrift AS (SELECT regime, avg(log_change) AS m, stddev_samp(log_change) AS s FROM yreg GROUP BY regime),
+yanchor AS (
+  SELECT market, yr, regime, coalesce(avg(CASE WHEN mon = 3 THEN price END),
+         avg(CASE WHEN mon BETWEEN 2 AND 4 THEN price END)) AS p0 FROM yreg GROUP BY market, yr, regime),
+yexpect AS (
+  SELECT a.market, a.yr, a.regime, a.p0, d.m, d.s, a.p0 * exp(d.m * 5) AS expected
+  FROM yanchor a JOIN ydrift d ON a.regime = d.regime WHERE a.p0 IS NOT NULL),
+yfinal AS (SELECT market, yr, avg(price) AS pt FROM yreg WHERE mon BETWEEN 8 AND 10 GROUP BY market, yr)"""
+)
+
+
+def yearly_expected(spark, d):
+    changes = S.log_change(monthly_prices(spark, d), "market").withColumns(
+        {
+            "yr": F.year("date"),
+            "mon": F.month("date"),
+            "regime": F.when(F.year("date") % 2 == 1, "up").otherwise("down"),
+        }
+    )
+    anchors = S.price_at_anchor(changes, ["market", "yr", "regime"], F.col("mon"), "price", 3, (2, 4))
+    return changes, S.expected_by_regime(anchors, S.drift_by_regime(changes), 5)
+
+
+@query(
+    "regime_expected_price_yearly",
+    f"""WITH {YEARLY_SQL} SELECT market, yr, regime, {rnd("p0", 4)} AS p0, {rnd("m", 8)} AS m, {rnd("s", 8)} AS s,
+        {rnd("expected", 4)} AS expected FROM yexpect""",
+)
+def regime_expected_price_yearly(spark, d):
+    _, out = yearly_expected(spark, d)
+    digits = {"p0": 4, "m": 8, "s": 8, "expected": 4}
+    return out.select("market", "yr", "regime", *[rounded(c, n).alias(c) for c, n in digits.items()])
+
+
+@query(
+    "forecast_anomaly_yearly",
+    f"""WITH {YEARLY_SQL} SELECT e.market, e.yr, {rnd("e.expected", 4)} AS expected, {rnd("f.pt", 4)} AS realised,
+        {rnd("100 * (e.expected - f.pt) / nullif(f.pt, 0)", 6)} AS anomaly_pct
+        FROM yexpect e JOIN yfinal f ON e.market = f.market AND e.yr = f.yr""",
+)
+def forecast_anomaly_yearly(spark, d):
+    changes, expected = yearly_expected(spark, d)
+    realised = changes.filter(F.col("mon").between(8, 10)).groupBy("market", "yr").agg(F.avg("price").alias("pt"))
+    out = S.forecast_anomaly(expected, realised, ["market", "yr"])
+    return out.select(
+        "market", "yr", rounded("expected", 4).alias("expected"), rounded("pt", 4).alias("realised"),
+        rounded("anomaly_pct", 6).alias("anomaly_pct"),
+    )
+
+
+@query(
+    "weather_daily",
+    f"""WITH hourly AS (
+          SELECT CAST(ts AS DATE) AS date, value, value * value AS squared FROM events
+          WHERE hour(ts) BETWEEN 7 AND 18 AND month(ts) BETWEEN 1 AND 7),
+        day AS (SELECT date, avg(value) AS value, avg(squared) AS squared FROM hourly GROUP BY date),
+        long AS (SELECT date, 'value' AS market, value AS price FROM day UNION ALL SELECT date, 'squared', squared FROM day),
+        ch AS ({_change("market", "long")})
+        SELECT strftime(date, '%Y-%m-%d') AS day, market AS variable, {rnd("price", 4)} AS value,
+        {rnd("log_change", 6)} AS log_change FROM ch""",
+)
+def weather_daily(spark, d):
+    ts = F.col("ts")
+    hourly = table(spark, d, "events").select(
+        F.year(ts).alias("year"), F.month(ts).alias("month"), F.day(ts).alias("day"), F.hour(ts).alias("hour"),
+        "value", (F.col("value") * F.col("value")).alias("squared"),
+    )
+    out = S.weather_daily(hourly, (7, 18), (1, 7), ["value", "squared"])
+    return out.select(
+        day_text("date").alias("day"), "variable", rounded("value", 4).alias("value"),
+        rounded("log_change", 6).alias("log_change"),
+    )

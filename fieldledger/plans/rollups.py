@@ -360,8 +360,17 @@ def duplicate_keys(spark, d):
 
 @query(
     "largest_cohort",
-    """WITH top AS (SELECT p_retailprice AS p FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+    """WITH top AS (SELECT p_retailprice AS p FROM part WHERE p_retailprice IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
        SELECT p_retailprice, p_partkey, p_type FROM part WHERE p_retailprice IN (SELECT p FROM top)""",
 )
 def largest_cohort(spark, d):
     return A.largest_cohort(table(spark, d, "part").select("p_retailprice", "p_partkey", "p_type"), "p_retailprice")
+
+
+@query(
+    "single_valued",
+    """SELECT l_orderkey, min(l_returnflag) AS lowest, max(l_returnflag) AS highest FROM lineitem
+       GROUP BY l_orderkey HAVING min(l_returnflag) <> max(l_returnflag)""",
+)
+def single_valued(spark, d):
+    return A.single_valued(table(spark, d, "lineitem"), ["l_orderkey"], "l_returnflag")

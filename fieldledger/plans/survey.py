@@ -23,7 +23,7 @@ from fieldledger.operators import reshape as R
 from fieldledger.operators.regression import cross_ratio, simple_fit
 from fieldledger.plans.registry import query, rnd, sql_log, sql_safe_log
 from fieldledger.plans.views import FARMS_SQL, LABELS, farms, table
-from fieldledger.sources import literal_table, union_sources
+from fieldledger.sources import literal_table, tag_source, union_sources
 
 
 @query(
@@ -33,11 +33,8 @@ from fieldledger.sources import literal_table, union_sources
 )
 def multi_source_union(spark, d):
     def part(name, key, value):
-        return spark.read.parquet(f"{d}/{name}.parquet").select(
-            F.regexp_extract(F.col("_metadata.file_name"), r"^(\w+)\.parquet$", 1).alias("source"),
-            F.col(key).alias("id"),
-            F.col(value).alias("balance"),
-        )
+        tagged = tag_source(spark.read.parquet(f"{d}/{name}.parquet"))
+        return tagged.select("source", F.col(key).alias("id"), F.col(value).alias("balance"))
 
     return union_sources([part("customer", "c_custkey", "c_acctbal"), part("supplier", "s_suppkey", "s_acctbal")])
 
@@ -292,7 +289,12 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
     + " FROM customer",
 )
 def dummy_columns(spark, d):
-    return C.dummy_columns(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
+    return C.dummy_columns(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), {"c_mktsegment": SEGMENTS})
+
+
+@query("level_rows", "SELECT c_custkey, 'c_mktsegment' AS \"column\", c_mktsegment AS level, 1 AS flag FROM customer WHERE c_mktsegment IS NOT NULL")
+def level_rows(spark, d):
+    return C.level_rows(table(spark, d, "customer"), "c_custkey", ["c_mktsegment"])
 
 
 @query(

@@ -17,9 +17,9 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     return spark.createDataFrame(rows, schema)
 
 
-def tag_source(df: DataFrame, pattern: str, column: str = "source") -> DataFrame:
-    """Tag rows with the part of their file name that ``pattern`` captures."""
-    return df.withColumn(column, F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
+def tag_source(df: DataFrame, pattern: str = r"/([^/]+)\.parquet(?:/|$)", column: str = "source") -> DataFrame:
+    """Tag rows with the part of their path that ``pattern`` captures: a file's name, or that of a folder of parts."""
+    return df.withColumn(column, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
 def union_sources(frames: list[DataFrame]) -> DataFrame:

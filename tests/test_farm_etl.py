@@ -44,9 +44,9 @@ def survey(frame):
     )
     inputs = frame(
         [
-            ("h1", "maize", 500.0, 2.0, "gram"),
-            ("h1", "maize", 1.0, 180.0, "90 kg bag"),
-            ("h1", "maize", 1.0, 76500.0, "kg"),
+            ("h1", "maize-dry", 500.0, 2.0, "gram"),
+            ("h1", "maize-green", 1.0, 180.0, "90 kg bag"),
+            ("h1", "maize-dry", 1.0, 76500.0, "kg"),
         ],
         "hhid string, mcrop string, numpur double, inputpr double, punit string",
     )
@@ -98,3 +98,15 @@ def test_log_table(survey):
     assert tuple(got[0]) == ("North", pytest.approx(math.log(54)), 0.0, pytest.approx(math.log(1.2)), 1, 1)
     with pytest.raises(ValueError, match="dap_price"):
         E.log_table(farms, "maize", ["dap_price"], [])
+
+
+def test_chemicals_of_dry_and_green_maize_are_maize(frame):
+    rows = [("h", "maize-dry", 2.0, 10.0, "kgs"), ("h", "maize-green", 1.0, 10.0, "kgs"), ("h", "tea", 9.0, 1.0, "kgs")]
+    got = E.chemicals_wide(frame(rows, "hhid string, mcrop string, numpur double, inputpr double, punit string")).collect()
+    assert [(r.crop, r.chem_kg, r.chem_kes) for r in got] == [("maize", 3.0, 30.0)]
+
+
+def test_adoption_is_the_share_of_entries(frame):
+    schema = "dist string, hhid string, field int, crop string, harvest string, sdtype string, kgharv double, seedkg double, scost double"
+    rows = [("d", "h", 1, "maize-dry", "main", "purchased new hybrid" if i == 0 else "retained", 1.0, 1.0, 1.0) for i in range(10)]
+    assert E.crop_by_field(frame(rows, schema)).first().adopter == pytest.approx(0.1)

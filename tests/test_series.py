@@ -90,3 +90,20 @@ def test_weather_means_over_daylight(frame):
     out = S.weather_daily(df, (7, 18), (3, 7), ["temp"]).orderBy("date").collect()
     assert [r.value for r in out] == [11.0, 21.0]
     assert out[1].log_change == pytest.approx(math.log(21 / 11))
+
+
+def test_weeks_of_two_years_are_kept_apart(spark, tmp_path):
+    import datetime as dt
+
+    from fieldledger.plans import prices
+
+    days = [dt.datetime(y, 1, 5) + dt.timedelta(days=i) for y in (2021, 2022) for i in range(21)]
+    rows = [(i, t, "view", 1, float(10 + i % 5 + 90 * (t.year - 2021))) for i, t in enumerate(days)]
+    columns = spark.read.parquet("/root/testdata/sf0.001/events.parquet").schema
+    made = spark.createDataFrame(rows, "i int, ts timestamp, kind string, k int, value double")
+    filled = made.select(*[F.col(c.name).cast(c.dataType) if c.name in ("ts", "value") else F.lit("1").cast(c.dataType).alias(c.name) for c in columns])
+    filled.write.parquet(f"{tmp_path}/events.parquet")
+    _, expected = prices.weekly_expected(spark, str(tmp_path))
+    weeks = {r.wk for r in expected.select("wk").collect()}
+    assert {w // 100 for w in weeks} == {2021, 2022}
+    assert {r.wk // 100 for r in expected.filter("p0 > 80").collect()} == {2022}

@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from fieldledger import sources as S
 
 
@@ -18,21 +16,21 @@ def test_csv_round_trip(spark, frame, tmp_path):
 
 
 def test_market_prices_drop_title_and_tag_market(spark, tmp_path):
-    body = "Price of grain per KG in {0} town\n\nDate,Price\nJanuary-2006,12.96\nMarch-2006,13.309999999999999\n"
+    body = "Price of grain per KG in {0} town\n\nDate,Price\nJanuary-2001,71.5\nMarch-2001,40.089999999999996\n"
     paths = [put(tmp_path / f"Grain price {m} X.csv", body.format(m)) for m in ("North", "South")]
     got = S.read_market_prices(spark, paths, r"price (\w+) X\.csv").orderBy("market", "date").collect()
-    assert [tuple(r) for r in got[:2]] == [("North", dt.date(2006, 1, 1), 12.96), ("North", dt.date(2006, 3, 1), 13.31)]
+    assert [tuple(r) for r in got[:2]] == [("North", dt.date(2001, 1, 1), 71.5), ("North", dt.date(2001, 3, 1), 40.09)]
     assert {r.market for r in got} == {"North", "South"} and len(got) == 4
 
 
 def test_quote_file_blanks_are_null(spark, tmp_path):
-    text = 'Date,"A, wholesale","B, wholesale"\r\n2/1/2023,,50\r\n1/1/2023,53,53.273\r\n'
+    text = 'Date,"A, wholesale","B, wholesale"\r\n2/1/2003,,7\r\n1/1/2003,8,9.125\r\n'
     got = S.read_quote_prices(spark, put(tmp_path / "q.csv", text), ["a", "b"]).orderBy("market", "date").collect()
     assert [tuple(r) for r in got] == [
-        (dt.date(2023, 1, 1), "a", 53.0),
-        (dt.date(2023, 2, 1), "a", None),
-        (dt.date(2023, 1, 1), "b", 53.273),
-        (dt.date(2023, 2, 1), "b", 50.0),
+        (dt.date(2003, 1, 1), "a", 8.0),
+        (dt.date(2003, 2, 1), "a", None),
+        (dt.date(2003, 1, 1), "b", 9.125),
+        (dt.date(2003, 2, 1), "b", 7.0),
     ]
 
 
@@ -52,21 +50,16 @@ def test_trailing_header(spark, tmp_path):
 
 
 def test_county_file(spark, tmp_path):
-    text = '_id,COUNTY,Year,Area,Production,Yield\n1,North,2012,"39,753","71,867",1.81\n2,South,2012,12,-4,0.3\n'
+    text = '_id,COUNTY,Year,Area,Production,Yield\n1,North,2001,"1,234","5,678",4.6\n2,South,2001,12,-4,0.3\n'
     got = S.read_county_production(spark, put(tmp_path / "c.csv", text, "utf-8-sig")).orderBy("id").collect()
-    assert tuple(got[0]) == (1, "North", 2012, 39753.0, 71867.0, 1.81, 1)
+    assert tuple(got[0]) == (1, "North", 2001, 1234.0, 5678.0, 4.6, 1)
     assert got[1].valid == 0 and got[1].production_mt is None and got[1].area_ha is None
 
 
 def test_tagged_union(spark, tmp_path):
     for name in ("aa", "bb"):
         spark.range(2).write.parquet(str(tmp_path / name / f"{name}.parquet"))
-    parts = [
-        spark.read.parquet(str(tmp_path / n / f"{n}.parquet")).select(
-            "id", F.regexp_extract(F.col("_metadata.file_path"), r"/(\w+)\.parquet/", 1).alias("source")
-        )
-        for n in ("aa", "bb")
-    ]
+    parts = [S.tag_source(spark.read.parquet(str(tmp_path / n / f"{n}.parquet"))) for n in ("aa", "bb")]
     got = S.union_sources(parts).groupBy("source").count().collect()
     assert sorted(tuple(r) for r in got) == [("aa", 2), ("bb", 2)]
 

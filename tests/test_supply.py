@@ -208,3 +208,35 @@ Gone.
 def test_word_counts(frame, text, markdown, latex):
     r = count_document_words(frame([(text,)], "text string")).first()
     assert markdown in (None, r.markdown_words) and latex in (None, r.latex_words)
+
+
+def gap_and_factor(z):
+    """z + r and sqrt(1 - r (z + r)) for any z, from the tail's continued fraction below -5."""
+    if z < -5:
+        g = 0.0
+        for k in range(400, 0, -1):
+            g = k / (-z + g)
+        return g, math.sqrt(1 - (g - z) * g)
+    r = dens(z) / phi(z)
+    return z + r, math.sqrt(1 - r * (z + r))
+
+
+@pytest.mark.parametrize("z", [-5000.0, -300.0, -35.0, -20.0, 0.0, 20.0, 100.0, 1000.0])
+def test_root_is_found_wherever_it_lies(frame, z):
+    g, factor = gap_and_factor(z) if z > -1000 else (-1 / z, -1 / z / (1 + 1 / z**2))
+    s = 0.7
+    df = frame([(1.0 - g * s, factor * s, math.exp(1.0))], "a double, b double, c double")
+    r = T.untruncate_upper(df, "a", "b", "c").first()
+    near = 1e-4 if z < -100 else 1e-6
+    assert r.z == pytest.approx(z, rel=near, abs=1e-6) and r.s == pytest.approx(s, rel=near)
+    assert r.m == pytest.approx(1.0 - z * s, rel=2 * near, abs=1e-5)
+
+
+def test_no_truncation_gives_the_sample_moments(frame):
+    r = T.untruncate_upper(frame([(2.0, 0.1, math.exp(12.0))], "a double, b double, c double"), "a", "b", "c").first()
+    assert (r.m, r.s, r.z) == (pytest.approx(2.0), pytest.approx(0.1), pytest.approx(100.0))
+
+
+def test_unclosed_inline_code_ends_with_its_line(frame):
+    r = count_document_words(frame([("one `r x\ntwo three\nfour` five",)], "text string")).first()
+    assert r.markdown_words == 7

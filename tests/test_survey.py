@@ -34,13 +34,20 @@ def test_fill_block_follows_its_trigger(frame):
     assert rows(C.fill_block(df, "a", ["a", "b"])) == [(0.0, 0.0, 3.0), (1.0, None, 3.0)]
 
 
-def test_dummies_and_level_bound(frame):
+def test_dummies_of_named_levels(frame):
     df = frame([(1, "Oxen (own)"), (2, "none"), (3, None)], "id int, prep string")
-    got = C.dummy_columns(df, ["prep"])
+    got = C.dummy_columns(df, {"prep": ["Oxen (own)", "none"]})
     assert got.columns == ["id", "prep_oxen_own", "prep_none"]
     assert rows(got) == [(1, 1, 0), (2, 0, 1), (3, 0, 0)]
-    with pytest.raises(ValueError, match="levels"):
-        C.dummy_columns(df, ["prep"], max_levels=1)
+    with pytest.raises(ValueError, match="second time"):
+        C.dummy_columns(df, {"prep": ["a b", "a-b"]})
+    assert rows(C.level_rows(df, "id", ["prep"])) == [(1, "prep", "Oxen (own)", 1), (2, "prep", "none", 1)]
+
+
+def test_dummies_have_no_bound_on_levels(frame):
+    levels = [f"v{i}" for i in range(300)]
+    got = C.dummy_columns(frame([(1, "v299")], "id int, x string"), {"x": levels})
+    assert len(got.columns) == 301 and got.first()["x_v299"] == 1
 
 
 def test_threshold_includes_the_bound(frame):
@@ -139,3 +146,8 @@ def test_nearest_cell_prefers_the_lower_on_a_tie(frame):
 def test_grid_generation(frame):
     got = rows(J.with_grid(frame([("a",)], "k string"), "p", 0.5, 1.5, 3, index="i"))
     assert got == [("a", 0.5, 0), ("a", 1.0, 1), ("a", 1.5, 2)]
+
+
+def test_most_frequent_value_is_not_a_missing_one(frame):
+    df = frame([(None, 1), (None, 2), (None, 3), ("a", 4), ("a", 5), ("b", 6)], "k string, v int")
+    assert sorted(r.v for r in A.largest_cohort(df, "k").collect()) == [4, 5]
