@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.operators.lineage import materialise
 
-# A small side is broadcast only after this many rows have been counted and not exceeded.
+# A small side is broadcast only after its rows and bytes have been summed and exceed neither.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 SALT = "_salt"
 
 
@@ -18,9 +19,21 @@ def shared_columns(a: DataFrame, b: DataFrame) -> list[str]:
     return [c for c in a.columns if c in b.columns]
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Bounded count: reads no more than ``max_rows + 1`` rows of the result."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def value_bytes(name: str, kind: str) -> Column:
+    """About what a value takes: the bytes of a string, eight for a number, so many per entry of an array or map."""
+    c = F.col(f"`{name}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if kind.startswith(("array", "map")):
+        return F.greatest(F.size(c), F.lit(0)) * 16 + 8
+    return F.lit(16 if kind.startswith("struct") else 8)
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether rows and bytes stay within the bounds: one aggregate, added up where the rows are."""
+    width = reduce(lambda a, b: a + b, [value_bytes(c, kind) for c, kind in df.dtypes])
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("long")).alias("b")).first()
+    return found.n <= max_rows and (found.b or 0) <= max_bytes
 
 
 def join_on(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner", null_safe: bool = False) -> DataFrame:
@@ -54,7 +67,7 @@ def dimension_join(
     small: bool | None = None,
     counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Join to a table with one row per key: broadcast if its counted size allows, else salted.
+    """Join to a table with one row per key: broadcast if its summed size allows, else salted.
 
     ``small`` passes on a size check already made; ``counts`` as for ``salted_join``.
     """
@@ -101,9 +114,11 @@ def salted_join(
     hot = per_key.filter(F.col("_n") > total * hot_share).select(*keys, F.lit(True).alias("_hot"))
     hot = F.broadcast(hot)
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns]), F.lit(salts)).cast("int")
+    # rows with a missing key match nothing, wherever they go
+    loose = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     left = (
         fact.join(hot, keys, "left")
-        .withColumn(SALT, F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
+        .withColumn(SALT, F.when(F.col("_hot") | loose, spread).otherwise(F.lit(0)))
         .drop("_hot")
     )
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))

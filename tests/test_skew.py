@@ -50,3 +50,19 @@ def test_hot_keys_through_the_salted_path(spark, hot_tables, monkeypatch, name):
     for module in (joins, moments):
         monkeypatch.setattr(module, "is_small", lambda *_: False)
     assert compare(spark, duck(hot_tables), hot_tables, REGISTRY[name]) == ""
+
+
+def test_missing_keys_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    fact = spark.range(8000).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("k"), F.col("id").alias("v"))
+    dim = spark.range(100).select(F.col("id").alias("k"), F.lit("x").alias("name"))
+    out = joins.salted_join(fact, dim, ["k"], "left")
+    assert out.count() == 8000 and out.filter("name is not null").count() == 25
+
+
+def test_wide_rows_are_not_small(spark):
+    from pyspark.sql import functions as F
+
+    wide = spark.range(50).select(F.repeat(F.lit("x"), 1 << 19).alias("t"))
+    assert joins.is_small(spark.range(50)) and not joins.is_small(wide) and not joins.is_small(spark.range(200), 100)
