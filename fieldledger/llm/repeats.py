@@ -119,12 +119,15 @@ def grouped(occ: DataFrame, share: int) -> DataFrame:
     """The occurrences that matter, with what is known of them.
 
     ``whole``: the context occurs more than once. ``shown``: the suffix step needs it. ``least``: it is the first of
-    its context. ``parts``: into how many the group is cut.
+    its context. ``parts``: into how many the group is cut. The sums are written before they are joined: a join whose
+    sides both come straight from a shuffle can split the rows of a hot gram over tasks, one above an aggregate can not.
     """
-    repeated = occ.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ah")
+    repeated = shared_table(occ.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ah"))
     kept = shared_table(occ.join(repeated, "ah", "left_semi"))
-    contexts = kept.groupBy("ah", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "lo")).alias("first"))
-    groups = contexts.groupBy("ah").agg(F.count(F.lit(1)).alias("m"))
+    contexts = shared_table(
+        kept.groupBy("ah", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "lo")).alias("first"))
+    )
+    groups = shared_table(contexts.groupBy("ah").agg(F.count(F.lit(1)).alias("m")))
     known = contexts.join(groups, "ah").select("ah", "ctx", "n", "first", "m")
     told = kept.join(known, ["ah", "ctx"])
     least = F.col("first") == F.struct("doc", "th", "lo")
