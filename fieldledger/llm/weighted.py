@@ -6,9 +6,11 @@ With weight w, t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1); the term
 the sample. Two documents agree in a sample with probability equal to their generalised Jaccard similarity, the
 sum of lesser over the sum of greater weights.
 
-The draws come from tables: a term's place in them is taken from its hash, differently for each sample, so that all
-terms and samples are looked up at once. Terms that occur once have ln w = 0 and t = 0, and need one lookup. A
-signature keeps 16 bits of each sample, so unlike samples agree by chance once in 65,536 times.
+The draws come from three exponential numbers of each term and sample, each from a mixed 64-bit hash. With x, y and z
+these, c = x + y, r = z + ln(c / x) and b = z / r are independent and distributed as above, as a sum of two
+exponential numbers is Gamma(2, 1) and independent of their shares in it. For weight 1, where t = 0, a = c e^(b r - r)
+is x itself, so of the terms that occur once the least hash is taken, without a logarithm. A signature keeps 16 bits
+of each sample, so unlike samples agree by chance once in 65,536 times.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import xxhash
 from fieldledger.llm.neighbours import with_next
 from fieldledger.llm.registry import doc_query, table
 
-WORDS, SAMPLES, TABLE_BITS = 5, 64, 16
-#: Terms looked up at a time, and words whose hashes are remembered.
+WORDS, SAMPLES = 5, 64
+#: Terms hashed at a time, and words whose hashes are remembered.
 TERMS, MEMORY = 4096, 1 << 18
+#: Factors of the further hashes of a term and sample, and of the bits that are kept.
+SECOND, THIRD, KEPT = 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93
 
 
 def uniform(n: int, stream: int) -> np.ndarray:
@@ -35,6 +39,26 @@ def uniform(n: int, stream: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+def mixed(x: np.ndarray, factor: int) -> np.ndarray:
+    """Hashes mixed anew, one way for each odd factor."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(29))
+
+
+def exponential(x: np.ndarray) -> np.ndarray:
+    """Exponential numbers that grow with the hash."""
+    return -np.log1p(-((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53)
+
+
+def weighted_draws(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln a and t of terms by the hash of term and sample and by weight."""
+    one, two, three = exponential(x), exponential(mixed(x, SECOND)), exponential(mixed(x, THIRD))
+    r = three + np.log1p(two / one)
+    b = three / r
+    t = np.floor(np.log(w) / r + b)
+    return np.log(one + two) - r * (t - b + 1), t.astype(np.int64).astype(np.uint64)
+
+
 class WordHashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= MEMORY:
@@ -47,11 +71,6 @@ class Sampler:
     def __init__(self, words: int = WORDS, samples: int = SAMPLES):
         self.words, self.samples = words, samples
         self.hashes = WordHashes()
-        n = 1 << TABLE_BITS
-        self.r = -np.log(uniform(n, 1) * uniform(n, 2)).astype(np.float32)
-        self.ln_c = np.log(-np.log(uniform(n, 3) * uniform(n, 4))).astype(np.float32)
-        self.b = uniform(n, 5).astype(np.float32)
-        self.once = self.ln_c - self.r * (1 - self.b)
         self.factors = (uniform(samples, 6) * 2.0**53).astype(np.uint64) << np.uint64(11) | np.uint64(1)
         self.powers = ((uniform(words, 7) * 2.0**53).astype(np.uint64) << np.uint64(11)) | np.uint64(1)
 
@@ -67,32 +86,43 @@ class Sampler:
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
         return np.unique(h ^ (h >> np.uint64(29)), return_counts=True)
 
+    def drawn(self, terms: np.ndarray) -> np.ndarray:
+        """The hash of each sample (rows) and term (columns)."""
+        x = self.factors[:, None] * terms
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9FB21C651E98DF25)
+        return x
+
     def signature(self, text: str) -> np.ndarray | None:
         """One 16-bit number per sample; None for a text without words."""
         terms, weights = self.terms(text)
         if not len(terms):
             return None
-        best = np.full(self.samples, np.inf, np.float32)
+        best = np.full(self.samples, np.inf)
         out = np.zeros(self.samples, np.uint16)
-        column = np.arange(self.samples)
-        for at in range(0, len(terms), TERMS):
-            h, w = terms[at : at + TERMS], weights[at : at + TERMS]
-            mixed = h[:, None] * self.factors
-            place = (mixed >> np.uint64(64 - TABLE_BITS)).astype(np.intp)
-            ln_a = self.once[place]
-            many = np.flatnonzero(w > 1)
-            if len(many):
-                p = place[many]
-                t = np.floor(np.log(w[many])[:, None].astype(np.float32) / self.r[p] + self.b[p])
-                ln_a[many] = self.ln_c[p] - self.r[p] * (t - self.b[p] + 1)
-            first = ln_a.argmin(0)
-            least = ln_a[first, column]
-            better = least < best
-            best = np.where(better, least, best)
-            p, f = place[first, column], first
-            t = np.floor(np.log(w[f]).astype(np.float32) / self.r[p] + self.b[p]).astype(np.int64).astype(np.uint64)
-            sample = (mixed[f, column] >> np.uint64(24)) ^ (t * np.uint64(0x9E37))
-            out = np.where(better, (sample & np.uint64(0xFFFF)).astype(np.uint16), out)
+        row = np.arange(self.samples)
+
+        def take(ln_a, x, t):
+            nonlocal best, out
+            better = ln_a < best
+            best = np.where(better, ln_a, best)
+            sample = mixed(x ^ (t * np.uint64(0x9E3779B97F4A7C15)), KEPT) & np.uint64(0xFFFF)
+            out = np.where(better, sample.astype(np.uint16), out)
+
+        once, many = weights == 1, np.flatnonzero(weights > 1)
+        if len(many) < len(terms):
+            # the least hash of each sample has the least a
+            least = np.full(self.samples, np.iinfo(np.uint64).max, np.uint64)
+            single = terms[once]
+            for at in range(0, len(single), TERMS):
+                least = np.minimum(least, self.drawn(single[at : at + TERMS]).min(1))
+            take(np.log(exponential(least)), least, np.zeros(self.samples, np.uint64))
+        for at in range(0, len(many), TERMS):
+            p = many[at : at + TERMS]
+            x = self.drawn(terms[p])
+            ln_a, t = weighted_draws(x, weights[p])
+            first = ln_a.argmin(1)
+            take(ln_a[row, first], x[row, first], t[row, first])
         return out
 
 

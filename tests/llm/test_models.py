@@ -128,6 +128,22 @@ def test_collision_rate_is_generalised_jaccard():
     assert abs(np.mean(gaps)) < 0.02 and np.std(gaps) < 0.05
 
 
+def test_collision_rate_of_long_texts_with_repeated_terms():
+    sampler = weighted.Sampler(words=1, samples=256)
+    common = [f"c{i}" for i in range(110_000)]
+    a, b = (" ".join(common + [f"{side}{i}" for i in range(11_000)] * 5) for side in "ab")
+    assert exact(sampler, a, b) == 0.5
+    assert abs(weighted.likeness(sampler.signature(a), sampler.signature(b)) - 0.5) < 0.1
+
+
+def test_repeats_of_all_terms_thin_the_likeness():
+    sampler = weighted.Sampler(words=1, samples=1024)
+    once = " ".join(f"t{i}" for i in range(50))
+    for x, y in ((1, 2), (2, 3), (3, 7)):
+        a, b = (" ".join([once] * n) for n in (x, y))
+        assert abs(weighted.likeness(sampler.signature(a), sampler.signature(b)) - x / y) < 0.06
+
+
 def test_fingerprints_beside_the_next_document(spark, docs_of):
     rnd = random.Random(6)
     rows = [(i * 7, " ".join(word(rnd, "aa") for _ in range(rnd.randint(0, 40)))) for i in range(60)]
