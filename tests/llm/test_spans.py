@@ -77,6 +77,21 @@ def test_checksums_and_context():
     assert pii.personal_data("order 123-45-6789") == []
 
 
+@pytest.mark.parametrize("number", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "ZZ33 1234 5678 9012 345"])
+@pytest.mark.parametrize("before", ["", "REF AB12 ", "order ", "at the border: "])
+@pytest.mark.parametrize("after", ["", ".", " Bank", " BIC COBADEFF", " 2024", " A1 B2 C3 D4 E5", ", invoice 7"])
+def test_iban_is_found_whatever_surrounds_it(number, before, after):
+    assert pii.mod97(number.replace(" ", ""))
+    found = [s[1:3] for s in pii.personal_data(before + number + after) if s[0] == "iban"]
+    assert found == [(len(before), len(before) + len(number))]
+
+
+def test_iban_needs_checksum_and_word_end():
+    for t in ("DE88370400440532013000 Bank", "DE89370400440532013000X", "xDE89370400440532013000", "DE89370400440532013000a"):
+        assert not [s for s in pii.personal_data(t) if s[0] == "iban"]
+    assert len([s for s in pii.personal_data("DE89370400440532013000 NO9386011117947") if s[0] == "iban"]) == 2
+
+
 def test_long_runs_are_linear():
     assert pii.personal_data("9" * 200_000 + "a" * 200_000 + "." * 1000) == []
 
