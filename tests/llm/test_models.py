@@ -111,6 +111,22 @@ def test_sample_is_bounded(labelled):
     assert 0 < sum(len(t) for t, _ in texts) <= 3000
 
 
+@pytest.mark.parametrize("rare_size", [10, 900])
+def test_rare_classes_keep_their_texts(spark, rare_size):
+    rows = [(i, f"{i:05d}" * 20, "often", i / 1e4) for i in range(300)]
+    rows += [(1000 + i, "r" * rare_size, f"rare{i}", 0.9 + i / 100) for i in range(3)] + [(2000, "x" * 2900, "often", 0.0)]
+    sample = spark.createDataFrame(rows, "doc_id bigint, text string, label string, place double")
+    texts = folds.sampled_texts(sample, 3000)
+    assert [t for t, label in texts if label == "often"] == [r[1] for r in rows[: (3000 - 3 * rare_size) // 100]]
+    assert sorted(label for _, label in texts if label != "often") == ["rare0", "rare1", "rare2"]
+    assert len(folds.sampled_texts(sample, 1 << 20)) == len(rows)
+
+
+def test_bytes_are_dealt_by_class():
+    assert folds.fair_choice({"a": [6, 6, 1, 6], "b": [2, 2], "c": [50], "d": [9]}, 24) == {"a": [0, 2], "b": [0, 1], "c": [], "d": [0]}
+    assert folds.fair_choice({}, 9) == {}
+
+
 def exact(sampler, a, b):
     x, y = (dict(zip(*(v.tolist() for v in sampler.terms(t)), strict=True)) for t in (a, b))
     keys = set(x) | set(y)
