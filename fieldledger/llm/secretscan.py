@@ -34,13 +34,18 @@ class Rule:
 
 
 BASE = ["assign", "access", "hex"]
+PEM_NAME = r"(?:[A-Z]+ ){0,3}PRIVATE KEY-----"
+# ends of lines may be written out as in string literals; headers stand in encrypted keys
+PEM_BREAK = r"[\x20\t]*+(?:[\r\n]|\\[rn])(?:\s|\\[rnt])*+"
+PEM_HEADER = r"[A-Z][A-Za-z]*+-[A-Z][A-Za-z]*+:(?:(?!-----|\\[rn])[^\r\n])*+"
 # The base rules, then public formats of other keys.
 RULES = [
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2),
     Rule("access", r"AKIA[A-Z0-9]+", 16),
     # runs of 32 and more are what is left of all runs once the shorter ones are dropped
     Rule("hex", r"[0-9a-f]{32,}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    # up to the END line if nothing but base64, blanks and header lines comes before it, or else the base64 lines alone
+    Rule("pem", rf"-----BEGIN {PEM_NAME}(?:(?:{PEM_BREAK}{PEM_HEADER}|\s|\\[rnt]|[A-Za-z0-9+/=])*+-----END {PEM_NAME}|(?:{PEM_BREAK}(?:{PEM_HEADER}|[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:[\r\n]|\\[rn]|\Z))))*+)"),
     Rule("forge", r"gh[opsu]_[A-Za-z0-9]{36}"),
     Rule("chat", r"xox[abp]-[A-Za-z0-9-]{10,}"),
     Rule("cloud", r"AIza[0-9A-Za-z_-]{35}"),
