@@ -78,12 +78,12 @@ class WuManber:
             i += 1
 
 
-def searchers(items: list[tuple[str, str]], length: int = WINDOW) -> list[WuManber]:
-    """One searcher per window length that occurs among the items."""
+def searchers(items: list[tuple[str | None, str]], length: int = WINDOW) -> list[WuManber]:
+    """One searcher per window length that occurs among the items; one without an id gives windows without its name."""
     by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
     for item, text in items:
         for w in windows(words(text), length):
-            by_length.setdefault(len(w), {}).setdefault(w, set()).add(item)
+            by_length.setdefault(len(w), {}).setdefault(w, set()).update(() if item is None else (item,))
     return [WuManber({w: tuple(sorted(s)) for w, s in group.items()}, n) for n, group in sorted(by_length.items())]
 
 
@@ -108,11 +108,9 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_groups(benchmark: DataFrame, item: str, text: str, max_bytes: int) -> list[list[tuple[str, str]]]:
+def item_groups(benchmark: DataFrame, item: str, text: str, max_bytes: int) -> list[list[tuple[str | None, str]]]:
     """The benchmark in groups whose texts hold at most about ``max_bytes``; the sum is taken before any is fetched."""
-    items = benchmark.select(F.col(item).cast("string").alias("i"), text_column(text).alias("t")).filter(
-        F.col("i").isNotNull()
-    )
+    items = benchmark.select(F.col(item).cast("string").alias("i"), text_column(text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     n = -(-total // max_bytes)
     for k in range(n):
@@ -131,8 +129,8 @@ def benchmark_hits(
 ) -> DataFrame:
     """Per document: ``doc_id, n_words, spans`` (runs of hit words), ``items`` (ids of items, as strings, sorted).
 
-    A null text has no words. Items with a null id are left out, items with a null or wordless text have no
-    windows. Rows are kept one for one, repeated rows too; a null id stays null. An empty benchmark or an
+    A null text has no words. The words of items with a null id are hit words, but add nothing to ``items``;
+    items with a null or wordless text have no windows. Rows are kept one for one, repeated rows too; a null id stays null. An empty benchmark or an
     empty table of documents gives no hits or no rows.
     """
     sc = docs.sparkSession.sparkContext

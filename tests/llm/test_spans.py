@@ -155,6 +155,16 @@ def test_wu_manber_equals_plain_search(spark, docs_of):
             assert (got[i].n_words, n_hit, list(got[i]["items"])) == plain_hits(t, items)
 
 
+def test_items_without_an_id_hit_words_but_have_no_name(spark, docs_of):
+    passage = " ".join(f"w{i}" for i in range(20))
+    bench = spark.createDataFrame([(None, passage), (2, "other words " * 9)], "item_id bigint, text string")
+    docs = docs_of([(1, passage), (2, "clean text"), (3, passage + " " + "other words " * 9)])
+    for size in (1 << 20, 30):
+        got = {r.doc_id: r for r in D.benchmark_hits(docs, bench, max_block_bytes=size).collect()}
+        assert [(sum(s.end - s.start for s in got[i].spans), list(got[i]["items"])) for i in (1, 2, 3)] == [(20, []), (0, []), (38, ["2"])]
+        assert [r.doc_id for r in D.uncontaminated(docs, bench, max_block_bytes=size).collect()] == [2]
+
+
 def test_uncontaminated_keeps_clean_documents(spark, docs_of):
     passage = " ".join(f"w{i}" for i in range(20))
     bench = spark.createDataFrame([(1, passage), (2, "other words " * 9)], "item_id bigint, text string")
