@@ -61,23 +61,31 @@ def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
-def map_rows(df: DataFrame, inputs: list[Column], ddl: str, make: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
+def map_rows(df: DataFrame, inputs: list[Column], ddl: str, make: Callable[[], Callable[..., Iterable[tuple]]], at_end: bool = False) -> DataFrame:
     """Rows made by ``make()``'s function from the input columns.
 
     ``make`` runs once per task and returns ``fn(*columns)``, which gets each piece as Python lists and yields
-    output rows as tuples in the order of ``ddl``.
+    output rows as tuples in the order of ``ddl``. With ``at_end`` it returns ``read, done``: ``read(*columns)`` only
+    takes pieces in, and ``done()`` yields the rows after the last.
     """
     ship_package(df.sparkSession)
     arrow = to_arrow_schema(schema_of(ddl))
 
+    def out(made: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+        made = iter(made)
+        while rows := list(islice(made, OUTPUT_ROWS)):
+            columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), arrow.types, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
+        fn, done = make() if at_end else (make(), None)
         for batch in batches:
             for piece in pieces(batch):
-                made = iter(fn(*[c.to_pylist() for c in piece.columns]))
-                while rows := list(islice(made, OUTPUT_ROWS)):
-                    columns = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), arrow.types, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                made = fn(*[c.to_pylist() for c in piece.columns])
+                if not at_end:
+                    yield from out(made)
+        if done is not None:
+            yield from out(done())
 
     named = [c.alias(f"c{i}") for i, c in enumerate(inputs)]
     return df.select(*named).mapInArrow(run, ddl)
