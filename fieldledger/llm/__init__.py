@@ -8,10 +8,13 @@ from fieldledger.llm import (  # noqa: F401
     count,
     decontaminate,
     langid,
+    packing,
     pii,
+    ranked,
     repeats,
     secretscan,
     simhash,
     toxicity,
+    vectorcodes,
     weighted,
 )
