@@ -19,11 +19,13 @@ from fieldledger.llm.bpe import WORDS, Encoder, text_blocks
 from fieldledger.llm.merges import MergeList, load
 
 #: Symbols of a word merged in arrays, words merged at a time, chunks remembered in each of two halves.
-WIDTH, ROWS, MEMORY = 32, 1 << 13, 1 << 17
+WIDTH, ROWS, MEMORY = 32, 1 << 12, 1 << 18
 #: Characters gathered before their new words are merged.
 GATHER = 1 << 20
 # Fixed value: controls at which Python splits although the tokenizer's pattern does not.
 CONTROLS = regex.compile("[\x1c-\x1f]")
+# Marks of which one alone, after letters, is a word of its own.
+PUNCTUATION = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
 class PairTable:
@@ -50,16 +52,17 @@ class PairTable:
         return np.where((self.keys[at] == key) & (right >= 0), self.ranks[at], self.none)
 
 
-def merge_rows(symbols: np.ndarray, table: PairTable) -> np.ndarray:
-    """Rows of symbol ids, filled up with -1, with all merges done."""
+def merge_rows(symbols: np.ndarray, table: PairTable, ranks: np.ndarray | None = None) -> np.ndarray:
+    """Rows of symbol ids, filled up with -1, with all merges done; ``ranks`` of neighbours if they are known."""
     out = symbols.copy()
     width = symbols.shape[1]
     if width < 2:
         return out
-    columns = np.arange(width)
+    columns = np.arange(width - 1)
     rows = np.arange(len(symbols))
-    s = symbols
-    ranks = np.concatenate([table.rank(s[:, :-1], s[:, 1:]), np.full((len(s), 1), table.none)], axis=1)
+    s = symbols.copy()
+    known = table.rank(s[:, :-1], s[:, 1:]) if ranks is None else ranks
+    ranks = np.concatenate([known, np.full((len(s), 1), table.none)], axis=1)
     while True:
         best = ranks.min(axis=1)
         open_ = best < table.none
@@ -71,8 +74,9 @@ def merge_rows(symbols: np.ndarray, table: PairTable) -> np.ndarray:
         at = ranks.argmin(axis=1)
         here = np.arange(len(rows))
         # what is right of the pair moves one place to the left
-        source = np.minimum(columns + (columns > at[:, None]), width - 1)
-        s, ranks = np.take_along_axis(s, source, 1), np.take_along_axis(ranks, source, 1)
+        right_of = columns > at[:, None]
+        for m in (s, ranks):
+            m[:, :-1] = np.where(right_of, m[:, 1:], m[:, :-1])
         s[:, -1], ranks[:, -1] = -1, table.none
         s[here, at] = table.made[best]
         right = np.where(at + 1 < width, s[here, np.minimum(at + 1, width - 1)], -1)
@@ -89,77 +93,92 @@ class BatchEncoder:
         self.merges, self.table = merges, PairTable(merges)
         self.slow = Encoder(merges)
         alphabet = self.slow.alphabet
-        self.inner = np.array([merges.vocab.get(c, -1) for c in alphabet], np.int32)
-        self.last = np.array([merges.vocab.get(c + merges.suffix, -1) for c in alphabet], np.int32)
+        # symbols of one byte, within a word and at its end, and the end of a row; ranks of their pairs
+        self.bytes = np.array([merges.vocab.get(c + end, -1) for end in ("", merges.suffix) for c in alphabet] + [-1], np.int32)
+        self.first = self.table.rank(*np.meshgrid(self.bytes, self.bytes, indexing="ij"))
         self.special = regex.compile("|".join(map(regex.escape, merges.special)) or r"(?!)")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def words(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of each word, as little-endian bytes."""
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, as little-endian bytes. Words of similar size are merged together."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        for at in range(0, len(raw), ROWS):
-            part = raw[at : at + ROWS]
-            size = np.fromiter(map(len, part), np.int64, len(part))
-            short = size <= WIDTH
-            width = int(size[short].max()) if short.any() else 1
-            symbols = np.full((len(part), width), -1, np.int32)
-            data = np.frombuffer(b"".join(p for p, ok in zip(part, short, strict=True) if ok), np.uint8)
-            n = size[short]
-            row = np.repeat(np.flatnonzero(short), n)
-            end = np.cumsum(n)
-            column = np.arange(len(data)) - np.repeat(end - n, n)
-            symbols[row, column] = self.inner[data]
-            symbols[np.flatnonzero(short), n - 1] = self.last[data[end - 1]]
-            merged = merge_rows(symbols, self.table)
-            count = (merged >= 0).sum(axis=1)
-            flat = merged[merged >= 0].astype("<u4").tobytes()
-            stop = np.cumsum(count) * 4
-            for k, (b, c) in enumerate(zip(stop.tolist(), count.tolist(), strict=True)):
-                yield flat[b - 4 * c : b] if short[k] else self.slow[words[at + k]]
-
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Bring chunks into the memory."""
-        new = []
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(size, kind="stable")
+        out = [b""] * len(raw)
+        short = int(np.searchsorted(size[order], WIDTH, "right"))
+        for i in order[short:].tolist():
+            out[i] = self.slow[words[i]]
+        for at in range(0, short, ROWS):
+            part = order[at : min(short, at + ROWS)]
+            n = size[part]
+            codes = np.full((len(part), int(n[-1])), 512, np.int32)
+            codes[np.arange(codes.shape[1]) < n[:, None]] = np.frombuffer(b"".join(map(raw.__getitem__, part.tolist())), np.uint8)
+            codes[np.arange(len(part)), n - 1] += 256
+            merged = merge_rows(self.bytes[codes], self.table, self.first[codes[:, :-1], codes[:, 1:]])
+            held = merged >= 0
+            flat = merged[held].astype("<u4").tobytes()
+            stop = (np.cumsum(held.sum(axis=1)) * 4).tolist()
+            start = 0
+            for i, b in zip(part.tolist(), stop, strict=True):
+                out[i] = flat[start:b]
+                start = b
+        return out
+
+    def learn(self, chunks: set[str]) -> None:
+        """Bring chunks into the young half of the memory."""
+        young, old = self.young, self.old
+        if old:
+            young.update((c, old[c]) for c in chunks.intersection(old))
+            chunks = chunks.difference(young)
+        fresh: set[str] = set()
+        ended, mixed = [], []
         for c in chunks:
-            known = self.old.get(c)
-            if known is None:
-                new.append(c)
+            if c.isalpha():
+                fresh.add(c)
+            elif c[-1] in PUNCTUATION and c[:-1].isalpha():
+                ended.append((c, c[:-1], c[-1]))
             else:
-                self.young[c] = known
-        split = [(c,) if c.isascii() and c.isalpha() else WORDS.findall(c) for c in new]
-        fresh = list(dict.fromkeys(w for ws in split for w in ws))
-        ids = dict(zip(fresh, self.words(fresh), strict=True))
-        for c, ws in zip(new, split, strict=True):
-            self.young[c] = ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws))
+                mixed.append((c, WORDS.findall(c)))
+        fresh.update(w for _, *ws in ended for w in ws if w not in young)
+        fresh.update(w for _, ws in mixed for w in ws if w not in young)
+        listed = list(fresh)
+        young.update(zip(listed, self.words(listed), strict=True))
+        young.update((c, young[w] + young[mark]) for c, w, mark in ended)
+        young.update((c, b"".join(map(young.__getitem__, ws))) for c, ws in mixed)
 
     def encode(self, texts: Iterable[str]) -> Iterator[tuple[int, bytes]]:
         """``(position of the text, block of its ids)``, in order; a text without tokens may have no block."""
-        waiting: list[tuple[int, list[str]]] = []
+        waiting: list[tuple[int, list[str], list]] = []
         size = 0
         for i, text in enumerate(texts):
             if self.special.search(text) or CONTROLS.search(text):
                 yield from self.flush(waiting)
-                waiting, size = [], 0
+                size = 0
                 yield from ((i, block) for block in self.slow.encode(text))
                 continue
             for block in text_blocks(text):
                 # one code point at a time is made small, so a final sigma is not told apart
-                waiting.append((i, unicodedata.normalize("NFC", block).replace("Σ", "σ").lower().split()))
+                chunks = unicodedata.normalize("NFC", block).replace("Σ", "σ").lower().split()
+                waiting.append((i, chunks, list(map(self.young.get, chunks))))
                 size += len(block)
                 if size >= GATHER:
                     yield from self.flush(waiting)
-                    waiting, size = [], 0
+                    size = 0
         yield from self.flush(waiting)
 
-    def flush(self, waiting: list[tuple[int, list[str]]]) -> Iterator[tuple[int, bytes]]:
-        if not waiting:
-            return
+    def flush(self, waiting: list) -> Iterator[tuple[int, bytes]]:
+        """Fill in what is missing, and hand on what has waited."""
+        holes = [[k for k, known in enumerate(ids) if known is None] for _, _, ids in waiting]
+        if any(holes):
+            self.learn({chunks[k] for (_, chunks, _), places in zip(waiting, holes, strict=True) for k in places})
+        for (i, chunks, ids), places in zip(waiting, holes, strict=True):
+            for k in places:
+                ids[k] = self.young[chunks[k]]
+            yield i, b"".join(ids)
+        waiting.clear()
         if len(self.young) >= MEMORY:
             self.old, self.young = self.young, {}
-        self.learn({c for _, chunks in waiting for c in chunks}.difference(self.young))
-        for i, chunks in waiting:
-            yield i, b"".join(map(self.young.__getitem__, chunks))
 
 
 @lru_cache(maxsize=2)
