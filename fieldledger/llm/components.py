@@ -41,11 +41,11 @@ def state(edges: DataFrame) -> tuple:
 def with_least(pairs: DataFrame) -> DataFrame:
     """Pairs ``(node, other)`` with the least of each node and its others.
 
-    The least is a grouped minimum joined back. A node with very many others is split by the join's
-    handling of skew, as its other side has one row per node.
+    The least is a grouped minimum, written before it is joined back: with a table on that side, and not an
+    aggregate that already has the join's distribution, the rows of a node with very many others can be split.
     """
     least = pairs.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
-    return pairs.join(least, "node")
+    return pairs.join(shared_table(least), "node")
 
 
 def large_star(edges: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.llm.registry import doc_query, table
-from fieldledger.llm.rows import map_rows, ship_package, text_column
+from fieldledger.llm.rows import edit_rows, map_rows, text_column
 
 WINDOW = 13
 MAX_BLOCK_BYTES = 16 << 20
@@ -222,7 +222,6 @@ def uncontaminated(
     max_block_bytes: int = MAX_BLOCK_BYTES,
 ) -> DataFrame:
     """The rows, with all their columns, that are not contaminated; a null or wordless text never is."""
-    ship_package(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     groups = [sc.broadcast(g) for g in item_groups(benchmark, item, item_text, max_block_bytes)]
     if len(groups) > 1:
@@ -233,15 +232,16 @@ def uncontaminated(
         marked = docs.withColumn("_digest", F.sha2(text_column(text), 256))
         return marked.join(bad, F.col("_digest") == F.col("digest"), "left_anti").drop("_digest")
 
-    def clean(batches):
+    def make():
         search = searchers(groups[0].value if groups else [])
-        for batch in batches:
-            found = (hits(t, search) if isinstance(t, str) else (0, [], set()) for t in batch)
-            keep = [not is_contaminated(n, sum(b - a for a, b in spans)) for n, spans, _ in found]
-            yield batch.__class__(keep, dtype=bool)
 
-    udf = F.pandas_udf(clean, "boolean", F.PandasUDFType.SCALAR_ITER)
-    return docs.filter(udf(F.col(text)))
+        def clean(text):
+            n, spans, _ = hits(text, search)
+            return not is_contaminated(n, sum(b - a for a, b in spans))
+
+        return lambda texts: [t is None or clean(t) for t in texts]
+
+    return edit_rows(docs, text, make, keep=True)
 
 
 WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fieldledger.llm.folds import HELD_OUT, fold, held_out, sampled_ids, sampled_texts
 from fieldledger.llm.registry import doc_query, table
-from fieldledger.llm.rows import map_rows, pieces, ship_package, text_column
+from fieldledger.llm.rows import edit_rows, map_rows, pieces, ship_package, text_column
 
 UNKNOWN = "und"
 SLOT_BITS = 15
@@ -196,17 +196,18 @@ def languages(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", tex
 
 def kept_languages(docs: DataFrame, model: LanguageModel, text: str = "text", least: float = 0.0) -> DataFrame:
     """The rows, with all their columns, whose text has a known language with at least the given score."""
-    ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def known(batches):
+    def make():
         predict = sent.value.predict
-        for batch in batches:
-            found = (predict(t) if isinstance(t, str) else (UNKNOWN, 0.0) for t in batch)
-            yield batch.__class__([lang != UNKNOWN and score >= least for lang, score in found], dtype=bool)
 
-    udf = F.pandas_udf(known, "boolean", F.PandasUDFType.SCALAR_ITER)
-    return docs.filter(udf(F.col(text)))
+        def known(text):
+            lang, score = (UNKNOWN, 0.0) if text is None else predict(text)
+            return lang != UNKNOWN and score >= least
+
+        return lambda texts: [known(t) for t in texts]
+
+    return edit_rows(docs, text, make, keep=True)
 
 
 @doc_query("op3_ftrl_language_id")

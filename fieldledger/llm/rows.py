@@ -91,6 +91,30 @@ def map_rows(df: DataFrame, inputs: list[Column], ddl: str, make: Callable[[], C
     return df.select(*named).mapInArrow(run, ddl)
 
 
+def edit_rows(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]], keep: bool = False) -> DataFrame:
+    """The same columns, with the text replaced or, with ``keep``, only some of the rows.
+
+    ``make`` runs once per task and returns a function from the texts of a piece to their replacements or, with
+    ``keep``, to whether each row stays. A missing text arrives as None.
+    """
+    ship_package(df.sparkSession)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for batch in batches:
+            for piece in pieces(batch):
+                made = fn(piece.column(at).to_pylist())
+                if keep:
+                    yield piece.filter(pa.array(made, pa.bool_()))
+                else:
+                    columns = [*piece.columns]
+                    columns[at] = pa.array(made, columns[at].type)
+                    yield pa.RecordBatch.from_arrays(columns, schema=piece.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def shared_table(df: DataFrame) -> DataFrame:
     """Write a table that several later steps read into the folder the session names, and read it back.
 

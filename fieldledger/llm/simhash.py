@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from fieldledger.llm.components import components
 from fieldledger.llm.registry import doc_query, table
 from fieldledger.llm.rows import map_rows, shared_table, ship_package, text_column
+from fieldledger.operators.joins import is_small
 
 WORDS, BITS, RADIUS, BLOCKS, SEED = 4, 64, 4, 6, 42
 SHARD = 8192
@@ -274,14 +275,53 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return known.filter("doc_id is not null").join(named, "fp").select("doc_id", "fp", "component_id").unionByName(rest)
 
 
-def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows, with all their columns, without those whose id is not the smallest of its group.
+def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """One row, with all its columns, of each group of rows whose fingerprints are connected by links.
 
-    Rows without an id stay; rows that share an id stay or go together.
+    The row with the smallest id stays; rows without an id come after all others. Of rows that agree in id and text the one
+    with the smallest hash of all columns stays. Rows that share an id but not a group are different documents, and stay.
+    Null and empty texts have fingerprint zero and form a group.
+
+    Only ids, hashes and fingerprints are shuffled. Texts move only in the last join, and not there either as long as
+    the rows that go are few enough for a broadcast.
     """
-    found = near_duplicates(docs, doc_id, text, **options)
-    later = found.filter("doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(later, doc_id, "left_anti").select(docs.columns)
+
+    def make():
+        def run(ids, texts, hashes):
+            for i, t, h in zip(ids, texts, hashes, strict=True):
+                f = fingerprint(t, words)
+                yield i, f - (f >> 63 << 64), h
+
+        return run
+
+    mark = F.xxhash64(text_column(text))
+    named_id = F.col(doc_id).cast("long")
+    known = shared_table(map_rows(docs, [named_id, text_column(text), mark], "id bigint, fp bigint, mark bigint", make))
+    nodes = shared_table(known.select("fp").distinct().withColumn("node", F.col("fp")))
+    roots = components(fingerprint_links(nodes, radius, blocks))
+    groups = shared_table(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root")))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark")).alias("first")
+    winners = known.join(groups, "fp").groupBy("root").agg(first).select("first.id", "first.mark")
+    winners = shared_table(winners)
+    classes = shared_table(known.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n")))
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.mark") == F.col(f"{b}.mark"))
+    later = shared_table(classes.alias("c").join(winners.alias("w"), same("c", "w"), "left_anti").select("id", "mark"))
+    repeated = classes.filter("n > 1").alias("c").join(winners.alias("w"), same("c", "w"), "left_semi").select("id", "mark")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), named_id.alias("id"), mark.alias("mark"))
+    kept = rows.alias("r").join(small_side(later).alias("l"), same("r", "l"), "left_anti")
+    if not repeated.isEmpty():
+        # at most one row of each class and task leaves the task
+        repeated = small_side(shared_table(repeated))
+        single = kept.alias("k").join(repeated.alias("s"), same("k", "s"), "left_anti").select("row")
+        one = F.min_by("row", F.xxhash64("row")).alias("row")
+        of_many = kept.alias("k").join(repeated.alias("s"), same("k", "s"), "left_semi").groupBy("id", "mark").agg(one).select("row")
+        kept = single.unionByName(of_many)
+    return kept.select("row.*")
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """Marked for a broadcast if its summed size allows."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 @doc_query("op10_simhash_bktree")

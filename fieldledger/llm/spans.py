@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.llm.rows import map_rows, ship_package, text_column
+from fieldledger.llm.rows import edit_rows, map_rows, text_column
 
 SPAN_DDL = "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 Span = tuple[str, int, int, float]
@@ -61,15 +60,14 @@ def masked(text: str, spans: Iterable[Span], mask: str) -> str:
 
 def mask_column(df: DataFrame, text: str, make: Callable, mask: str) -> DataFrame:
     """The same rows and columns with the found spans masked in the text; a null text stays null."""
-    ship_package(df.sparkSession)
 
-    def mask_texts(batches: Iterable[pd.Series]) -> Iterable[pd.Series]:
+    def mask_texts():
         find = make()
-        for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch]
-            done = [masked(t, s, mask) if s else t for t, s in zip(texts, find(texts), strict=True)]
-            yield pd.Series([d if isinstance(t, str) else None for t, d in zip(batch, done, strict=True)], dtype=object)
-
-    mask_texts.__annotations__ = {}
-    udf = F.pandas_udf(mask_texts, "string", F.PandasUDFType.SCALAR_ITER)
-    return df.withColumn(text, udf(F.col(text)))
+
+        def run(texts):
+            found = find([t or "" for t in texts])
+            return [masked(t, s, mask) if s else t for t, s in zip(texts, found, strict=True)]
+
+        return run
+
+    return edit_rows(df, text, mask_texts)

@@ -166,3 +166,66 @@ def test_suffix_order_and_factors():
         before, after = repeats.factor_tests(rank, starts)
         assert before.tolist() == [part[s] in part[:s] for s in starts]
         assert after.tolist() == [part[s] in part[s + 1 :] for s in starts]
+
+
+def test_one_row_of_each_group_stays(spark):
+    ddl = "doc_id bigint, text string, spans string"
+    near = "the quick brown fox jumps over the lazy dog and runs far away " * 40
+    rows = [(1, "same words here", "b"), (1, "same words here", "a"), (None, "same words here", "a"), (None, "same words here", "c"), (2, "same words here", "a")]
+    rows += [(7, near, "x"), (3, near + "today", "y"), (None, near, "z"), (None, "only here " * 30, "p"), (None, "only here " * 30, "p")]
+    rows += [(9, "one text of nine " * 5, "q"), (9, "quite another of nine " * 6, "q"), (10, None, "n"), (11, "", "n"), (None, None, "n")]
+    out = simhash.one_per_group(spark.createDataFrame(rows, ddl).repartition(4)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == [(False, 1), (False, 3), (False, 9), (False, 9), (False, 10), (True, 0)]
+    assert len({r.text for r in out}) == 6
+    # which of the equal rows stays does not depend on their order
+    again = simhash.one_per_group(spark.createDataFrame(rows[::-1], ddl).repartition(2)).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, out), key=repr)
+
+
+def test_a_node_with_many_neighbours_can_be_split(spark):
+    from fieldledger.llm.components import with_least
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "23",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        pairs = spark.range(0, 120_000, 1, 8).selectExpr("CASE WHEN id % 3 = 0 THEN 5 ELSE id + 10 END AS node", "id + 200000 AS other")
+        joined = with_least(pairs)
+        assert joined.filter("node = 5").count() == 40_000
+        joined.write.format("noop").mode("overwrite").save()
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_stages_hold_little_of_a_large_batch():
+    """10,000 rows in one batch: a stage keeps objects of one piece of it at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from fieldledger.llm.rows import PIECE_BYTES, pieces
+    from fieldledger.llm.secretscan import RULES, scanner
+    from fieldledger.llm.spans import masked
+
+    batch = pa.RecordBatch.from_pydict({"text": ["some words and a key of no secret " * 70] * 10_000})
+    find = scanner(RULES)()
+    tracemalloc.start()
+    rows = 0
+    for piece in pieces(batch):
+        texts = piece.column(0).to_pylist()
+        made = [masked(t, s, "x") for t, s in zip(texts, find(texts), strict=True)]
+        rows += len(made)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 10_000 and peak < 12 * PIECE_BYTES < batch.nbytes * 3
