@@ -1,101 +1,170 @@
-"""Log-log regressions. Sufficient statistics come from one distributed pass; only they reach the driver."""
+"""Log-log regressions. Sufficient statistics come from one distributed pass and are solved inside the JVM."""
 
 from __future__ import annotations
 
 from itertools import combinations_with_replacement
-from math import exp, lgamma, log, log1p
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.functions.linear import linear_score
 from fieldledger.functions.nulls import ratio
+from fieldledger.functions.student import student_p
 from fieldledger.operators.joins import summary_join, with_scalars
 from fieldledger.operators.lineage import materialise
-from fieldledger.operators.moments import centred_products, correlation_matrix
+from fieldledger.operators.linalg import dot, eigen, swept, varimax
+from fieldledger.operators.moments import centred_products
 
 
 def ols_fit(df: DataFrame, y: str, xs: list[str], intercept: bool = True) -> DataFrame:
     """Ordinary least squares over complete rows: one row per term with its standard error and p-value.
 
-    One distributed query yields the cross products, k by k whatever the number of rows; only these
-    reach the driver. Columns that do not vary or repeat others make the normal equations singular and
-    are left out, as R leaves out aliased terms.
+    One query: cross products, k by k whatever the number of rows, swept inside the JVM. Columns that do not vary or
+    repeat earlier ones are left out, as R leaves out aliased terms. Without a complete row there are no terms; without
+    a degree of freedom left there are no errors.
     """
-    n, means, g = cross_products(df, [*xs, y], intercept)
-    kept = independent_columns(g[:-1, :-1])
-    inverse = np.linalg.inv(g[np.ix_(kept, kept)])
-    beta = inverse @ g[kept, -1]
-    rss = g[-1, -1] - beta @ g[kept, -1]
-    df_total = n - 1 if intercept else n
-    df_resid = df_total - len(kept)
-    sigma2 = rss / df_resid
-    r2 = 1 - rss / g[-1, -1]
-    terms = [(xs[i], b, sigma2 * inverse[k, k]) for k, (i, b) in enumerate(zip(kept, beta))]
-    if intercept:
-        at = means[kept]
-        terms.append(("(intercept)", means[-1] - beta @ at, sigma2 * (1 / n + at @ inverse @ at)))
-    r2_adj = 1 - (1 - r2) * df_total / df_resid
-    rows = [
-        (t, float(b), float(v**0.5), student_p(b / v**0.5, df_resid) if v > 0 else 0.0, n, float(r2), float(r2_adj))
-        for t, b, v in terms
-    ]
-    schema = "term string, estimate double, std_error double, p_value double, n long, r2 double, r2_adj double"
-    return df.sparkSession.createDataFrame(rows, schema)
+    return fit_rows(gram(df, y, xs, intercept), xs, intercept)
+
 
+def gram(df: DataFrame, y: str, xs: list[str], centred: bool = True) -> DataFrame:
+    """One row over complete rows: ``n``, ``means`` and the flat cross products ``g`` of regressors and, last, response.
 
-def cross_products(df: DataFrame, cols: list[str], centred: bool = True) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, means and cross-product matrix over complete rows, centred or as they are."""
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
+    Products are centred, or as they are for a fit without intercept.
+    """
+    cols = [*xs, y]
     if centred:
-        row = centred_products(df, cols).first()
+        row = centred_products(df, cols)
     else:
-        row = (
-            df.select(*cols)
-            .dropna("any")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-                *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"p{i}_{j}") for i, j in pairs],
-            )
-            .first()
+        pairs = combinations_with_replacement(range(len(cols)), 2)
+        row = df.select(*cols).dropna("any").agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+            *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"p{i}_{j}") for i, j in pairs],
         )
-    g = np.zeros((len(cols), len(cols)))
-    for i, j in pairs:
-        g[i, j] = g[j, i] = row[f"p{i}_{j}"] or 0.0
-    return int(row["n"] or 0), np.array([row[f"m{i}"] or 0.0 for i in range(len(cols))]), g
-
-
-def independent_columns(g: np.ndarray, tol: float = 1e-9) -> list[int]:
-    """Indices of columns to keep for full rank, judged on their cross products; earlier columns win."""
-    scale = np.sqrt(np.diag(g))
-    kept: list[int] = []
-    for i in range(len(g)):
-        trial = [*kept, i]
-        if scale[i] > 0 and np.linalg.eigvalsh(g[np.ix_(trial, trial)] / np.outer(scale[trial], scale[trial]))[0] > tol:
-            kept.append(i)
-    return kept
-
-
-def student_p(t: float, dof: int) -> float:
-    """Two-sided p-value of Student's t, from the continued fraction of the incomplete beta function."""
-    x, a, b = dof / (dof + t * t), dof / 2, 0.5
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    swap = x > (a + 1) / (a + b + 2)
-    if swap:
-        x, a, b = 1 - x, b, a
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) / a
-    fraction = 0.0
-    for m in range(300, 0, -1):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
-        fraction = odd / (1 + even / (1 + fraction))
-    p = front / (1 + fraction)
-    return float(1 - p if swap else p)
+    return row.select(F.coalesce("n", F.lit(0)).alias("n"), flat_means(len(cols)), flat_products(len(cols)))
+
+
+def flat_means(d: int) -> Column:
+    return F.array(*[F.coalesce(F.col(f"m{i}"), F.lit(0.0)) for i in range(d)]).alias("means")
+
+
+def flat_products(d: int) -> Column:
+    cells = [F.coalesce(F.col(f"p{min(i, j)}_{max(i, j)}"), F.lit(0.0)).cast("double") for i in range(d) for j in range(d)]
+    return F.array(*cells).alias("g")
+
+
+def quoted(names: list[str]) -> str:
+    """An SQL array of the names."""
+    listed = (n.replace("\\", "\\\\").replace("'", "\\'") for n in names)
+    return "array(" + ", ".join(f"'{n}'" for n in listed) + ")"
+
+
+def fitted(one: DataFrame, k: int, use: str | None = None) -> DataFrame:
+    """Add ``kept`` (swept columns), ``inverse`` (flat, d by d) and ``b`` (k coefficients, 0 for columns not swept).
+
+    ``use`` names an array of k booleans: the columns that may enter.
+    """
+    d = k + 1
+    allowed = use or f"array_repeat(true, {k})"
+    out = one.withColumn("_s", F.expr(swept("g", d, allowed)))
+    beta = f"transform(sequence(0, {k - 1}), i -> CASE WHEN array_contains(_s.kept, i) THEN _s.m[i * {d} + {k}] ELSE 0D END)"
+    return out.withColumns({"kept": F.expr("_s.kept"), "inverse": F.expr("_s.m"), "b": F.expr(beta)}).drop("_s")
+
+
+def fit_rows(one: DataFrame, xs: list[str], intercept: bool = True, use: str | None = None) -> DataFrame:
+    """The fit of a ``gram`` row as a table: ``term, estimate, std_error, p_value, n, r2, r2_adj``."""
+    k, d = len(xs), len(xs) + 1
+    last = d * d - 1
+    solved = fitted(one, k, use).withColumns(
+        {
+            "_dof": F.expr(f"n - {int(intercept)} - size(kept)"),
+            "_r2": F.expr(f"1 - try_divide(inverse[{last}], g[{last}])"),
+            "b0": F.expr(f"means[{k}] - {dot(k, 'b[i] * means[i]')}"),
+        }
+    )
+    # variance of the intercept: 1 / n and the quadratic form of the means over the swept block
+    form = dot(k, f"CASE WHEN array_contains(kept, i) THEN means[i] * aggregate(kept, 0D, (u, j) -> u + means[j] * inverse[i * {d} + j]) ELSE 0D END")
+    named = quoted(xs)
+    terms = f"transform(kept, i -> named_struct('term', {named}[i], 'estimate', b[i], 'scale', inverse[i * {d} + i]))"
+    if intercept:
+        terms = f"concat({terms}, array(named_struct('term', '(intercept)', 'estimate', b0, 'scale', 1D / n + {form})))"
+    long = solved.filter("n > 0").select("n", "_dof", "_r2", F.expr(f"try_divide(greatest(inverse[{last}], 0D), _dof)").alias("_s2"), F.expr(f"inline({terms})"))
+    errors = long.withColumn("std_error", F.sqrt(F.col("_s2") * F.col("scale")))
+    return errors.select(
+        "term",
+        "estimate",
+        "std_error",
+        F.coalesce(student_p("try_divide(estimate, std_error)", "_dof"), F.expr("CASE WHEN std_error = 0 THEN 0D END")).alias("p_value"),
+        "n",
+        F.col("_r2").alias("r2"),
+        F.expr(f"1 - (1 - _r2) * try_divide(n - {int(intercept)}, CAST(_dof AS DOUBLE))").alias("r2_adj"),
+    )
+
+
+def trimmed_gram(df: DataFrame, y: str, xs: list[str], limit: float) -> DataFrame:
+    """The ``gram`` row without the rows whose residual exceeds the limit in size.
+
+    The products of the trimmed rows are subtracted from those of all rows: after the fit one scan sums what goes,
+    which is little, and nothing is summed again. Sums are taken about the means of all rows, so few digits cancel.
+    """
+    k, d = len(xs), len(xs) + 1
+    cols = [*xs, y]
+    one = materialise(fitted(gram(df, y, xs), k).select("n", "means", "g", "b"))
+    rows = with_scalars(df.select(*cols).dropna("any"), one.select(F.col("means").alias("_means"), F.col("b").alias("_b")))
+    shifted = [(F.col(c) - F.col("_means")[i]).alias(f"c{i}") for i, c in enumerate(cols)]
+    residual = F.col(f"c{k}") - sum((F.col("_b")[i] * F.col(f"c{i}") for i in range(k)), F.lit(0.0))
+    gone = rows.select("_b", *shifted).filter(F.abs(residual) > limit)
+    taken = gone.agg(
+        F.count(F.lit(1)).alias("m"),
+        F.array(*[F.coalesce(F.sum(f"c{i}"), F.lit(0.0)) for i in range(d)]).alias("s"),
+        F.array(*[F.coalesce(F.sum(F.col(f"c{i}") * F.col(f"c{j}")), F.lit(0.0)) for i in range(d) for j in range(d)]).alias("q"),
+    )
+    left = with_scalars(one.drop("b"), taken)
+    return left.select(
+        F.expr("n - m").alias("n"),
+        F.expr("transform(means, (v, i) -> v - coalesce(try_divide(s[i], n - m), 0D))").alias("means"),
+        F.expr(f"transform(g, (v, x) -> v - q[x] - coalesce(try_divide(s[x div {d}] * s[x % {d}], n - m), 0D))").alias("g"),
+    )
+
+
+def trim_refit_multi(df: DataFrame, y: str, xs: list[str], limit: float = 1.0) -> DataFrame:
+    """Fit on several regressors, drop rows whose residual exceeds the limit in size, and fit again."""
+    return fit_rows(trimmed_gram(df, y, xs, limit), xs)
+
+
+def input_selection(
+    df: DataFrame, y: str, inputs: list[str], controls: list[str], limit: float | None = None, keep: str = "negative", steps: int | None = None
+) -> DataFrame:
+    """Refit while inputs have the unwanted sign: ``variable, is_input, first_estimate, estimate, dropped_at``.
+
+    Every step drops all inputs whose coefficient has not the sign to ``keep`` and fits again, at most ``steps`` times
+    (once per input unless given); ``dropped_at`` is the step, 0 for what stays. Controls always stay. With a limit, rows whose
+    residual in the first fit exceeds it are left out throughout. Columns that repeat earlier ones have no estimate.
+    All steps work on one matrix of cross products: the data are read for it, and once more for the trimming.
+    """
+    if keep not in ("negative", "positive"):
+        raise ValueError("keep is negative or positive")
+    xs = [*inputs, *controls]
+    k, d = len(xs), len(xs) + 1
+    one = materialise(gram(df, y, xs) if limit is None else trimmed_gram(df, y, xs, limit))
+    sign = "<" if keep == "negative" else ">"
+    wrong = f"f.use[i] AND i < {len(inputs)} AND NOT (array_contains(w.kept, i) AND w.m[i * {d} + {k}] {sign} 0)"
+    after = f"named_struct('use', transform(sequence(0, {k - 1}), i -> f.use[i] AND NOT ({wrong})), 'at', transform(sequence(0, {k - 1}), i -> CASE WHEN {wrong} THEN e ELSE f.at[i] END))"
+    step = f"transform(array({swept('g', d, 'f.use')}), w -> {after})[0]"
+    start = f"named_struct('use', array_repeat(true, {k}), 'at', array_repeat(0, {k}))"
+    count = len(inputs) if steps is None else steps
+    fold = f"aggregate(sequence(1, {count}), {start}, (f, e) -> {step})" if count > 0 and inputs else start
+    first = fitted(one, k).select("n", "means", "g", F.col("b").alias("b1"), F.col("kept").alias("kept1"))
+    chosen = first.withColumn("_f", F.expr(fold)).withColumns({"use": F.expr("_f.use"), "at": F.expr("_f.at")})
+    final = fitted(chosen, k, "use")
+    named = quoted(xs)
+    rows = (
+        f"transform(sequence(0, {k - 1}), i -> named_struct('variable', {named}[i], 'is_input', i < {len(inputs)}, "
+        "'first_estimate', CASE WHEN array_contains(kept1, i) THEN b1[i] END, "
+        "'estimate', CASE WHEN array_contains(kept, i) THEN b[i] END, 'dropped_at', at[i]))"
+    )
+    return final.select(F.expr(f"inline({rows})"))
 
 
 def gram_table(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
@@ -235,64 +304,95 @@ def predict(df: DataFrame, fit: DataFrame, name: str = "fitted") -> DataFrame:
 def pca_loadings(df: DataFrame, cols: list[str], keep: float = 0.8) -> DataFrame:
     """Varimax-rotated loadings of the leading components of the correlation matrix.
 
-    Components are kept until they explain ``keep`` of the variance. The correlations are a
-    distributed aggregate; the k by k eigenproblem is solved on the driver.
+    Components are kept until they explain ``keep`` of the variance, rounded to two digits. The correlations are a
+    distributed aggregate; the k by k problem is solved by rotations inside the JVM. Columns of loadings are turned
+    to a sum that is not negative. A column that does not vary correlates with nothing.
     """
     k = len(cols)
-    pos = {c: i for i, c in enumerate(cols)}
-    corr = np.eye(k)
-    for r in correlation_matrix(df, cols).collect():
-        corr[pos[r.var_a], pos[r.var_b]] = r.r if r.r is not None else 0.0
-    values, vectors = np.linalg.eigh(corr)
-    order = np.argsort(values)[::-1]
-    values, vectors = values[order], vectors[:, order]
-    share = np.cumsum(values / values.sum())
-    n = int(np.argmax(np.round(share, 2) >= keep)) + 1
-    loadings = vectors[:, :n] * np.sqrt(values[:n])
-    rotated = varimax(loadings)
-    rotated = rotated * np.where(rotated.sum(axis=0) < 0, -1.0, 1.0)
-    rows = [
-        (cols[i], j + 1, float(loadings[i, j]), float(rotated[i, j]), float(values[j]), float(share[j]))
+    moments = centred_products(df, cols)
+    cells = [
+        F.lit(1.0) if i == j else F.coalesce(ratio(f"p{min(i, j)}_{max(i, j)}", F.sqrt(F.col(f"p{i}_{i}") * F.col(f"p{j}_{j}"))), F.lit(0.0))
         for i in range(k)
-        for j in range(n)
+        for j in range(k)
     ]
-    schema = "variable string, component int, loading double, rotated double, eigenvalue double, cum_share double"
-    return df.sparkSession.createDataFrame(rows, schema)
-
-
-def varimax(loadings: np.ndarray, sweeps: int = 200, tol: float = 1e-12) -> np.ndarray:
-    """Varimax rotation with Kaiser normalisation: plane rotations, each by its best angle."""
-    length = np.sqrt((loadings**2).sum(axis=1, keepdims=True))
-    length[length == 0] = 1.0
-    x = loadings / length
-    rows, n = x.shape
-    for _ in range(sweeps):
-        widest = 0.0
-        for i in range(n):
-            for j in range(i + 1, n):
-                u, v = x[:, i] ** 2 - x[:, j] ** 2, 2 * x[:, i] * x[:, j]
-                num = 2 * (u @ v) - 2 * u.sum() * v.sum() / rows
-                den = u @ u - v @ v - (u.sum() ** 2 - v.sum() ** 2) / rows
-                angle = np.arctan2(num, den) / 4
-                c, s = np.cos(angle), np.sin(angle)
-                x[:, [i, j]] = x[:, [i, j]] @ np.array([[c, -s], [s, c]])
-                widest = max(widest, abs(angle))
-        if widest < tol:
+    solved = moments.select(F.array(*cells).alias("corr")).withColumn("e", F.expr(eigen("corr", k)))
+    order = f"array_sort(transform(sequence(0, {k - 1}), i -> named_struct('minus', -e.a[i * {k + 1}], 'at', i)))"
+    ranked = solved.withColumn("o", F.expr(order)).withColumn(
+        "share", F.expr(f"transform(sequence(0, {k - 1}), j -> aggregate(slice(o, 1, j + 1), 0D, (t, r) -> t - r.minus) / {k})")
+    )
+    ranked = ranked.withColumn("n", F.expr(f"coalesce(nullif(array_position(transform(share, s -> round(s, 2) >= {keep!r}D), true), 0), {k})").cast("int"))
+    cell = f"e.v[(x div n) * {k} + o[x % n].at] * sqrt(greatest(-o[x % n].minus, 0D))"
+    loaded = ranked.withColumn("l", F.expr(f"transform(sequence(0, {k} * n - 1), x -> {cell})"))
+    loaded = loaded.withColumn("l", F.expr(f"transform(l, (v, x) -> v * {upright('l', k)})"))
+    # rows to unit length and back: Kaiser's normalisation
+    length = f"transform(sequence(0, {k - 1}), i -> sqrt(aggregate(slice(l, i * n + 1, n), 0D, (t, v) -> t + v * v)))"
+    scaled = loaded.withColumn("len", F.expr(length)).withColumn(
+        "unit", F.expr("transform(l, (v, x) -> v / CASE WHEN len[x div n] = 0 THEN 1D ELSE len[x div n] END)")
+    )
+    turned = scaled.withColumn("r", F.expr(varimax("unit", k, "n"))).withColumn("r", F.expr("transform(r, (v, x) -> v * len[x div n])"))
+    turned = turned.withColumn("r", F.expr(f"transform(r, (v, x) -> v * {upright('r', k)})"))
+    named = quoted(cols)
+    rows = (
+        f"transform(l, (v, x) -> named_struct('variable', {named}[x div n], 'component', x % n + 1, 'loading', v, "
+        "'rotated', r[x], 'eigenvalue', -o[x % n].minus, 'cum_share', share[x % n]))"
+    )
+    return turned.select(F.expr(f"inline({rows})"))
+
+
+def upright(m: str, k: int) -> str:
+    """1 or -1: the sign that gives the column of element x of a k by n matrix a sum that is not negative."""
+    return f"CASE WHEN aggregate(sequence(0, {k - 1}), 0D, (t, i) -> t + {m}[i * n + x % n]) < 0 THEN -1D ELSE 1D END"
+
+
+def logistic_fit(df: DataFrame, y: str, xs: str | list[str], steps: int = 25, tol: float = 1e-10) -> DataFrame:
+    """Logistic curve through a response in [0, 1]: ``term, estimate``.
+
+    Newton's method on the likelihood: each step is one aggregate over the rows, of which the k by k system reaches the
+    driver; a step that lowers the likelihood is halved. Where the rows are separated, so that the likelihood has no
+    maximum, or without a solution within the given steps, the estimates are NULL.
+    """
+    xs = [xs] if isinstance(xs, str) else xs
+    rows = materialise(df.select(F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)]).dropna("any"))
+    at = ["1D", *[f"_x{i}" for i in range(len(xs))]]
+    beta, last, best = np.zeros(len(at)), None, None
+    for _ in range(steps):
+        n, loss, gradient, system = logistic_step(rows, at, beta)
+        if not n or loss < 1e-6 * n:
+            break
+        if last is not None and loss > last + tol * abs(last):
+            beta = (beta + best) / 2
+            continue
+        if np.linalg.cond(system) > 1e14:
             break
-    return x * length
+        move = np.linalg.solve(system, gradient)
+        if last is not None and abs(last - loss) <= tol * abs(loss) and np.abs(move).max() <= 1e-8 * (1 + np.abs(beta).max()):
+            return _terms(df, xs, [float(b) for b in beta + move])
+        last, best, beta = loss, beta, beta + move
+    return _terms(df, xs, [None] * len(at))
 
 
-def logistic_fit(df: DataFrame, y: str, x: str) -> DataFrame:
-    """Logistic curve through a share ``y`` in [0, 1] against ``x``."""
-    vec = VectorAssembler(inputCols=[x], outputCol="features").transform(df.select(y, x).dropna("any"))
-    vec = materialise(vec)  # each reweighting step reads the points again
-    model = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="features", labelCol=y, maxIter=100
-    ).fit(vec)
-    rows = [("(intercept)", float(model.intercept)), (x, float(model.coefficients[0]))]
+def _terms(df: DataFrame, xs: list[str], estimates: list[float | None]) -> DataFrame:
+    rows = list(zip(["(intercept)", *xs], estimates, strict=True))
     return df.sparkSession.createDataFrame(rows, "term string, estimate double")
 
 
+def logistic_step(rows: DataFrame, at: list[str], beta: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """Rows, negative log likelihood, gradient and information at the given coefficients, from one aggregate."""
+    eta = " + ".join(f"{float(b)!r}D * {x}" for b, x in zip(beta, at, strict=True))
+    mid = rows.withColumn("_eta", F.expr(eta)).withColumn("_mu", F.expr("1 / (1 + exp(-_eta))"))
+    k = len(at)
+    row = mid.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.expr("greatest(_eta, 0D) + log1p(exp(-abs(_eta))) - _y * _eta")).alias("loss"),
+        *[F.sum(F.expr(f"(_y - _mu) * {x}")).alias(f"g{i}") for i, x in enumerate(at)],
+        *[F.sum(F.expr(f"_mu * (1 - _mu) * {at[i]} * {at[j]}")).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)],
+    ).first()
+    if not row.n:
+        return 0, 0.0, np.zeros(k), np.eye(k)
+    system = np.array([[row[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+    return row.n, row.loss, np.array([row[f"g{i}"] for i in range(k)]), system
+
+
 def cross_ratio(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Mean and spread of the log ratio of column pairs, in one pass, long: ``pair, n, mean, sd``."""
     aggs = []

@@ -7,6 +7,7 @@ from fieldledger.operators import moments as M
 from fieldledger.operators import regression as G
 from fieldledger.operators.columns import transform_columns
 from fieldledger.operators.supply import product_lognormal_mean
+from fieldledger.plans import fit_sql as S
 from fieldledger.plans.registry import query, rnd, sql_pdf
 from fieldledger.plans.views import CONTROLS, DISTRICT_SQL, FARMS_SQL, farms, farms_by_district, table
 
@@ -158,9 +159,43 @@ def correlation_matrix(spark, d):
 REGRESSORS = ["log_cost", "log_area", "log_seed", "hybrid", "tenure", "oxen", "tractor"]
 
 
-@query("ols_fit")
+FIT_DIGITS = ["estimate", "std_error", "p_value", "r2", "r2_adj"]
+
+
+@query(
+    "ols_fit",
+    f"""WITH RECURSIVE {FARMS_SQL}, {S.normal_equations("eq", "farms", "log_yield", REGRESSORS)},
+        {S.eliminated("fit", "eq", len(REGRESSORS))} {S.fit_select("fit", "eq", REGRESSORS)}""",
+)
 def ols_fit(spark, d):
-    return G.ols_fit(farms(spark, d), "log_yield", REGRESSORS)
+    out = G.ols_fit(farms(spark, d), "log_yield", REGRESSORS)
+    return transform_columns(out, FIT_DIGITS, lambda c: rounded(c, 6))
+
+
+@query(
+    "ols_trim_refit_multi",
+    f"""WITH RECURSIVE {FARMS_SQL}, {S.trimmed("near", "farms", "log_yield", REGRESSORS, 1.0)},
+        {S.normal_equations("eq", "near", "log_yield", REGRESSORS)},
+        {S.eliminated("fit", "eq", len(REGRESSORS))} {S.fit_select("fit", "eq", REGRESSORS)}""",
+)
+def ols_trim_refit_multi(spark, d):
+    out = G.trim_refit_multi(farms(spark, d), "log_yield", REGRESSORS, 1.0)
+    return transform_columns(out, FIT_DIGITS, lambda c: rounded(c, 6))
+
+
+SELECTED = ["log_seed", "hybrid", "tenure", "oxen", "tractor"]
+SELECTION_PARTS, SELECTION_SQL = S.selection("near", "log_yield", SELECTED, ["log_cost", "log_area"])
+
+
+@query(
+    "input_selection",
+    f"""WITH RECURSIVE {FARMS_SQL}, {S.trimmed("near", "farms", "log_yield", [*SELECTED, "log_cost", "log_area"], 1.0)},
+        {SELECTION_PARTS} {SELECTION_SQL}""",
+)
+def input_selection(spark, d):
+    """Inputs that stay while those whose coefficient is not negative are dropped, after trimming."""
+    out = G.input_selection(farms(spark, d), "log_yield", SELECTED, ["log_cost", "log_area"], 1.0)
+    return transform_columns(out, ["first_estimate", "estimate"], lambda c: rounded(c, 6))
 
 
 @query(
@@ -271,17 +306,30 @@ def smearing_backtransform(spark, d):
     return out.select("farm_id", rounded("expected", 3).alias("expected"), rounded("unit_cost", 6).alias("unit_cost"))
 
 
-@query("pca_loadings")
+PCA_VARS = [*CORR_VARS, "hybrid", "tenure", "oxen", "tractor"]
+PCA_PARTS, PCA_SQL = S.components("farms", PCA_VARS)
+
+
+@query("pca_loadings", f"WITH RECURSIVE {FARMS_SQL}, {PCA_PARTS} {PCA_SQL}")
 def pca_loadings(spark, d):
-    return G.pca_loadings(farms(spark, d), [*CORR_VARS, "hybrid", "tenure", "oxen", "tractor"])
+    out = G.pca_loadings(farms(spark, d), PCA_VARS)
+    return transform_columns(out, ["loading", "rotated", "eigenvalue", "cum_share"], lambda c: rounded(c, 5))
 
 
-@query("logistic_cdf_fit")
+@query(
+    "logistic_cdf_fit",
+    f"""WITH RECURSIVE {FARMS_SQL}, pct AS (SELECT list_transform(range(1, 101), lambda i: i / 100.0::DOUBLE) AS p),
+        points AS (SELECT unnest(p) AS y, unnest(q) AS x FROM (SELECT quantile_cont(log_cost, [{", ".join(f"{i / 100}" for i in range(1, 101))}]) AS q FROM farms), pct),
+        {S.newton("points")}
+        SELECT unnest(['(intercept)', 'log_cost']) AS term, unnest([{rnd("b0", 5)}, {rnd("b1", 5)}]) AS estimate
+        FROM (SELECT * FROM newton ORDER BY t DESC LIMIT 1)""",
+)
 def logistic_cdf_fit(spark, d):
     """Logistic curve through the empirical distribution function of logged expenditure."""
     probs = [i / 100 for i in range(1, 101)]
     cdf = M.quantile_table(farms(spark, d), [], "log_cost", probs)
-    return G.logistic_fit(cdf.withColumnRenamed("quantile", "log_cost"), "prob", "log_cost")
+    out = G.logistic_fit(cdf.withColumnRenamed("quantile", "log_cost"), "prob", "log_cost")
+    return out.withColumn("estimate", rounded("estimate", 5))
 
 
 @query(
