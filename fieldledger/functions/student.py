@@ -39,7 +39,7 @@ def student_p(t: str, dof: str) -> Column:
     tail = f"{front} / (s.v / 2) * {fraction('(s.v / 2)', '0.5D', x)}"
     centre = f"1 - {front} / 0.5D * {fraction('0.5D', '(s.v / 2)', rest)}"
     exact = f"CASE WHEN {x} < (s.v / 2 + 1) / (s.v / 2 + 2.5D) THEN {tail} ELSE {centre} END"
-    z = "-(8 * s.v + 1) / (8 * s.v + 3) * sqrt(s.v * ln(1 + s.tt / s.v))"
+    z = "-(8 * s.v + 1) / (8 * s.v + 3) * sqrt(s.v * log1p(s.tt / s.v))"
     normal = f"transform(array({z}), z -> 2 * {cdf_text('z')})[0]"
     body = f"CASE WHEN s.tt IS NULL OR NOT s.v > 0 THEN NULL WHEN s.tt = 0 THEN 1D WHEN s.tt > 1e200D THEN 0D WHEN s.v > {LARGE} THEN {normal} ELSE {exact} END"
     bound = f"named_struct('tt', CAST(({t}) * ({t}) AS DOUBLE), 'v', CAST({dof} AS DOUBLE))"

@@ -13,6 +13,8 @@ from fieldledger.operators.lineage import materialise
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 16 << 20
 SALT = "_salt"
+#: Joins whose frequent keys can be split off, and the most keys that are.
+SPLIT_KINDS, MOST_HOT = ("inner", "left", "left_semi", "left_anti"), 10_000
 
 
 def shared_columns(a: DataFrame, b: DataFrame) -> list[str]:
@@ -46,16 +48,91 @@ def join_on(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner", nul
 
 
 def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on every column name the two tables share."""
+    """Join on every column name the two tables share; inner and left joins split hot keys."""
+    return _natural(a, b, how)[0]
+
+
+def _natural(a: DataFrame, b: DataFrame, how: str) -> tuple[DataFrame, bool]:
     keys = shared_columns(a, b)
     if not keys:
         raise ValueError("tables share no column")
-    return a.join(b, keys, how)
+    return _split(a, b, keys, how) if how in SPLIT_KINDS else (a.join(b, keys, how), False)
 
 
 def left_join_chain(first: DataFrame, others: list[DataFrame]) -> DataFrame:
-    """Left join a list of tables, one after another, on the names each shares with the result so far."""
-    return reduce(lambda acc, b: natural_join(acc, b, "left"), others, first)
+    """Left join a list of tables, one after another, on the names each shares with the result so far.
+
+    A result whose hot keys were split is written before the next join reads its parts again.
+    """
+    out = first
+    for i, other in enumerate(others):
+        out, parted = _natural(out, other, "left")
+        if parted and i + 1 < len(others):
+            out = materialise(out)
+    return out
+
+
+def may_broadcast(df: DataFrame) -> bool:
+    """Whether the optimizer would broadcast this side of a join by itself; then no key needs care."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
+def key_hash(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """The same hash for keys that a join of the two tables takes as equal, whatever their types on either side."""
+    kinds = a.select(*keys).limit(0).union(b.select(*keys).limit(0)).dtypes
+    # adding zero makes a negative zero positive
+    return F.xxhash64(*[F.col(k).cast(t) + F.lit(0.0) if t in ("double", "float") else F.col(k).cast(t) for k, t in kinds])
+
+
+def frequent_keys(rows: DataFrame, keys: list[str], mark: Column | None = None) -> tuple[list[int], bool]:
+    """Hashes of the keys that would fill half a shuffle partition or more, and whether missing keys would.
+
+    One scan: a mergeable sketch of frequent items, of a size that depends on the number of partitions alone, in
+    place of a count per key. A key that is listed without need does no harm.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = min(2 * partitions, MOST_HOT)
+    whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in keys])
+    marks = rows.select(F.when(whole, F.xxhash64(*keys) if mark is None else mark).alias("h"))
+    found = marks.agg(F.count(F.lit(1)).alias("n"), F.count("h").alias("named"), F.expr(f"approx_top_k(h, {k}, {4 * k})").alias("top")).first()
+    least = found.n / (2 * partitions)
+    return [t["item"] for t in found.top or [] if t["item"] is not None and t["count"] > least], found.n - found.named > least
+
+
+def split_join(fact: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join in which frequent keys are split off, for inner, left, left_semi and left_anti.
+
+    Rows of ``fact`` with a frequent key stay where they are and meet the few rows of ``other`` with these keys
+    by a broadcast of checked size; rows with a missing key, which match nothing, are not shuffled at all; the
+    rest meet by a shuffle. So neither equal rows nor missing keys gather in one task, and no row's place depends on
+    anything but its key. Where frequent keys have many rows in ``other`` too, adaptive execution is left to
+    split them.
+    """
+    return _split(fact, other, keys, how)[0]
+
+
+def _split(fact: DataFrame, other: DataFrame, keys: list[str], how: str) -> tuple[DataFrame, bool]:
+    if how not in SPLIT_KINDS:
+        raise ValueError(f"split_join supports {', '.join(SPLIT_KINDS)}")
+    if may_broadcast(other):
+        return fact.join(other, keys, how), False
+    mark = key_hash(fact, other, keys)
+    hashes, missing = frequent_keys(fact, keys, mark)
+    loose = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in keys])
+    named = fact.filter(~loose) if missing else fact
+    parts = []
+    if hashes:
+        hot = F.broadcast(fact.sparkSession.createDataFrame([(h,) for h in hashes], "_hot bigint"))
+        is_hot = mark == F.col("_hot")
+        few = materialise(other.join(hot, is_hot, "left_semi"))
+        if is_small(few):
+            parts.append(named.join(hot, is_hot, "left_semi").join(F.broadcast(few), keys, how))
+            named, other = named.join(hot, is_hot, "left_anti"), other.join(hot, is_hot, "left_anti")
+    parts.append(named.join(other, keys, how))
+    if missing and how in ("left", "left_anti"):
+        parts.append(fact.filter(loose).join(F.broadcast(other.filter(F.lit(False))), keys, how))
+    return reduce(lambda x, y: x.union(y), parts), len(parts) > 1
 
 
 def dimension_join(
@@ -127,13 +204,13 @@ def salted_join(
 
 
 def anti_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``a`` whose key is absent from ``b``."""
-    return a.join(b.select(*keys).distinct(), keys, "left_anti")
+    """Rows of ``a`` whose key is absent from ``b``; a missing key is absent."""
+    return split_join(a, b.select(*keys).distinct(), keys, "left_anti")
 
 
 def semi_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``a`` whose key is present in ``b``."""
-    return a.join(b.select(*keys).distinct(), keys, "left_semi")
+    return split_join(a, b.select(*keys).distinct(), keys, "left_semi")
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:

@@ -52,6 +52,76 @@ def test_hot_keys_through_the_salted_path(spark, hot_tables, monkeypatch, name):
     assert compare(spark, duck(hot_tables), hot_tables, REGISTRY[name]) == ""
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["anti_join_fallback", "left_join_chain", "natural_join", "semi_join"])
+def test_hot_keys_split_off(spark, hot_tables, no_broadcast, name):
+    assert compare(spark, duck(hot_tables), hot_tables, REGISTRY[name]) == ""
+
+
+def largest(df):
+    """Rows of the fullest partition, and of all."""
+    from pyspark.sql import functions as F
+
+    sizes = [r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    return max(sizes), sum(sizes)
+
+
+# equal rows, a key with a third of the rows, missing keys in a third of them
+SHAPES = {"equal": "7", "third": "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 5000 END", "missing": "CASE WHEN id % 3 > 0 THEN id % 5000 END", "even": "id % 5000"}
+
+
+@pytest.mark.parametrize("how", joins.SPLIT_KINDS)
+@pytest.mark.parametrize("shape", sorted(SHAPES))
+def test_no_partition_gathers_a_frequent_key(spark, no_broadcast, shape, how):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        fact = spark.range(0, 24_000, 1, 8).selectExpr(f"{SHAPES[shape]} AS k", "'same' AS v")
+        other = spark.range(0, 4000, 1, 2).selectExpr("id AS k", "id * 2 AS w")
+        got = joins.split_join(fact, other, ["k"], how)
+        plain = fact.join(other, ["k"], how)
+        assert got.columns == plain.columns
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+        if got.count():
+            most, total = largest(got)
+            # an even share is at most an eighth; one key or none used to hold a third or all
+            assert most <= 0.2 * total
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_keys_of_different_types_and_signed_zeros_meet(spark, no_broadcast):
+    fact = spark.sql("SELECT CAST(IF(id % 2 = 0, -0.0, 1.0) AS FLOAT) AS k, id AS v FROM range(2000)")
+    other = spark.sql("SELECT CAST(id AS DOUBLE) AS k, id AS w FROM range(50)")
+    for how in joins.SPLIT_KINDS:
+        got, plain = joins.split_join(fact, other, ["k"], how), fact.join(other, ["k"], how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_frequent_on_both_sides_is_still_right(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(joins, "is_small", lambda *_: False)
+    fact = spark.range(3000).selectExpr("id % 2 AS k", "id AS v")
+    other = spark.range(40).selectExpr("id % 4 AS k", "id AS w")
+    assert joins.split_join(fact, other, ["k"]).count() == 30_000
+
+
+def test_small_tables_cost_no_extra_job(spark):
+    fact, other = spark.range(100).selectExpr("id AS k"), spark.range(10).selectExpr("id AS k")
+    tracker = spark.sparkContext.statusTracker()
+    jobs = len(tracker.getJobIdsForGroup())
+    plan = joins.semi_join(fact, other, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and len(tracker.getJobIdsForGroup()) == jobs
+
+
 def test_missing_keys_are_spread(spark):
     from pyspark.sql import functions as F
 
