@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldledger.functions.nulls import log_positive, ratio
 from fieldledger.functions.normal import lognormal_mean, lognormal_mode, lognormal_pdf, lognormal_power_mean, spark_double
-from fieldledger.operators.joins import BROADCAST_ROWS, dimension_join, is_small, summary_join, with_scalars
+from fieldledger.operators.joins import BROADCAST_ROWS, dimension_join, summary_join, with_scalars
 from fieldledger.operators.lineage import materialise
 
 
@@ -92,50 +92,49 @@ def density_overlay(df: DataFrame, keys: list[str], value: str, bins: int) -> Da
     )
 
 
-def quantile_table(df: DataFrame, keys: list[str], value: str, probs: list[float], slack: float = 2e-4) -> DataFrame:
+#: Bits of a key that one pass of the radix selection counts, and rows of a bucket that a task may rank.
+DIGIT, RANKED_ROWS = 16, 1 << 20
+
+
+def with_order_key(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Add a 64-bit integer that orders as the double does: its sign, exponent and mantissa, put together from the number.
+
+    Equal numbers have equal keys, -0.0 and 0.0 too; different ones have different keys. NaN comes last, after infinity.
+    """
+    v = f"CAST(`{value}` AS DOUBLE)"
+    # the logarithm may be one off next to a power of two, which is exact
+    exact = "CASE WHEN _a < pow(2D, _g) THEN _g - 1 WHEN _a >= 2 * pow(2D, _g) THEN _g + 1 ELSE _g END"
+    normal = "shiftleft(CAST(_e + 1023 AS BIGINT), 52) + CAST((_a / pow(2D, _e) - 1) * pow(2D, 52) AS BIGINT)"
+    # a subnormal number counts its own units; two factors keep the scaling in range
+    small = "CAST(_a * pow(2D, 537) * pow(2D, 537) AS BIGINT)"
+    size = (
+        "CASE WHEN isnan(_a) THEN 9221120237041090560 WHEN _a > 1.7976931348623157E308D THEN 9218868437227405312 "
+        f"WHEN _a < 2.2250738585072014E-308D THEN {small} ELSE {normal} END"
+    )
+    guess = "CASE WHEN _a >= 2.2250738585072014E-308D AND _a <= 1.7976931348623157E308D THEN CAST(floor(log2(_a)) AS INT) END"
+    out = df.withColumn("_a", F.expr(f"abs({v})")).withColumn("_g", F.expr(guess)).withColumn("_e", F.expr(exact))
+    return out.withColumn(name, F.expr(f"({size}) * CASE WHEN {v} < 0 THEN -1 ELSE 1 END")).drop("_a", "_g", "_e")
+
+
+def quantile_table(df: DataFrame, keys: list[str], value: str, probs: list[float], ranked_rows: int = RANKED_ROWS) -> DataFrame:
     """Exact interpolated quantiles (the convention of R's default) without gathering a group.
 
-    Approximate quantiles just below and above each wanted one cut every group into buckets, of which
-    those holding the wanted ranks are narrow. Bucket counts locate the ranks, and only the values in
-    those buckets are ranked. Equal values are counted together first, so ties do not pile up. The cuts
-    steer the work and never the result: whatever they are, the ranks are counted exactly.
+    Radix selection on order-preserving 64-bit keys: a pass counts the rows of each group per leading 16 bits, the
+    running counts locate the buckets that hold the wanted ranks, and while one of these has more than
+    ``ranked_rows`` rows the next 16 bits of its rows are counted. What is left is ranked within its bucket, equal values
+    counted together first; so a task ranks at most ``ranked_rows`` different values however they are distributed.
+    Missing values are left out; a missing group key is no group.
     """
     group = keys or ["_all"]
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     rows = rows if keys else rows.withColumn("_all", F.lit(1))
-    marks = sorted({min(1.0, max(0.0, p + e)) for p in probs for e in (-slack, slack)})
-    cuts = rows.groupBy(*group).agg(
-        F.percentile_approx("_v", marks, 10_000).alias("_cuts"), F.count(F.lit(1)).alias("_total")
-    )
-    cuts = materialise(cuts)  # one row per group, read by the size check and by each join
-    counts = rows.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    # a group needs at most two buckets per probability, so one size check covers both joins
-    small = is_small(cuts, BROADCAST_ROWS // (2 * len(probs)))
-    placed = _with_bucket(dimension_join(counts, cuts, group, small=small), "_cuts", "_v", len(marks)).drop("_cuts")
-    per_bucket = placed.groupBy(*group, "_bucket").agg(F.sum("_n").alias("_m"), F.first("_total").alias("_total"))
-    w = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    located = per_bucket.withColumn("_end", F.sum("_m").over(w)).withColumn("_start", F.col("_end") - F.col("_m"))
-    listed = ", ".join(spark_double(p) for p in probs)
-    ranks = F.expr(
-        f"transform(transform(array({listed}), p -> named_struct('prob', p, 'at', (_total - 1) * p)), t -> "
-        "named_struct('prob', t.prob, 'low', floor(t.at), 'high', ceil(t.at), 'part', t.at - floor(t.at)))"
-    )
-    held = F.filter(
-        ranks,
-        lambda r: ((r["low"] >= F.col("_start")) & (r["low"] < F.col("_end")))
-        | ((r["high"] >= F.col("_start")) & (r["high"] < F.col("_end"))),
-    )
-    needed = located.withColumn("_ranks", held).filter(F.size("_ranks") > 0)
-    needed = needed.select(*group, "_bucket", "_start", "_ranks")
-    inside = dimension_join(placed.drop("_total"), needed, [*group, "_bucket"], small=small)
-    w2 = (
-        Window.partitionBy(*group, "_bucket")
-        .orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = inside.withColumn("_to", F.col("_start") + F.sum("_n").over(w2)).withColumn(
-        "_from", F.col("_to") - F.col("_n")
-    )
+    keyed = with_order_key(rows.dropna("any", subset=group), "_v", "_k")
+    needed, shift, small = wanted_buckets(keyed, group, probs, ranked_rows)
+    placed = keyed.withColumn("_bucket", F.shiftright("_k", shift)).drop("_k")
+    inside = dimension_join(placed, needed.drop("_n"), [*group, "_bucket"], small=small)
+    counts = inside.groupBy(*group, "_bucket", "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_start").alias("_start"), F.first("_ranks").alias("_ranks"))
+    w = Window.partitionBy(*group, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("_to", F.col("_start") + F.sum("_n").over(w)).withColumn("_from", F.col("_to") - F.col("_n"))
     hits = ranked.select(*group, "_v", "_from", "_to", F.explode("_ranks").alias("_r"))
     low = (F.col("_r.low") >= F.col("_from")) & (F.col("_r.low") < F.col("_to"))
     high = (F.col("_r.high") >= F.col("_from")) & (F.col("_r.high") < F.col("_to"))
@@ -152,17 +151,53 @@ def quantile_table(df: DataFrame, keys: list[str], value: str, probs: list[float
     return out.select(*keys, "prob", "quantile")
 
 
-def _with_bucket(df: DataFrame, cuts: str, value: str, n: int) -> DataFrame:
-    """Add the number of sorted cuts at or below the value.
+def wanted_buckets(keyed: DataFrame, group: list[str], probs: list[float], ranked_rows: int) -> tuple[DataFrame, int, bool]:
+    """Written table of the buckets that hold wanted ranks, ``group, _bucket, _start, _n, _ranks``; shift; whether it is small.
 
-    A binary search in steps of falling powers of two, one compiled projection per step.
+    ``_bucket`` is the key without its last ``shift`` bits, ``_start`` the number of smaller rows of the group. No
+    bucket has more than ``ranked_rows`` rows unless all of them are equal. A group has at most two buckets per probability.
     """
-    out = df.withColumn("_bucket", F.lit(0))
-    for k in reversed(range(n.bit_length())):
-        at_next = F.get(F.col(cuts), F.col("_bucket") + (2**k - 1))
-        jump = F.when(at_next <= F.col(value), F.lit(2**k)).otherwise(F.lit(0))
-        out = out.withColumn("_bucket", F.col("_bucket") + jump)
-    return out
+    per = keyed.groupBy(*group, F.shiftright("_k", 64 - DIGIT).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    # at most 2 ** 16 rows of counts per group
+    whole = Window.partitionBy(*group)
+    located = per.withColumn("_total", F.sum("_n").over(whole)).withColumn("_start", _running("_n", group))
+    listed = ", ".join(spark_double(p) for p in probs)
+    ranks = F.expr(
+        f"transform(transform(array({listed}), p -> named_struct('prob', p, 'at', (_total - 1) * p)), t -> "
+        "named_struct('prob', t.prob, 'low', floor(t.at), 'high', ceil(t.at), 'part', t.at - floor(t.at)))"
+    )
+    needed = _holding(located.withColumn("_ranks", ranks), group)
+    shift = 64 - DIGIT
+    while True:
+        needed = materialise(needed)
+        found = needed.agg(F.max("_n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+        # a row holds its group, four numbers and the ranks
+        small = found.rows * (len(probs) + 1) <= BROADCAST_ROWS
+        if shift == 0 or (found.n or 0) <= ranked_rows:
+            return needed, shift, small
+        upper = needed.select(*group, F.col("_bucket").alias("_up"), F.col("_start").alias("_base"), "_ranks")
+        rows = dimension_join(keyed.withColumn("_up", F.shiftright("_k", shift)), upper, [*group, "_up"], small=small)
+        shift -= DIGIT
+        finer = rows.groupBy(*group, "_up", F.shiftright("_k", shift).alias("_bucket")).agg(
+            F.count(F.lit(1)).alias("_n"), F.first("_base").alias("_base"), F.first("_ranks").alias("_ranks")
+        )
+        needed = _holding(finer.withColumn("_start", F.col("_base") + _running("_n", [*group, "_up"])), group)
+
+
+def _running(count: str, group: list[str]) -> Column:
+    """Rows in the smaller buckets of the group."""
+    w = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(count).over(w), F.lit(0))
+
+
+def _holding(located: DataFrame, group: list[str]) -> DataFrame:
+    """The buckets with a wanted rank, and which ranks these are."""
+    end = F.col("_start") + F.col("_n")
+    held = F.filter(
+        "_ranks",
+        lambda r: ((r["low"] >= F.col("_start")) & (r["low"] < end)) | ((r["high"] >= F.col("_start")) & (r["high"] < end)),
+    )
+    return located.withColumn("_ranks", held).filter(F.size("_ranks") > 0).select(*group, "_bucket", "_start", "_n", "_ranks")
 
 
 def centred_products(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -171,17 +206,16 @@ def centred_products(df: DataFrame, cols: list[str]) -> DataFrame:
     The means are a scalar subquery of the same query, so both passes share the input's shuffles, and
     plain sums keep the compiled loop small.
     """
-    complete = df.select(*cols).dropna("any")
-    means = complete.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)])
-    shifted = with_scalars(complete, means).select(
-        "n", *[f"m{i}" for i in range(len(cols))], *[(F.col(c) - F.col(f"m{i}")).alias(f"c{i}") for i, c in enumerate(cols)]
-    )
-    pairs = combinations_with_replacement(range(len(cols)), 2)
-    return shifted.agg(
-        F.max("n").alias("n"),
-        *[F.max(f"m{i}").alias(f"m{i}") for i in range(len(cols))],
-        *[F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"p{i}_{j}") for i, j in pairs],
+    complete = df.select(*cols).dropna("any").toDF(*[f"x{i}" for i in range(len(cols))])
+    places = range(len(cols))
+    # expressions as text: built call by call they cost the driver more than the query
+    means = complete.agg(F.expr("count(1)").alias("n"), *[F.expr(f"avg(x{i})").alias(f"m{i}") for i in places])
+    shifted = with_scalars(complete, means).selectExpr(
+        "n", *[f"m{i}" for i in places], *[f"x{i} - m{i} AS c{i}" for i in places]
     )
+    pairs = combinations_with_replacement(places, 2)
+    sums = [F.expr(f"sum(c{i} * c{j}) AS p{i}_{j}") for i, j in pairs]
+    return shifted.agg(F.expr("max(n) AS n"), *[F.expr(f"max(m{i}) AS m{i}") for i in places], *sums)
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:

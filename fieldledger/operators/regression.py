@@ -46,12 +46,12 @@ def gram(df: DataFrame, y: str, xs: list[str], centred: bool = True) -> DataFram
 
 
 def flat_means(d: int) -> Column:
-    return F.array(*[F.coalesce(F.col(f"m{i}"), F.lit(0.0)) for i in range(d)]).alias("means")
+    return F.expr("array(" + ", ".join(f"coalesce(m{i}, 0D)" for i in range(d)) + ") AS means")
 
 
 def flat_products(d: int) -> Column:
-    cells = [F.coalesce(F.col(f"p{min(i, j)}_{max(i, j)}"), F.lit(0.0)).cast("double") for i in range(d) for j in range(d)]
-    return F.array(*cells).alias("g")
+    cells = (f"CAST(coalesce(p{min(i, j)}_{max(i, j)}, 0) AS DOUBLE)" for i in range(d) for j in range(d))
+    return F.expr("array(" + ", ".join(cells) + ") AS g")
 
 
 def quoted(names: list[str]) -> str:
@@ -112,13 +112,13 @@ def trimmed_gram(df: DataFrame, y: str, xs: list[str], limit: float) -> DataFram
     cols = [*xs, y]
     one = materialise(fitted(gram(df, y, xs), k).select("n", "means", "g", "b"))
     rows = with_scalars(df.select(*cols).dropna("any"), one.select(F.col("means").alias("_means"), F.col("b").alias("_b")))
-    shifted = [(F.col(c) - F.col("_means")[i]).alias(f"c{i}") for i, c in enumerate(cols)]
-    residual = F.col(f"c{k}") - sum((F.col("_b")[i] * F.col(f"c{i}") for i in range(k)), F.lit(0.0))
-    gone = rows.select("_b", *shifted).filter(F.abs(residual) > limit)
+    shifted = rows.toDF(*[f"x{i}" for i in range(d)], "_means", "_b").selectExpr("_b", *[f"x{i} - _means[{i}] AS c{i}" for i in range(d)])
+    gone = shifted.filter(f"abs(c{k} - {' - '.join(f'_b[{i}] * c{i}' for i in range(k))}) > {float(limit)!r}D")
+    products = [f"coalesce(sum(c{min(i, j)} * c{max(i, j)}), 0D)" for i in range(d) for j in range(d)]
     taken = gone.agg(
-        F.count(F.lit(1)).alias("m"),
-        F.array(*[F.coalesce(F.sum(f"c{i}"), F.lit(0.0)) for i in range(d)]).alias("s"),
-        F.array(*[F.coalesce(F.sum(F.col(f"c{i}") * F.col(f"c{j}")), F.lit(0.0)) for i in range(d) for j in range(d)]).alias("q"),
+        F.expr("count(1) AS m"),
+        F.expr("array(" + ", ".join(f"coalesce(sum(c{i}), 0D)" for i in range(d)) + ") AS s"),
+        F.expr("array(" + ", ".join(products) + ") AS q"),
     )
     left = with_scalars(one.drop("b"), taken)
     return left.select(
@@ -310,12 +310,10 @@ def pca_loadings(df: DataFrame, cols: list[str], keep: float = 0.8) -> DataFrame
     """
     k = len(cols)
     moments = centred_products(df, cols)
-    cells = [
-        F.lit(1.0) if i == j else F.coalesce(ratio(f"p{min(i, j)}_{max(i, j)}", F.sqrt(F.col(f"p{i}_{i}") * F.col(f"p{j}_{j}"))), F.lit(0.0))
-        for i in range(k)
-        for j in range(k)
-    ]
-    solved = moments.select(F.array(*cells).alias("corr")).withColumn("e", F.expr(eigen("corr", k)))
+    cells = (
+        "1D" if i == j else f"coalesce(try_divide(p{min(i, j)}_{max(i, j)}, sqrt(p{i}_{i} * p{j}_{j})), 0D)" for i in range(k) for j in range(k)
+    )
+    solved = moments.selectExpr("array(" + ", ".join(cells) + ") AS corr").withColumn("e", F.expr(eigen("corr", k)))
     order = f"array_sort(transform(sequence(0, {k - 1}), i -> named_struct('minus', -e.a[i * {k + 1}], 'at', i)))"
     ranked = solved.withColumn("o", F.expr(order)).withColumn(
         "share", F.expr(f"transform(sequence(0, {k - 1}), j -> aggregate(slice(o, 1, j + 1), 0D, (t, r) -> t - r.minus) / {k})")

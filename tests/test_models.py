@@ -179,3 +179,38 @@ def test_correlation_and_summary(frame):
     assert got["a", "b"] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 6.5])[0, 1]) and got["a", "a"] == 1.0
     table = {(r.variable, r.stat): r.val for r in M.summary_table(df, ["a", "d"], ["d"]).collect()}
     assert table["a", "n"] == 3 and table["a", "sd"] == pytest.approx(1.0) and table["d", "sd"] is None
+
+
+def test_order_keys_are_those_of_the_bits(frame):
+    rnd = np.random.default_rng(4)
+    values = [0.0, 5e-324, 2.2250738585072009e-308, 2.2250738585072014e-308, 1.0, 1.7976931348623157e308, math.inf, 0.1, 3.0]
+    values += [2.0**e for e in range(-1060, 1024, 61)] + [np.nextafter(2.0**e, 0) for e in range(-1000, 1024, 37)]
+    values += [float(v) for v in rnd.integers(1, 2**63 - 2**53, 300, dtype=np.int64).view(np.float64)]
+    values = [v for v in map(float, values) if not math.isnan(v)]
+    got = {r.v: r.k for r in M.with_order_key(frame([(v,) for v in values], "v double"), "v", "k").collect()}
+    assert all(got[v] == int(np.array(v).view(np.int64)) for v in values)
+    signed = M.with_order_key(frame([(-v,) for v in values] + [(math.nan,)], "v double"), "v", "k").collect()
+    assert {(-r.v, -r.k) for r in signed if not math.isnan(r.v)} == set(got.items())
+    assert max(signed, key=lambda r: r.k).v != max(signed, key=lambda r: r.k).v
+
+
+@pytest.mark.parametrize("bound", [1, 5, 50])
+def test_no_bucket_ranks_more_rows_than_its_bound(frame, bound):
+    rnd = np.random.default_rng(6)
+    # nearly all rows within a millionth of one value, and one value that holds a third of them
+    values = [*(1000 + rnd.random(900) * 1e-3), *[1000.0005] * 500, *rnd.normal(size=100)]
+    df = frame([("g", float(v)) for v in values] + [("h", -2.0)] * 300, "g string, v double")
+    keyed = M.with_order_key(df.withColumnRenamed("v", "_v"), "_v", "_k")
+    probs = [0.0, 0.1, 0.33, 0.5, 0.9, 1.0]
+    found, shift, _ = M.wanted_buckets(keyed, ["g"], probs, bound)
+    held = keyed.withColumn("_bucket", F.shiftright("_k", shift)).join(found, ["g", "_bucket"], "left_semi")
+    sizes = held.groupBy("g", "_bucket").agg(F.count_distinct("_v").alias("n")).collect()
+    assert shift < 48 and max(r.n for r in sizes) <= bound
+    got = {(r.g, r.prob): r.quantile for r in M.quantile_table(df, ["g"], "v", probs, bound).collect()}
+    for p in probs:
+        assert got["g", p] == pytest.approx(np.quantile(values, p), rel=1e-14) and got["h", p] == -2.0
+
+
+def test_quantiles_of_nothing(frame):
+    df = frame([("g", None)], "g string, v double")
+    assert M.quantile_table(df, ["g"], "v", [0.5]).collect() == [] == M.quantile_table(df, [], "v", [0.5]).collect()

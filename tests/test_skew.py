@@ -7,7 +7,7 @@ import pytest
 from compare import TABLES, compare, duck
 from conftest import SMALL
 
-from fieldledger.operators import joins, moments
+from fieldledger.operators import joins
 from fieldledger.plans import REGISTRY
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="shared tables not present")
@@ -47,8 +47,7 @@ def hot_tables(tmp_path_factory):
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_hot_keys_through_the_salted_path(spark, hot_tables, monkeypatch, name):
-    for module in (joins, moments):
-        monkeypatch.setattr(module, "is_small", lambda *_: False)
+    monkeypatch.setattr(joins, "is_small", lambda *_: False)
     assert compare(spark, duck(hot_tables), hot_tables, REGISTRY[name]) == ""
 
 
