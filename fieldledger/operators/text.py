@@ -8,34 +8,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What is stripped from a Markdown paper before counting, in this order. Each entry is
-# (pattern, replacement); the syntax is common to Java and RE2.
+# (pattern, replacement, mark); the syntax is common to Java and RE2. A text without any of the marks needs only the
+# rules without one: line breaks part words like other space, and are replaced for the sake of the rules that follow.
 MARKDOWN_STRIP = [
-    (r"(?ms)^```[^\n]*(?:\n|\z).*?(?:^```[^\n]*(?:\n|\z)|\z)", ""),
-    (r"`r[^`\n]*`", ""),
-    (r"(?ms)^# References \{-\}.*\z", ""),
-    (r"\n", " "),
-    (r"\$\$[^$]+\$\$", ""),
-    (r"\$[^$]+\$", ""),
-    (r"\\\[.*?\\\]", ""),
-    (r"[*_#~`\[\]()<>|{}]", ""),
+    (r"(?ms)^```[^\n]*(?:\n|\z).*?(?:^```[^\n]*(?:\n|\z)|\z)", "", "`"),
+    (r"`r[^`\n]*`", "", "`"),
+    (r"(?ms)^# References \{-\}.*\z", "", "{-}"),
+    (r"\n", " ", "\\"),
+    (r"\$\$[^$]+\$\$", "", "$"),
+    (r"\$[^$]+\$", "", "$"),
+    (r"\\\[.*?\\\]", "", "\\"),
+    (r"[*_#~`\[\]()<>|{}]", "", None),
 ]
 # The same for a LaTeX paper.
 LATEX_STRIP = [
-    (r"(?ms)^[^\n]*\\section\*\{References\}\s*\\label\{references\}.*\z", ""),
-    (r"\n", " "),
-    (r"\$\$.*?\$\$", ""),
-    (r"\$[^$]+\$", ""),
-    (r"\\\[.*?\\\]", ""),
-    (r"\\begin\{equation\*?\}.*?\\end\{equation\*?\}", ""),
-    (r"\\begin\{align\*?\}.*?\\end\{align\*?\}", ""),
-    (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^}]*\})?", ""),
-    (r"[{}]", ""),
+    (r"(?ms)^[^\n]*\\section\*\{References\}\s*\\label\{references\}.*\z", "", "\\"),
+    (r"\n", " ", "\\"),
+    (r"\$\$.*?\$\$", "", "$"),
+    (r"\$[^$]+\$", "", "$"),
+    (r"\\\[.*?\\\]", "", "\\"),
+    (r"\\begin\{equation\*?\}.*?\\end\{equation\*?\}", "", "\\"),
+    (r"\\begin\{align\*?\}.*?\\end\{align\*?\}", "", "\\"),
+    (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?(?:\{[^}]*\})?", "", "\\"),
+    (r"\{", "", "{"),
+    (r"\}", "", "}"),
 ]
 SPACE = r"\s+"
 
 
-def strip_markup(text: Column, rules: list[tuple[str, str]]) -> Column:
-    return reduce(lambda acc, r: F.regexp_replace(acc, F.lit(r[0]), F.lit(r[1])), rules, text)
+def strip_markup(text: Column, rules: list[tuple[str, str, str | None]]) -> Column:
+    """The text after all rules; one without any mark goes through the rules without a mark alone."""
+
+    def chain(part):
+        return reduce(lambda acc, r: F.regexp_replace(acc, F.lit(r[0]), F.lit(r[1])), part, text)
+
+    marks = [F.contains(text, F.lit(m)) for m in dict.fromkeys(m for *_, m in rules if m)]
+    marked = reduce(lambda a, b: a | b, marks)
+    return F.when(marked, chain(rules)).otherwise(chain([r for r in rules if r[2] is None]))
 
 
 def split_words(text: Column) -> Column:

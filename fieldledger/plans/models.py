@@ -6,6 +6,7 @@ from fieldledger.functions import rounded
 from fieldledger.operators import moments as M
 from fieldledger.operators import regression as G
 from fieldledger.operators.columns import transform_columns
+from fieldledger.operators.lineage import materialise
 from fieldledger.operators.supply import product_lognormal_mean
 from fieldledger.plans import fit_sql as S
 from fieldledger.plans.registry import query, rnd, sql_pdf
@@ -327,7 +328,8 @@ def pca_loadings(spark, d):
 def logistic_cdf_fit(spark, d):
     """Logistic curve through the empirical distribution function of logged expenditure."""
     probs = [i / 100 for i in range(1, 101)]
-    cdf = M.quantile_table(farms(spark, d), [], "log_cost", probs)
+    # both passes of the selection read one written column
+    cdf = M.quantile_table(materialise(farms(spark, d).select("log_cost")), [], "log_cost", probs)
     out = G.logistic_fit(cdf.withColumnRenamed("quantile", "log_cost"), "prob", "log_cost")
     return out.withColumn("estimate", rounded("estimate", 5))
 

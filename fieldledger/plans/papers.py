@@ -9,13 +9,13 @@ from fieldledger.plans.registry import query
 from fieldledger.plans.views import table
 
 
-def _sql_strip(text: str, rules: list[tuple[str, str]]) -> str:
-    for pattern, replacement in rules:
+def _sql_strip(text: str, rules: list[tuple[str, str, str | None]]) -> str:
+    for pattern, replacement, _ in rules:
         text = f"regexp_replace({text}, '{pattern}', '{replacement}', 'g')"
     return text
 
 
-def _sql_words(rules: list[tuple[str, str]]) -> str:
+def _sql_words(rules: list[tuple[str, str, str | None]]) -> str:
     return f"len(regexp_extract_all({_sql_strip('text', rules)}, '\\S+'))"
 
 
