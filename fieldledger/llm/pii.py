@@ -43,9 +43,9 @@ IBAN_LENGTHS = {
 }
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 DIGIT = re.compile(r"[0-9]")
-# Words whose nearness makes a kind likelier, or a plain number.
+# Words whose nearness makes a kind likelier, or a plain number; whole words, with or without a plural s.
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
+    "email": ("mail", "email", "contact", "write"),
     "ip": ("ip", "server", "host", "address"),
     "card": ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"),
     "phone": ("phone", "call", "tel", "mobile", "fax"),
@@ -53,6 +53,15 @@ CONTEXT = {
     "ssn": ("ssn", "social", "security"),
 }
 AGAINST = ("order", "invoice", "version", "isbn", "part no", "serial")
+
+
+def any_of(words: tuple[str, ...]) -> re.Pattern:
+    return re.compile(rf"(?<![^\W_])(?:{'|'.join(words)})s?(?![^\W_])")
+
+
+FOR = {kind: any_of(words) for kind, words in CONTEXT.items()}
+NOT = any_of(AGAINST)
+LAST_PART, FIRST_PART = re.compile(r"[^\W_]+\Z"), re.compile(r"[^\W_]+")
 # Score without any word nearby.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.4}
 
@@ -143,9 +152,14 @@ def proposals(text: str) -> Iterable[tuple[str, int, int]]:
 
 
 def score(kind: str, text: str, start: int, end: int) -> float:
-    near = f"{text[max(0, start - NEAR) : start]} {text[end : end + NEAR]}".lower()
-    up = any(w in near for w in CONTEXT[kind])
-    down = any(w in near for w in AGAINST)
+    before, after = text[max(0, start - NEAR) : start], text[end : end + NEAR]
+    # a word that the window cuts is no word
+    if start > NEAR and text[start - NEAR - 1].isalnum():
+        before = FIRST_PART.sub("", before, count=1) if before[0].isalnum() else before
+    if len(text) > end + NEAR and text[end + NEAR].isalnum():
+        after = LAST_PART.sub("", after)
+    near = f"{before} {after}".lower()
+    up, down = FOR[kind].search(near) is not None, NOT.search(near) is not None
     return min(1.0, max(0.0, PRIOR[kind] + 0.3 * up - 0.3 * down))
 
 

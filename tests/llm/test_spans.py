@@ -172,3 +172,21 @@ def test_uncontaminated_keeps_clean_documents(spark, docs_of):
     for size in (1 << 20, 30):
         kept = sorted(r.doc_id for r in D.uncontaminated(docs, bench, max_block_bytes=size).collect())
         assert kept == [2, 3, 4]
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("Antisocial reading, number 123-45-6789", False),
+        ("social number 123-45-6789", True),
+        ("his SSNs: 123-45-6789", True),
+        ("social security 123-45-6789 in an order", False),
+        ("social security 123-45-6789 at the border", True),
+        ("anti" + "social " + "x" * 42 + "123-45-6789", False),
+        ("social " + "." * 41 + "123-45-6789", True),
+        ("123-45-6789" + "." * 43 + " soci" + "alize", False),
+        ("123-45-6789" + "." * 41 + " social", True),
+    ],
+)
+def test_context_counts_whole_words(text, found):
+    assert ("ssn" in {k for k, *_ in pii.personal_data(text)}) == found
