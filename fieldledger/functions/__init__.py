@@ -2,7 +2,7 @@
 
 from fieldledger.functions.dates import month_start, parse_day, parse_month_year, season_year
 from fieldledger.functions.linear import linear_score, masked_dot, row_sum, share_of
-from fieldledger.functions.labels import endowment_label, list_recode, substring_recode, unit_factor
+from fieldledger.functions.labels import endowment_label, list_recode, substring_recode, title_case, unit_factor
 from fieldledger.functions.nulls import log_positive, nz, ratio, rounded, safe_log
 from fieldledger.functions.normal import (
     inverse_mills,
@@ -40,5 +40,6 @@ __all__ = [
     "season_year",
     "share_of",
     "substring_recode",
+    "title_case",
     "unit_factor",
 ]

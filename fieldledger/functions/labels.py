@@ -35,3 +35,9 @@ def endowment_label(flags: dict[str, str], base: str = "Base") -> Column:
     """``Base + Hybrid + Oxen`` from 0/1 columns; ``flags`` maps column to label part."""
     parts = [F.when(F.col(c) == 1, F.lit(name)) for c, name in flags.items()]
     return F.concat_ws(" + ", F.lit(base), *parts)
+
+
+def title_case(c: Column | str) -> Column:
+    """The first letter of each word in capitals, the rest as it is; words are parted by single spaces."""
+    words = F.transform(F.split(as_col(c), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w))))
+    return F.array_join(words, " ")

@@ -1,7 +1,8 @@
 """From survey tables to the model table: one row per household and crop, per acre and logged.
 
 Each survey table is aggregated to its own grain before it meets another, so every join below is on keys
-that are unique on both sides, except the district prices, which go through the checked dimension join.
+that are unique on both sides, except the climate of divisions and the district prices, which go through the checked
+dimension join.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldledger.functions import nz, ratio, row_sum, safe_log, substring_recode, unit_factor
+from fieldledger.functions import log_positive, lognormal_power_mean, nz, ratio, row_sum, safe_log, substring_recode, title_case, unit_factor
 from fieldledger.operators import columns as C
 from fieldledger.operators import reshape as R
 from fieldledger.operators.aggregate import sum_safe, with_subtotal
@@ -27,6 +28,7 @@ FERT_RULES = [
 ]
 FERT_MIXES = ["NPK+CAN", "DAP + CAN", "UREA + CAN"]
 SYNTHETIC = ["can", "npk", "urea", "dap"]
+PEST_KINDS = ["Herbicide", "Pesticide", "Insecticide", "Fungicide"]
 HOURS_PER_DAY = 8
 FIELD_FLAGS = ["irrigated", "tenure_deed", "oxen", "tractor"]
 
@@ -84,38 +86,94 @@ def fertiliser_wide(fert: DataFrame) -> DataFrame:
     return wide.drop("total_kg", "total_kes")
 
 
-def labour_wide(labour: DataFrame, activities: list[str]) -> DataFrame:
-    """Person-hours and wage cost per household by activity."""
+def labour_wide(labour: DataFrame, activities: list[str], later: list[str] | None = None) -> DataFrame:
+    """Person-hours of men, women, children, adults, the family and hired people, and wage cost, by household and activity.
+
+    ``later_wage_hours`` sums the hired hours of the activities ``later``, those that the cost of land preparation leaves out.
+    """
     hours = F.col("lb01") * F.col("lb02") * HOURS_PER_DAY
-    family = row_sum(["male", "female", "child"])
     rows = labour.withColumns(
         {
             "wage_hours": hours,
-            "male": F.col("lb05") * F.col("lb06"),
-            "female": F.col("lb07") * F.col("lb08"),
-            "child": F.col("lb09") * F.col("lb10"),
+            "male_hours": F.col("lb05") * F.col("lb06"),
+            "female_hours": F.col("lb07") * F.col("lb08"),
+            "child_hours": F.col("lb09") * F.col("lb10"),
             "wage_kes": hours * F.col("lb03") / HOURS_PER_DAY,
         }
-    ).withColumn("family_hours", family)
-    return R.pivot_measures(rows, ["hhid"], "activity", activities, ["wage_hours", "family_hours", "wage_kes"])
+    ).withColumn("adult_hours", row_sum(["male_hours", "female_hours"]))
+    rows = rows.withColumn("family_hours", row_sum(["adult_hours", "child_hours"]))
+    measures = ["wage_hours", "male_hours", "female_hours", "adult_hours", "child_hours", "family_hours", "wage_kes"]
+    wide = R.pivot_measures(rows, ["hhid"], "activity", activities, measures)
+    kept = [f"{a}_wage_hours" for a in later or [] if a in activities]
+    return wide.withColumn("later_wage_hours", row_sum(kept)) if kept else wide
 
 
-def chemicals_wide(inputs: DataFrame, bad_price: float | None = 76500.0) -> DataFrame:
-    """Pest-chemical kilograms and cost per household and crop, in kilograms whatever the purchase unit.
+def pest_chemicals(inputs: DataFrame, bad_price: float | None = 76500.0) -> DataFrame:
+    """Purchases of pest chemicals for the crops of the study, in kilograms whatever the purchase unit.
 
-    Only purchases for the crops of the study count, and green and dry maize are one crop, as on the fields.
+    Green and dry maize are one crop, as on the fields. Purchases at ``bad_price`` a kilogram are left out.
     """
     factor = unit_factor("punit")
-    rows = inputs.filter(F.col("mcrop").isin(CROPS)).select(
-        "hhid",
+    kept = inputs.filter(F.col("mcrop").isin(CROPS) & F.col("inputype").isin(PEST_KINDS))
+    rows = kept.select(
+        *[c for c in ("dist", "hhid") if c in inputs.columns],
         substring_recode("mcrop", [("maize", "maize")]).alias("crop"),
+        F.lower("inputype").alias("kind"),
         (F.col("numpur") * factor).alias("kg"),
         (F.col("inputpr") / factor).alias("price"),
+    ).withColumn("kes", F.col("kg") * F.col("price"))
+    return rows if bad_price is None else C.drop_where(rows, F.col("price") == bad_price)
+
+
+def chemicals_wide(inputs: DataFrame, bad_price: float | None = 76500.0) -> DataFrame:
+    """Kilograms and cost of each pest chemical, and of all as ``chem_kg, chem_kes``, per household and crop."""
+    kinds = [k.lower() for k in PEST_KINDS]
+    wide = R.pivot_measures(pest_chemicals(inputs, bad_price), ["hhid", "crop"], "kind", kinds, ["kg", "kes"])
+    return wide.withColumnsRenamed({"total_kg": "chem_kg", "total_kes": "chem_kes"})
+
+
+def chemical_prices(inputs: DataFrame, bad_price: float | None = 76500.0) -> DataFrame:
+    """District price of each pest chemical and of all (``chem_price``) per crop: the lognormal mean over households.
+
+    A household's price is the mean of what it paid a kilogram, that of all chemicals its cost over its kilograms.
+    Prices of zero have no logarithm and count nowhere; a price met in one household only has no deviation and gives NULL.
+    """
+    rows = pest_chemicals(inputs, bad_price)
+    kinds = [*[k.lower() for k in PEST_KINDS], "chem"]
+    fine = rows.groupBy("dist", "hhid", "crop", "kind").agg(
+        F.avg("price").alias("price"), F.sum("kg").alias("kg"), F.sum("kes").alias("kes")
     )
-    rows = C.drop_where(rows, F.col("price") == bad_price) if bad_price is not None else rows
-    return rows.groupBy("hhid", "crop").agg(
-        sum_safe("kg").alias("chem_kg"), sum_safe(F.col("kg") * F.col("price")).alias("chem_kes")
+    # one row per household and crop, with the logged prices side by side
+    per_kind = [F.max(F.when(F.col("kind") == k, log_positive("price"))).alias(k) for k in kinds[:-1]]
+    home = fine.groupBy("dist", "hhid", "crop").agg(*per_kind, log_positive(ratio(F.sum("kes"), F.sum("kg"))).alias("chem"))
+    spread = home.groupBy("dist", "crop").agg(
+        *[F.avg(k).alias(f"{k}_m") for k in kinds], *[F.stddev_samp(k).alias(f"{k}_s") for k in kinds]
     )
+    return spread.select("dist", "crop", *[lognormal_power_mean(f"{k}_m", f"{k}_s", F.lit(1.0)).alias(f"{k}_price") for k in kinds])
+
+
+def household_heads(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``hhid, head_age, head_female`` and household size of the households that have both a head and a size.
+
+    Several heads of one household give their mean age, and 1 if any is a woman.
+    """
+    heads = members.filter(F.col("da03") == "head").groupBy("hhid").agg(
+        F.avg("age").alias("head_age"), F.max(F.when(F.col("gend") == "female", 1).when(F.col("gend") == "male", 0)).alias("head_female")
+    )
+    return heads.join(sizes.groupBy("hhid").agg(F.max("hhsize").alias("hhsize")), "hhid")
+
+
+PLACE = ["prov", "dist", "div"]
+
+
+def household_rain(rain: DataFrame, climate: DataFrame) -> DataFrame:
+    """``hhid, main07`` and the mean climate of the villages of its division, for households whose division has any.
+
+    The two surveys spell places differently: those of ``rain`` are put in title case first.
+    """
+    divisions = climate.groupBy(*PLACE).agg(*[F.avg(c).alias(c) for c in ("qwetpre", "qwetit", "qwetxt")])
+    homes = rain.select("hhid", "main07", *[title_case(c).alias(c) for c in PLACE])
+    return dimension_join(homes, divisions, PLACE).drop(*PLACE)
 
 
 def farm_table(
@@ -127,10 +185,13 @@ def farm_table(
     rain: DataFrame,
     crop_price: DataFrame,
     activities: list[str],
+    heads: DataFrame | None = None,
+    later: list[str] | None = None,
 ) -> DataFrame:
-    """Household-crop table: sums and majority dummies over fields, quantities and costs per acre.
+    """Household-crop table: sums over fields, 0/1 columns of what holds on a share of 0.15 of them, quantities and costs per acre.
 
-    ``rain`` is one row per household (``hhid, main07, qwetpre``), ``crop_price`` one per district and crop.
+    ``rain`` is one row per household (``hhid, main07, qwetpre``; see ``household_rain``), so is ``heads``
+    (``household_heads``) where given; ``crop_price`` is one row per district and crop.
     """
     fields = field_attributes(field)
     acres_total = fields.groupBy("hhid").agg(sum_safe("acres").alias("acres_tot"))
@@ -142,8 +203,9 @@ def farm_table(
         *[sum_safe(c).alias(c) for c in amounts], *[F.avg(c).alias(c) for c in flags]
     )
     rolled = C.threshold_flags(rolled, flags)
-    wide = left_join_chain(rolled, [acres_total, labour_wide(labour, activities), chemicals_wide(inputs), rain])
-    chem = ["chem_kg", "chem_kes"]
+    homes = [acres_total, labour_wide(labour, activities, later), chemicals_wide(inputs), rain]
+    wide = left_join_chain(rolled, [*homes, heads] if heads is not None else homes)
+    chem = [f"{k}_{m}" for k in [*[k.lower() for k in PEST_KINDS], "chem"] for m in ("kg", "kes")]
     wide = C.fill_block(wide, "chem_kg", chem).withColumnsRenamed(
         {"seedkg": "seed_kg", "scost": "seed_kes", "kgharv": "harvest_kg"}
     )
@@ -160,6 +222,30 @@ def farm_table(
     return priced.withColumn("revenue_acre", F.col("yield_kg_acre") * nz("price_kes_kg"))
 
 
+def model_table(
+    crop: DataFrame,
+    field: DataFrame,
+    fert: DataFrame,
+    inputs: DataFrame,
+    labour: DataFrame,
+    members: DataFrame,
+    sizes: DataFrame,
+    rain: DataFrame,
+    climate: DataFrame,
+    crop_price: DataFrame,
+    activities: list[str],
+    later: list[str],
+) -> DataFrame:
+    """The survey end to end: the household-crop table with rainfall, head, size and the district prices of chemicals.
+
+    Households that lack a survey table keep their rows, with NULL in its columns.
+    """
+    farms = farm_table(
+        crop, field, fert, inputs, labour, household_rain(rain, climate), crop_price, activities, household_heads(members, sizes), later
+    )
+    return dimension_join(farms, chemical_prices(inputs), ["dist", "crop"], "left")
+
+
 def log_table(farms: DataFrame, crop: str, continuous: list[str], flags: list[str]) -> DataFrame:
     """Model rows: one crop, positive cost and area, a yield above one, known rainfall; continuous columns logged."""
     C.require_columns(farms, ["dist", *continuous, *flags])

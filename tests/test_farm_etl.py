@@ -44,11 +44,12 @@ def survey(frame):
     )
     inputs = frame(
         [
-            ("h1", "maize-dry", 500.0, 2.0, "gram"),
-            ("h1", "maize-green", 1.0, 180.0, "90 kg bag"),
-            ("h1", "maize-dry", 1.0, 76500.0, "kg"),
+            ("h1", "maize-dry", "Pesticide", 500.0, 2.0, "gram"),
+            ("h1", "maize-green", "Herbicide", 1.0, 180.0, "90 kg bag"),
+            ("h1", "maize-dry", "Pesticide", 1.0, 76500.0, "kg"),
+            ("h1", "maize-dry", "Seed", 7.0, 11.0, "kg"),
         ],
-        "hhid string, mcrop string, numpur double, inputpr double, punit string",
+        "hhid string, mcrop string, inputype string, numpur double, inputpr double, punit string",
     )
     labour = frame(
         [
@@ -76,8 +77,11 @@ def test_farm_table(survey):
     assert m.synth_kes_acre == pytest.approx(300.0) and m.manure_kg_acre == pytest.approx(20.0)
     # half a kilogram at 2000 a kilogram, and a 90 kg bag at 2 a kilogram; the bad price is gone
     assert m.chem_kg_acre == pytest.approx(90.5 / 5) and m.chem_kes_acre == pytest.approx((1000 + 180) / 5)
+    assert m.pesticide_kg_acre == pytest.approx(0.1) and m.herbicide_kes_acre == pytest.approx(36.0) and m.fungicide_kg_acre == 0
     assert m.planting_wage_hours_acre == pytest.approx(48 / 5) and m.planting_wage_kes_acre == pytest.approx(480 / 5)
     assert m.planting_family_hours_acre == pytest.approx(20 / 5) and m.total_family_hours_acre == pytest.approx(26 / 5)
+    assert (m.planting_male_hours_acre, m.planting_female_hours_acre) == (pytest.approx(2.0), pytest.approx(2.0))
+    assert m.total_adult_hours_acre == pytest.approx(24 / 5) and m.weeding_child_hours_acre == pytest.approx(2 / 5)
     assert m.cost_acre == pytest.approx(300 + 600 / 5 + 300 + 236) and m.acres_pct == pytest.approx(1.0)
     assert m.rain_anomaly == pytest.approx(1.2) and m.revenue_acre == pytest.approx(14 * 54)
     # a household without a chemical purchase counts as using none
@@ -100,10 +104,87 @@ def test_log_table(survey):
         E.log_table(farms, "maize", ["dap_price"], [])
 
 
+INPUTS = "dist string, hhid string, mcrop string, inputype string, numpur double, inputpr double, punit string"
+
+
 def test_chemicals_of_dry_and_green_maize_are_maize(frame):
-    rows = [("h", "maize-dry", 2.0, 10.0, "kgs"), ("h", "maize-green", 1.0, 10.0, "kgs"), ("h", "tea", 9.0, 1.0, "kgs")]
-    got = E.chemicals_wide(frame(rows, "hhid string, mcrop string, numpur double, inputpr double, punit string")).collect()
-    assert [(r.crop, r.chem_kg, r.chem_kes) for r in got] == [("maize", 3.0, 30.0)]
+    rows = [
+        ("d", "h", "maize-dry", "Fungicide", 2.0, 10.0, "kgs"),
+        ("d", "h", "maize-green", "Fungicide", 1.0, 10.0, "kgs"),
+        ("d", "h", "tea", "Fungicide", 9.0, 1.0, "kgs"),
+        ("d", "h", "maize-dry", "Fertilizer", 9.0, 1.0, "kgs"),
+        ("d", "h", "maize-dry", None, 9.0, 1.0, "kgs"),
+    ]
+    got = E.chemicals_wide(frame(rows, INPUTS)).collect()
+    assert [(r.crop, r.fungicide_kg, r.chem_kg, r.chem_kes) for r in got] == [("maize", 3.0, 3.0, 30.0)]
+
+
+def test_district_prices_are_lognormal_means(frame):
+    rows = [
+        ("d", "h1", "beans", "Herbicide", 1.0, 10.0, "kg"),
+        ("d", "h1", "beans", "Herbicide", 3.0, 30.0, "kg"),
+        ("d", "h2", "beans", "Herbicide", 1.0, 5.0, "kg"),
+        ("d", "h3", "beans", "Herbicide", 1.0, 0.0, "kg"),
+        ("d", "h2", "beans", "Pesticide", 1.0, 7.0, "kg"),
+        ("e", "h4", "beans", "Pesticide", None, 7.0, "kg"),
+    ]
+    got = {r.dist: r for r in E.chemical_prices(frame(rows, INPUTS)).collect()}
+    a, b = math.log(20.0), math.log(5.0)
+    assert got["d"].herbicide_price == pytest.approx(math.exp((a + b) / 2 + (a - b) ** 2 / 4))
+    a, b = math.log(25.0), math.log(6.0)
+    assert got["d"].chem_price == pytest.approx(math.exp((a + b) / 2 + (a - b) ** 2 / 4))
+    # one household alone has no deviation
+    assert got["d"].pesticide_price is None and got["e"].pesticide_price is None and got["e"].chem_price is None
+    assert E.chemical_prices(frame([], INPUTS)).collect() == []
+
+
+def test_heads_need_a_size_and_are_one_row(frame):
+    members = frame(
+        [("h1", "head", 40.0, "male"), ("h1", "spouse", 30.0, "female"), ("h2", "head", 50.0, "female"), ("h3", "head", 60.0, "male"), (None, "head", 1.0, "male"), ("h4", "head", None, None), ("h2", "head", 60.0, "male")],
+        "hhid string, da03 string, age double, gend string",
+    )
+    sizes = frame([("h1", 4), ("h2", 2), ("h4", None), ("h9", 1)], "hhid string, hhsize int")
+    got = {r.hhid: tuple(r)[1:] for r in E.household_heads(members, sizes).collect()}
+    assert got == {"h1": (40.0, 0, 4), "h2": (55.0, 1, 2), "h4": (None, None, None)}
+
+
+def test_rain_meets_the_climate_of_its_division(frame):
+    rain = frame(
+        [("h1", "rift valley", "uasin gishu", "soy", 500.0), ("h2", "rift valley", "uasin gishu", "turbo", 400.0), ("h3", None, "uasin gishu", "soy", 1.0)],
+        "hhid string, prov string, dist string, div string, main07 double",
+    )
+    climate = frame(
+        [("Rift Valley", "Uasin Gishu", "Soy", v, x, 1.0, 2.0) for v, x in (("a", 100.0), ("b", 300.0), ("c", None))],
+        "prov string, dist string, div string, vil string, qwetpre double, qwetit double, qwetxt double",
+    )
+    assert [tuple(r) for r in E.household_rain(rain, climate).collect()] == [("h1", 500.0, 200.0, 1.0, 2.0)]
+
+
+def test_title_case_leaves_the_rest_of_a_word(frame):
+    from fieldledger.functions import title_case
+
+    rows = frame([("trans nzoia",), ("McKay o'neil",), ("",), (None,), ("\u00e9tat  x",)], "t string")
+    assert [r.u for r in rows.select(title_case("t").alias("u")).collect()] == ["Trans Nzoia", "McKay O'neil", "", None, "\u00c9tat  X"]
+
+
+def test_model_table_keeps_households_without_a_table(frame, survey):
+    crop, field, fert, inputs, labour, _, price, acts = survey
+    rain = frame([("h1", "p", "d", "v", 600.0)], "hhid string, prov string, dist string, div string, main07 double")
+    climate = frame([("P", "D", "V", "x", 500.0, 1.0, 2.0)], "prov string, dist string, div string, vil string, qwetpre double, qwetit double, qwetxt double")
+    members = frame([("h2", "head", 44.0, "female")], "hhid string, da03 string, age double, gend string")
+    sizes = frame([("h2", 3)], "hhid string, hhsize int")
+    from pyspark.sql import functions as F
+
+    bought = inputs.withColumn("dist", F.lit("North"))
+    got = {
+        (r.hhid, r.crop): r
+        for r in E.model_table(crop, field, fert, bought, labour, members, sizes, rain, climate, price, acts, ["weeding"]).collect()
+    }
+    assert set(got) == {("h1", "maize"), ("h1", "beans"), ("h2", "maize")}
+    assert got["h1", "maize"].rain_anomaly == pytest.approx(1.2) and got["h1", "maize"].hhsize is None
+    assert (got["h2", "maize"].head_age, got["h2", "maize"].head_female, got["h2", "maize"].hhsize) == (44.0, 1, 3)
+    assert got["h2", "maize"].rain_anomaly is None and got["h2", "maize"].later_wage_hours_acre is None
+    assert got["h1", "maize"].later_wage_hours_acre == 0.0
 
 
 def test_adoption_is_the_share_of_entries(frame):
