@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from fieldledger.functions.linear import linear_score, masked_dot
 from fieldledger.functions.normal import lognormal_power_mean, norm_cdf, norm_pdf, spark_double
 from fieldledger.functions.nulls import as_col, log_positive, ratio
-from fieldledger.operators.joins import with_grid, with_levels, with_scalars
+from fieldledger.operators.joins import dimension_join, with_grid, with_levels, with_scalars
 from fieldledger.operators.lineage import materialise
 from fieldledger.operators.truncation import untruncate_upper
 
@@ -508,6 +508,45 @@ def recovered_strata(table: DataFrame, h: float) -> DataFrame:
     return unconditional(with_scalars(strata, facts), h, "m_full", "s_full")
 
 
+def curve_segments(curve: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """One row per tabulated curve: its stretches between neighbouring points in order of ``x``, and its range of ``y``.
+
+    Points with a missing coordinate are left out; of points with one ``x`` the lower comes first. A curve has as many points as
+    its grid, so its array is of that size whatever the data. The last point is a stretch of its own, so a single point is a curve too.
+    """
+    points = curve.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = points.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("_p"), F.min(y).alias("_low"), F.max(y).alias("_high")
+    )
+    n = F.size("_p")
+    nexts = F.concat(F.slice("_p", F.lit(2), n - 1), F.slice("_p", n, F.lit(1)))
+    return rows.select(*keys, F.zip_with("_p", nexts, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("_s"), "_low", "_high")
+
+
+def forecast_on_curve(forecasts: DataFrame, curve: DataFrame, keys: list[str], target: str, x: str, y: str) -> DataFrame:
+    """Where a tabulated curve meets each forecast: the lowest ``x`` at which its ``y`` is ``target``, between neighbouring points.
+
+    Adds ``<x>_at`` and ``position``: ``on`` the curve, ``below`` or ``above`` its range, where ``<x>_at`` is NULL. A missing forecast or curve
+    gives NULL in both. Every forecast meets one row, its curve's array, so neither side is repeated and frequent keys are the checked
+    join's care.
+    """
+    rows = dimension_join(forecasts, curve_segments(curve, keys, x, y), keys, "left")
+    t = F.col(target)
+
+    def meets(s: Column) -> Column:
+        return t.between(F.least(s["a"]["y"], s["b"]["y"]), F.greatest(s["a"]["y"], s["b"]["y"]))
+
+    hit = F.get(F.filter("_s", meets), F.lit(0))
+    rise = F.col("_h.b.y") - F.col("_h.a.y")
+    share = F.when(rise == 0, 0.0).otherwise((t - F.col("_h.a.y")) / rise)
+    position = F.when(t < F.col("_low"), "below").when(t > F.col("_high"), "above").when(t.isNotNull() & F.col("_low").isNotNull(), "on")
+    return (
+        rows.withColumn("_h", hit)
+        .withColumns({f"{x}_at": F.col("_h.a.x") + share * (F.col("_h.b.x") - F.col("_h.a.x")), "position": position})
+        .drop("_h", "_s", "_low", "_high")
+    )
+
+
 def forecast_difference(df: DataFrame) -> DataFrame:
     """Absolute and percentage difference of ``forecast`` from ``actual``."""
     diff = F.col("forecast") - F.col("actual")

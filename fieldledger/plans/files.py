@@ -11,6 +11,7 @@ from fieldledger.operators.lineage import shared_folder
 from fieldledger.plans.registry import query, rnd
 from fieldledger.plans.views import MONTHLY_SQL, monthly_prices, table
 from fieldledger.sources import read_csv, write_csv
+from fieldledger.sources.committed import write_committed
 from fieldledger.sources.framed import read_framed, write_lines
 
 
@@ -110,3 +111,18 @@ def csv_round_trip(spark, d):
     folder = landing(spark)
     write_csv(rows, folder)
     return read_csv(spark, folder, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+
+
+@query("committed_round_trip", f"SELECT c_custkey, c_name, CAST(c_nationkey AS INTEGER) AS c_nationkey, {rnd('c_acctbal', 2)} AS c_acctbal FROM customer")
+def committed_round_trip(spark, d):
+    """A table written by all its tasks, committed by the driver, in files that repeat their header as last line."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal").repartition(F.col("c_nationkey"))
+    header = ["customer (key)", "name", "nation (key)", "balance, in full"]
+    files = write_committed(rows, landing(spark), header, trailer=True)
+    read = read_framed(spark, files, header, rows.columns, header)
+    return read.select(
+        F.col("c_custkey").cast("long").alias("c_custkey"),
+        "c_name",
+        F.col("c_nationkey").cast("int").alias("c_nationkey"),
+        rounded(F.col("c_acctbal").cast("double"), 2).alias("c_acctbal"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldledger.functions import log_positive, norm_cdf, ratio, rounded
 from fieldledger.operators import supply as P
-from fieldledger.operators.joins import with_grid, with_levels
+from fieldledger.operators.joins import dimension_join, with_grid, with_levels
 from fieldledger.operators.reshape import nearest_cell
 from fieldledger.operators.series import season_drift
 from fieldledger.operators.truncation import (
@@ -741,6 +741,49 @@ def forecast_vs_actual(spark, d):
     return _round(out, {"forecast": 3, "actual": 3, "diff": 3, "diff_pct": 6}, "yr")
 
 
+#: Forecasts are made for one rainfall a year and given in the curve's units.
+RAIN_OF_YEAR = list(P.RAINFALL)
+FORECAST_SCALE = N_FARMS * 1e-12
+ON_DIGITS = {"forecast": 8, "p_at": 3, "gap_pct": 4}
+
+
+@query(
+    "forecast_on_curve",
+    f"""WITH RECURSIVE {CURVE_SQL},
+        fc AS (SELECT c_nationkey AS district, CAST(year(o_orderdate) AS INTEGER) AS yr, avg(o_totalprice) * {FORECAST_SCALE!r}::DOUBLE AS forecast,
+          {RAIN_OF_YEAR}[year(o_orderdate) % {len(RAIN_OF_YEAR)} + 1] AS rainfall
+          FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+        sg AS (SELECT *, lead(p) OVER w AS p1, lead(supply_mmt) OVER w AS y1, min(supply_mmt) OVER a AS low, max(supply_mmt) OVER a AS high,
+          last_value(p) OVER a AS top FROM curve
+          WINDOW w AS (PARTITION BY district, rainfall ORDER BY p), a AS (PARTITION BY district, rainfall ORDER BY p
+            ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        mt AS (SELECT fc.district, fc.rainfall, yr, forecast,
+          CASE WHEN forecast < max(low) THEN 'below' WHEN forecast > max(high) THEN 'above' WHEN max(low) IS NOT NULL THEN 'on' END AS position,
+          coalesce(min(CASE WHEN forecast BETWEEN supply_mmt AND y1
+            THEN p + CASE WHEN y1 = supply_mmt THEN 0 ELSE (forecast - supply_mmt) / (y1 - supply_mmt) END * (p1 - p) END),
+            max(CASE WHEN forecast = high THEN top END)) AS p_at
+          FROM fc LEFT JOIN sg ON fc.district = sg.district AND fc.rainfall = sg.rainfall GROUP BY 1, 2, 3, 4)
+        SELECT mt.district, rainfall, yr, position, {rnd("forecast", 8)} AS forecast, {rnd("p_at", 3)} AS p_at,
+        {rnd("100 * (p_at / price - 1)", 4)} AS gap_pct FROM mt LEFT JOIN unc ON mt.district = unc.district""",
+)
+def forecast_on_curve(spark, d):
+    """Each district's published yearly forecast on its supply curve: the price it implies, against the expected one."""
+    years = table(spark, d, "orders").select(F.col("o_custkey").alias("hhid"), F.year("o_orderdate").alias("yr"), "o_totalprice")
+    homes = table(spark, d, "customer").select(F.col("c_custkey").alias("hhid"), F.col("c_nationkey").alias("district"))
+    level = F.element_at(F.array(*[F.lit(k) for k in RAIN_OF_YEAR]), F.col("yr") % len(RAIN_OF_YEAR) + 1)
+    forecasts = (
+        dimension_join(years, homes, ["hhid"])
+        .groupBy("district", "yr")
+        .agg((F.avg("o_totalprice") * F.lit(FORECAST_SCALE)).alias("forecast"))
+        .withColumn("rainfall", level)
+    )
+    tabulated = P.materialise(curve(spark, d).select("district", "rainfall", "p", "supply_mmt", "price"))
+    met = P.forecast_on_curve(forecasts, tabulated, ["district", "rainfall"], "forecast", "p", "supply_mmt")
+    prices = tabulated.groupBy("district").agg(F.max("price").alias("price"))
+    out = dimension_join(met, prices, ["district"], "left").withColumn("gap_pct", 100 * (ratio("p_at", "price") - 1))
+    return _round(out, ON_DIGITS, "district", "rainfall", "yr", "position")
+
+
 CALIB_POWER = -KAPPA_RAIN * ETA / H
 
 

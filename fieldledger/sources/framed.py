@@ -26,13 +26,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 EDGE, RANGE, BATCH = 1 << 16, 64 << 20, 1 << 20
 
 
-def open_file(path: str):
-    """A seekable file and its size."""
+def locate(path: str):
+    """The store a path lies in and its name there."""
     from pyarrow import fs
 
     if path.startswith("file:") and not path.startswith("file://"):
         path = "file://" + path.removeprefix("file:")
-    store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def open_file(path: str):
+    """A seekable file and its size."""
+    store, name = locate(path)
     return store.open_input_file(name), store.get_file_info(name).size
 
 

@@ -240,3 +240,18 @@ def test_no_truncation_gives_the_sample_moments(frame):
 def test_unclosed_inline_code_ends_with_its_line(frame):
     r = count_document_words(frame([("one `r x\ntwo three\nfour` five",)], "text string")).first()
     assert r.markdown_words == 7
+
+
+def test_forecasts_on_a_tabulated_curve(frame):
+    curve = frame(
+        [("a", 1.0, 0.0), ("a", 2.0, 10.0), ("a", 3.0, 10.0), ("a", 5.0, 20.0), ("a", None, 99.0), ("a", 9.0, None), ("one", 7.0, 3.0)],
+        "d string, p double, q double",
+    )
+    points = [("a", 5.0), ("a", 10.0), ("a", 15.0), ("a", 0.0), ("a", 20.0), ("a", -1.0), ("a", 21.0), ("a", None), ("one", 3.0), ("one", 4.0), ("none", 1.0), (None, 1.0), ("a", 5.0)]
+    got = P.forecast_on_curve(frame(points, "d string, f double"), curve, ["d"], "f", "p", "q").collect()
+    want = [1.5, 2.0, 4.0, 1.0, 5.0, None, None, None, 7.0, None, None, None, 1.5]
+    where = ["on", "on", "on", "on", "on", "below", "above", None, "on", "above", None, None, "on"]
+    expected = sorted(((*x, w, z) for x, w, z in zip(points, want, where)), key=repr)
+    assert sorted((tuple(r) for r in got), key=repr) == expected
+    empty = P.forecast_on_curve(frame(points, "d string, f double"), curve.limit(0), ["d"], "f", "p", "q").collect()
+    assert len(empty) == len(points) and {(r.p_at, r.position) for r in empty} == {(None, None)}
