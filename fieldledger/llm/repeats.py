@@ -13,8 +13,11 @@ A string of ``LENGTH`` bytes that occurs twice is found in three steps, each a S
    predecessor among equals, if it has one: its longest previous factor reaches ``LENGTH`` exactly in this
    case, and its longest next factor exactly if it has a successor among equals.
 
-A group with more than ``SHARE`` different contexts is cut into parts by hash, and every pair of parts meets, so that
-no task holds more than two parts. Intermediate tables go to the shared folder.
+A group with more than ``SHARE`` different contexts does not meet in a task. Equal strings have their anchor at one offset, so such
+contexts share a string only if they share the core of one of five ranges of offsets: the bytes all its strings have
+in common. Cores are counted by 128-bit hashes; where one repeats, the strings around it are classes by hash, and a class's least
+and greatest place give the previous and next factor. Both steps are sums, linear in the contexts, whatever they have in
+common. Intermediate tables go to the shared folder.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ from fieldledger.llm.registry import doc_query, table
 from fieldledger.llm.rows import map_rows, shared_table, ship_package, text_column
 
 LENGTH, GRAM = 400, 64
-SHARE = 2048
+SHARE = 1024
+#: Ranges of anchor offsets, less one, whose strings share a core.
+CORES = 4
 #: Bytes of context whose suffixes are sorted at a time, if the groups allow; bytes of text hashed at a time.
 SORTED_BYTES, STRETCH = 1 << 20, 1 << 22
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -119,7 +124,7 @@ def grouped(occ: DataFrame, share: int) -> DataFrame:
     """The occurrences that matter, with what is known of them.
 
     ``whole``: the context occurs more than once. ``shown``: the suffix step needs it. ``least``: it is the first of
-    its context. ``parts``: into how many the group is cut. The sums are written before they are joined: a join whose
+    its context. ``large``: the group has too many contexts to meet in one task. The sums are written before they are joined: a join whose
     sides both come straight from a shuffle can split the rows of a hot gram over tasks, one above an aggregate can not.
     """
     repeated = shared_table(occ.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ah"))
@@ -136,22 +141,22 @@ def grouped(occ: DataFrame, share: int) -> DataFrame:
         (F.col("n") > 1).alias("whole"),
         ((F.col("m") > 1) & least).alias("shown"),
         least.alias("least"),
-        F.ceil(F.col("m") / share).cast("int").alias("parts"),
+        (F.col("m") > share).alias("large"),
     )
 
 
 def shown_contexts(rows: DataFrame, told: DataFrame, length: int) -> DataFrame:
     """Bytes of the contexts that the suffix step needs, from one more reading of the texts."""
-    entry = F.struct("lo", "hi", "ah", "ctx", "whole", "parts")
+    entry = F.struct("lo", "hi", "ah", "ctx", "whole", "large")
     wanted = told.filter("shown").groupBy("doc", "th").agg(F.collect_list(entry).alias("entries"))
-    ddl = "ah bigint, ctx bigint, parts int, doc bigint, th bigint, lo int, whole boolean, context binary"
+    ddl = "ah bigint, ctx bigint, large boolean, doc bigint, th bigint, lo int, whole boolean, context binary"
 
     def make():
         def run(docs, marks, texts, entries):
             for d, m, t, found in zip(docs, marks, texts, entries, strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
                 for e in found:
-                    yield e["ah"], e["ctx"], e["parts"], d, m, e["lo"], e["whole"], raw[e["lo"] : e["hi"] + length]
+                    yield e["ah"], e["ctx"], e["large"], d, m, e["lo"], e["whole"], raw[e["lo"] : e["hi"] + length]
 
         return run
 
@@ -214,20 +219,20 @@ def suffix_step(length: int, keep_first: bool):
 
     def solve(rows: list[tuple]) -> list[tuple]:
         # in the order of the corpus, so that an earlier position is a smaller place
-        rows.sort(key=lambda r: (r[3], r[4], r[5]))
-        raw = np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
-        sizes = np.array([len(r[7]) for r in rows])
+        rows.sort(key=lambda r: r[1:4])
+        raw = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+        sizes = np.array([len(r[5]) for r in rows])
         counts = sizes - length + 1
         begins = np.cumsum(sizes) - sizes
         within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         starts = np.repeat(begins, counts) + within
         # rows that repeat a place of the corpus are that place
-        new = np.array([True, *(a[3:6] != b[3:6] for a, b in zip(rows, rows[1:], strict=False))])
+        new = np.array([True, *(a[1:4] != b[1:4] for a, b in zip(rows, rows[1:], strict=False))])
         place = np.repeat(begins[np.flatnonzero(new)[np.cumsum(new) - 1]], counts) + within
         before, after = factor_tests(suffix_classes(raw, starts, length), place)
         hit = before if keep_first else before | after
         out = []
-        for (_, _, _, d, m, lo, whole, _), a, n in zip(rows, np.cumsum(counts) - counts, counts, strict=True):
+        for (_, d, m, lo, whole, _), a, n in zip(rows, np.cumsum(counts) - counts, counts, strict=True):
             if keep_first or not whole:
                 h = np.flatnonzero(np.diff(np.r_[False, hit[a : a + n], False].astype(np.int8)))
                 out += [(d, m, lo + int(x), lo + int(y) - 1 + length) for x, y in h.reshape(-1, 2)]
@@ -242,34 +247,107 @@ def suffix_step(length: int, keep_first: bool):
         waiting, size, group = [], 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != group:
+                if row[0] != group:
                     if size >= SORTED_BYTES:
                         if out := solve(waiting):
                             yield table_of(out)
                         waiting, size = [], 0
-                    group = row[:3]
+                    group = row[0]
                 waiting.append(row)
-                size += len(row[7])
+                size += len(row[5])
         if waiting and (out := solve(waiting)):
             yield table_of(out)
 
     return run
 
 
+def halves(h: int) -> tuple[int, int]:
+    return signed(h >> 64), signed(h & 0xFFFFFFFFFFFFFFFF)
+
+
+def offset_ranges(context: bytes, length: int, gram: int, powers: Powers) -> Iterator[tuple[int, int, int, bytes]]:
+    """``(range, first start, last start, core)`` of each range of anchor offsets that starts of the context fall in."""
+    width = max(1, (length - gram) // CORES)
+    at = int(gram_keys(np.frombuffer(context, np.uint8, length), gram, powers).min() & np.uint64(0xFFFFFF))
+    last = len(context) - length
+    for g in range((at - last) // width, at // width + 1):
+        core = at - width * g
+        yield g, max(0, core - width + 1), min(last, core), context[core : core + length - width + 1]
+
+
+def repeated_cores(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """``ah, ctx, ranges``: the ranges of offsets of each context whose core another place has too."""
+
+    def make():
+        powers = Powers()
+
+        def run(heads, hashes, docs, marks, los, texts):
+            for ah, ctx, d, m, lo, c in zip(heads, hashes, docs, marks, los, texts, strict=True):
+                for g, _, _, core in offset_ranges(c, length, gram, powers):
+                    yield *halves(xxhash.xxh3_128_intdigest(core, g)), g, ah, ctx, d, m, lo
+
+        return run
+
+    ddl = "h1 bigint, h2 bigint, g int, ah bigint, ctx bigint, doc bigint, th bigint, lo int"
+    cores = shared_table(map_rows(contexts, [F.col(c) for c in ("ah", "ctx", "doc", "th", "lo", "context")], ddl, make))
+    place = F.struct("doc", "th", "lo")
+    twice = cores.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b").select("h1", "h2")
+    # written first, so that the join can split a core that very many contexts share
+    return cores.join(shared_table(twice), ["h1", "h2"], "left_semi").groupBy("ah", "ctx").agg(F.collect_set("g").alias("ranges"))
+
+
+def large_groups(contexts: DataFrame, length: int, gram: int, keep_first: bool) -> DataFrame:
+    """Covered byte ranges of the contexts of large groups, ``doc, th, start, end``, from counts of hashes alone."""
+    chosen = contexts.join(shared_table(repeated_cores(contexts, length, gram)), ["ah", "ctx"])
+
+    def make():
+        powers = Powers()
+
+        def run(docs, marks, los, wholes, texts, ranges):
+            for d, m, lo, whole, c, kept in zip(docs, marks, los, wholes, texts, ranges, strict=True):
+                for g, first, last, _ in offset_ranges(c, length, gram, powers):
+                    if g in kept:
+                        for x in range(first, last + 1):
+                            yield *halves(xxhash.xxh3_128_intdigest(c[x : x + length])), d, m, lo, lo + x, whole
+
+        return run
+
+    ddl = "h1 bigint, h2 bigint, doc bigint, th bigint, lo int, start int, whole boolean"
+    inputs = [F.col(c) for c in ("doc", "th", "lo", "whole", "context", "ranges")]
+    starts = shared_table(map_rows(chosen, inputs, ddl, make))
+    place = F.struct("doc", "th", "start")
+    classes = starts.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b")
+    hit = starts.join(shared_table(classes), ["h1", "h2"])
+    hit = hit.filter(F.col("a") < place) if keep_first else hit.filter("NOT whole")
+    # a context has fewer starts than a string has bytes
+    runs = hit.groupBy("doc", "th", "lo").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+
+    def join_up():
+        def run(docs, marks, all_starts):
+            for d, m, found in zip(docs, marks, all_starts, strict=True):
+                x = np.asarray(found, np.int64)
+                new = np.flatnonzero(np.r_[True, np.diff(x) > 1])
+                for a, b in zip(x[new].tolist(), x[np.r_[new[1:] - 1, len(x) - 1]].tolist(), strict=True):
+                    yield d, m, a, b + length
+
+        return run
+
+    return map_rows(runs, [F.col(c) for c in ("doc", "th", "starts")], "doc bigint, th bigint, start bigint, end bigint", join_up)
+
+
 def repeated_ranges(docs: DataFrame, length: int, gram: int, share: int, keep_first: bool) -> DataFrame:
     """``doc, th, ranges``: byte ranges of each keyed document that repeated strings cover."""
     ship_package(docs.sparkSession)
     told = shared_table(grouped(shared_table(occurrences(docs, length, gram)), share))
     whole = told.filter("whole and not least" if keep_first else "whole")
     ranges = whole.select("doc", "th", F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("end"))
-    contexts = shown_contexts(docs, told, length)
-    own = F.pmod("ctx", F.col("parts")).cast("int")
-    pair = lambda i: F.struct(F.least(own, i).alias("p"), F.greatest(own, i).alias("q"))
-    dealt = contexts.withColumn("pq", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), pair)))
-    dealt = dealt.select("ah", "pq.p", "pq.q", "doc", "th", "lo", "whole", "context")
-    dealt = dealt.repartition("ah", "p", "q").sortWithinPartitions("ah", "p", "q")
-    found = dealt.mapInArrow(suffix_step(length, keep_first), "doc bigint, th bigint, start bigint, end bigint")
-    return ranges.unionByName(found).groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    contexts = shown_contexts(docs, told.filter("NOT large"), length)
+    dealt = contexts.select("ah", "doc", "th", "lo", "whole", "context").repartition("ah").sortWithinPartitions("ah")
+    found = ranges.unionByName(dealt.mapInArrow(suffix_step(length, keep_first), "doc bigint, th bigint, start bigint, end bigint"))
+    if not told.filter("large").isEmpty():
+        many = shared_table(shown_contexts(docs, told.filter("large"), length))
+        found = found.unionByName(large_groups(many, length, gram, keep_first))
+    return found.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 
 def cut(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], bytes]:
@@ -326,4 +404,7 @@ def without_repeats(
 def op4(spark, directory):
     found = without_repeats(table(spark, directory, "documents"))
     n_removed = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
-    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), "kept_sha256")
+    return found.select(
+        "doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), "kept_sha256",
+        (F.size("runs") > 0).alias("has_repeats"),
+    )

@@ -135,7 +135,7 @@ def plain_repeats(rows, length, keep_first):
     return out
 
 
-@pytest.mark.parametrize("share", [repeats.SHARE, 7])
+@pytest.mark.parametrize("share", [repeats.SHARE, 7, 0])
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_removed_bytes_equal_brute_force(docs_of, share, keep_first):
     length = 60
@@ -154,6 +154,34 @@ def test_anchors_give_every_start_once():
         assert all(lo <= p <= hi + 44 and p - lo <= 44 for p, lo, hi in runs)
 
 
+def test_offset_ranges_hold_every_start_once_and_a_core_all_its_strings_have():
+    powers = repeats.Powers()
+    rnd = random.Random(11)
+    raw = bytes(rnd.choice(b"abc") for _ in range(2000)) + b"z" * 300
+    for length, gram in ((60, 16), (60, 57), (64, 64), (400, 64)):
+        for p, lo, hi in repeats.anchors(raw, powers, length, gram):
+            found = list(repeats.offset_ranges(raw[lo : hi + length], length, gram, powers))
+            starts = [lo + x for _, a, b, _ in found for x in range(a, b + 1)]
+            assert sorted(starts) == list(range(lo, hi + 1)) and len(found) <= max(repeats.CORES + 1, length - gram + 1 if length - gram < 8 else 0)
+            width = max(1, (length - gram) // repeats.CORES)
+            for g, a, b, core in found:
+                assert len(core) == length - width + 1
+                for s in range(lo + a, lo + b + 1):
+                    assert (p - s) // width == g and raw[p - width * g :].startswith(core) and s <= p - width * g <= s + width - 1
+
+
+def test_no_task_gathers_a_large_group(docs_of):
+    """One stretch with very many surroundings: what meets by key is one place of each class, whatever their number."""
+    rnd = random.Random(12)
+    line = "".join(rnd.choice("abcdefgh ") for _ in range(30))
+    noise = lambda: "".join(rnd.choice("ijklmnop ") for _ in range(60))
+    rows = [(i, noise() + line + noise()) for i in range(300)]
+    rows += [(1000 + i, rows[i][1][10:140]) for i in range(20)]
+    out = repeats.without_repeats(docs_of(rows), length=60, gram=16, share=5).collect()
+    got = {r.doc_id: (r.n_bytes, sum(x.end - x.start for x in r.runs), len(r.runs), r.kept_sha256) for r in out}
+    assert got == plain_repeats(rows, 60, False) and sum(v[1] > 0 for v in got.values()) == 40
+
+
 def test_suffix_order_and_factors():
     rnd = random.Random(10)
     raw = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(400)) + b"abab" * 20, np.uint8)

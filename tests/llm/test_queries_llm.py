@@ -11,7 +11,7 @@ COLUMNS = {
     "op1": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
     "op2": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op3": "doc_id held_out lang_pred score",
-    "op4": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op4": "doc_id n_bytes n_removed n_spans kept_sha256 has_repeats",
     "op5": "doc_id held_out score predicted",
     "op6": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op7": "doc_id n_words n_hit n_items items_sha256 contaminated",
