@@ -341,12 +341,12 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, share: int, keep_fi
     told = shared_table(grouped(shared_table(occurrences(docs, length, gram)), share))
     whole = told.filter("whole and not least" if keep_first else "whole")
     ranges = whole.select("doc", "th", F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("end"))
-    contexts = shown_contexts(docs, told.filter("NOT large"), length)
-    dealt = contexts.select("ah", "doc", "th", "lo", "whole", "context").repartition("ah").sortWithinPartitions("ah")
+    # written, as large groups are read several times and the texts should be read once
+    contexts = shared_table(shown_contexts(docs, told, length))
+    dealt = contexts.filter("NOT large").select("ah", "doc", "th", "lo", "whole", "context").repartition("ah").sortWithinPartitions("ah")
     found = ranges.unionByName(dealt.mapInArrow(suffix_step(length, keep_first), "doc bigint, th bigint, start bigint, end bigint"))
-    if not told.filter("large").isEmpty():
-        many = shared_table(shown_contexts(docs, told.filter("large"), length))
-        found = found.unionByName(large_groups(many, length, gram, keep_first))
+    if not contexts.filter("large").isEmpty():
+        found = found.unionByName(large_groups(contexts.filter("large"), length, gram, keep_first))
     return found.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 
