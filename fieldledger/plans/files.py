@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from fieldledger.functions import parse_month_year, rounded
 from fieldledger.operators.lineage import shared_folder
 from fieldledger.plans.registry import query, rnd
 from fieldledger.plans.views import MONTHLY_SQL, monthly_prices, table
-from fieldledger.sources import read_csv, write_csv
+from fieldledger.sources import framed, read_csv, write_csv
 from fieldledger.sources.committed import write_committed
-from fieldledger.sources.framed import read_framed, write_lines
+from fieldledger.sources.framed import locate, read_framed, write_lines
+from fieldledger.sources.stata import read_stata
 
 
 def landing(spark) -> str:
@@ -126,3 +129,29 @@ def committed_round_trip(spark, d):
         F.col("c_nationkey").cast("int").alias("c_nationkey"),
         rounded(F.col("c_acctbal").cast("double"), 2).alias("c_acctbal"),
     )
+
+
+def land_stata(rows, folder: str, labelled: list[str]) -> list[str]:
+    """Write rows as Stata files, one per batch of a task, with value labels for some columns; the paths of the accepted attempts."""
+
+    def write(batches):
+        import pandas as pd
+
+        for frame in batches:
+            if len(frame):
+                store, path = locate(f"{folder}/{uuid.uuid4().hex}.dta")
+                store.create_dir(locate(folder)[1], recursive=True)
+                with store.open_output_stream(path) as out:
+                    frame.astype({c: "category" for c in labelled}).to_stata(out, write_index=False, version=114)
+                yield pd.DataFrame({"path": [f"{folder}/{path.rsplit('/', 1)[1]}"]})
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    cloudpickle.register_pickle_by_value(framed)
+    return sorted(r.path for r in rows.mapInPandas(write, "path string").collect())
+
+
+@query("stata_round_trip", "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, CAST(c_nationkey AS INTEGER) AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def stata_round_trip(spark, d):
+    """A table landed in the survey's file format, with a labelled column, and read back in ranges of rows."""
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return read_stata(spark, land_stata(rows, landing(spark), ["c_mktsegment"]), rows.columns)
