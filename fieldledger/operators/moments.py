@@ -53,13 +53,15 @@ def summary_table(df: DataFrame, cols: list[str], dummies: list[str]) -> DataFra
     return out.withColumn("val", F.when(~hide, F.col("val")))
 
 
-def histogram(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
+def histogram(df: DataFrame, keys: list[str], value: str, bins: int, spans: DataFrame | None = None) -> DataFrame:
     """Equal-width bin counts per group over that group's range: ``bin`` from 1 to ``bins``.
 
-    A group with a single value has its count in bin 1. Empty bins are not returned.
+    A group with a single value has its count in bin 1. Empty bins are not returned. ``spans`` passes on the ranges,
+    ``lo`` and ``hi`` per group, where they are known.
     """
     data = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    spans = data.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    if spans is None:
+        spans = data.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     placed = summary_join(data, spans, keys) if keys else with_scalars(data, spans)
     width = (F.col("hi") - F.col("lo")) / bins
     raw = F.floor((F.col(value) - F.col("lo")) / width).cast("int") + 1
@@ -80,8 +82,16 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFram
 
 def density_overlay(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
     """Histogram density next to the fitted lognormal density at each bin mid-point."""
-    fit = log_moments(df, keys, value).withColumnRenamed("n", "n_fit")
-    bars = histogram(df.filter(F.col(value) > 0), keys, value, bins)
+    positive = df.filter(F.col(value) > 0)
+    logged = F.ln(value)
+    # range and fit from one pass, kept as two steps need them
+    known = materialise(
+        positive.groupBy(*keys).agg(
+            F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n_fit"), F.avg(logged).alias("m"), F.stddev_samp(logged).alias("s")
+        )
+    )
+    bars = histogram(positive, keys, value, bins, known.select(*keys, "lo", "hi"))
+    fit = known.drop("lo", "hi")
     # at most ``bins`` rows per group on one side and one on the other
     out = bars.join(fit, keys) if keys else with_scalars(bars, fit)
     return out.withColumns(

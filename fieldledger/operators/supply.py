@@ -116,8 +116,13 @@ def _with_unit_cost(df: DataFrame, h: float) -> DataFrame:
     )
 
 
-def market_table(farms: DataFrame, keys: list[str], controls: dict[str, float], h: float) -> DataFrame:
-    """The sample row per market, with the highest unit expenditure as the market's price ceiling."""
+def market_table(
+    farms: DataFrame, keys: list[str], controls: dict[str, float], h: float, more: dict[str, Column] | None = None
+) -> DataFrame:
+    """The sample row per market, with the highest unit expenditure as the market's price ceiling.
+
+    ``more`` are further aggregates of the farms by name, taken in the same pass.
+    """
     unit = F.exp((1 - h) * F.col("log_cost") - linear_score(controls) - F.col("log_v"))
     base = farms.withColumns({"v": F.exp("log_v"), "unit": unit})
     mk, sk = control_moments(controls)
@@ -132,6 +137,7 @@ def market_table(farms: DataFrame, keys: list[str], controls: dict[str, float],
             F.avg("area").alias("mean_area"),
             mk.alias("mk"),
             sk.alias("sk"),
+            *[c.alias(name) for name, c in (more or {}).items()],
         )
         .withColumn("mu_k", lognormal_power_mean("mk", "sk", F.lit(1.0)))
     )

@@ -130,9 +130,9 @@ unc AS (
       SELECT *, (ln(v) + mk + m) / {1 - H} AS m_c, sqrt(sk * sk + s * s) / {1 - H} AS s_c FROM full_mkt)))"""
 
 
-def markets(spark, d):
-    """Per-district moments with the full-population parameters recovered."""
-    sample = P.market_table(farms_by_district(spark, d), ["district"], CONTROLS, H)
+def markets(spark, d, more=None):
+    """Per-district moments with the full-population parameters recovered, and further aggregates of its farms."""
+    sample = P.market_table(farms_by_district(spark, d), ["district"], CONTROLS, H, more)
     full = P.unconditional(untruncate_upper(sample, "m_unit", "s_unit", "price"), H)
     return full.withColumn("mu_unit_full", F.exp(F.col("m") + F.col("s") * F.col("s") / 2))
 
@@ -799,11 +799,10 @@ CALIB_POWER = -KAPPA_RAIN * ETA / H
 def calibrated_farms(spark, d):
     """Number of farms (logged) at which modelled supply equals the recorded output of each district."""
     # the mean of (seed / mean seed)^power needs no second pass: the mean factors out
-    recorded = farms_by_district(spark, d).groupBy("district").agg(
-        (F.avg(F.pow("seed", F.lit(CALIB_POWER))) / F.pow(F.avg("seed"), F.lit(CALIB_POWER))).alias("rain_factor"),
-        F.sum("harvest_kg").alias("output"),
-    )
-    per_farm = P.supply_with_risk(markets(spark, d), H, 1.0, KAPPA_RAIN, M_P, S_P, HORIZON, (1.0, 1.0, 1))
-    joined = per_farm.select("district", "supply").join(recorded, "district")
-    calibrated = P.calibrate_population(joined).withColumn("log_n_farms", log_positive("n_farms"))
+    recorded = {
+        "rain_factor": F.avg(F.pow("seed", F.lit(CALIB_POWER))) / F.pow(F.avg("seed"), F.lit(CALIB_POWER)),
+        "output": F.sum("harvest_kg"),
+    }
+    per_farm = P.supply_with_risk(markets(spark, d, recorded), H, 1.0, KAPPA_RAIN, M_P, S_P, HORIZON, (1.0, 1.0, 1))
+    calibrated = P.calibrate_population(per_farm).withColumn("log_n_farms", log_positive("n_farms"))
     return _round(calibrated, {"log_n_farms": 6}, "district")
