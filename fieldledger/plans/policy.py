@@ -741,9 +741,9 @@ def forecast_vs_actual(spark, d):
     return _round(out, {"forecast": 3, "actual": 3, "diff": 3, "diff_pct": 6}, "yr")
 
 
-#: Forecasts are made for one rainfall a year and given in the curve's units.
+#: Forecasts are made for one rainfall a year; recorded totals are in short tons, the curve in tons.
 RAIN_OF_YEAR = list(P.RAINFALL)
-FORECAST_SCALE = N_FARMS * 1e-12
+FORECAST_SCALE = N_FARMS * 1e-12 / 1.10231131
 ON_DIGITS = {"forecast": 8, "p_at": 3, "gap_pct": 4}
 
 

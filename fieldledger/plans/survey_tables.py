@@ -224,8 +224,10 @@ MEASURES = {
     "revenue_acre": "harvest_kg / acres * price_kes_kg",
     "acres_pct": "acres / acres_tot",
     "rain_anomaly": "main07 / qwetpre",
-    **{c: c for c in ("acres", "lpcost", "cost_acre", "qwetit", "qwetxt", "head_age", *[f"{k}_price" for k in [*_KINDS, "chem"]])},
+    **{c: c for c in ("acres", "lpcost", "cost_acre", "qwetit", "qwetxt", "head_age")},
 }
+#: Prices spread over many orders of size, so they are shown as logs.
+PRICES = [f"{k}_price" for k in [*_KINDS, "chem"]]
 #: Sums of given amounts end after a few decimals, where fewer digits would leave halves to round.
 DIGITS = {"acres": 8, "lpcost": 8}
 LOGGED = ["yield_kg_acre", "seed_kg_acre", "synth_kg_acre", "cost_acre", "chem_price", "rain_anomaly"]
@@ -233,16 +235,19 @@ LOGGED = ["yield_kg_acre", "seed_kg_acre", "synth_kg_acre", "cost_acre", "chem_p
 
 @query(
     "farm_model_table",
-    f"WITH {FARM_SQL} SELECT dist, hhid, crop, {', '.join(PLAIN)}, {', '.join(f'{rnd(x, DIGITS.get(c, 4))} AS {c}' for c, x in MEASURES.items())} FROM fm",
+    f"""WITH {FARM_SQL} SELECT dist, hhid, crop, {', '.join(PLAIN)}, {', '.join(f'{rnd(x, DIGITS.get(c, 4))} AS {c}' for c, x in MEASURES.items())},
+        {', '.join(f"{rnd(f'ln({c})', 8)} AS log_{c}" for c in PRICES)} FROM fm""",
 )
 def farm_model_table(spark, d):
     """Every household and crop, per acre, with labour by kind, chemicals by kind, prices, rainfall and head."""
-    return farms(spark, d).select("dist", "hhid", "crop", *PLAIN, *[rounded(F.col(c), DIGITS.get(c, 4)).alias(c) for c in MEASURES])
+    measures = [rounded(F.col(c), DIGITS.get(c, 4)).alias(c) for c in MEASURES]
+    prices = [rounded(F.ln(c), 8).alias(f"log_{c}") for c in PRICES]
+    return farms(spark, d).select("dist", "hhid", "crop", *PLAIN, *measures, *prices)
 
 
 @query(
     "farm_log_rows",
-    f"""WITH {FARM_SQL} SELECT dist, {", ".join(f"{rnd(f'CASE WHEN ({MEASURES[c]}) = 0 THEN 0 WHEN ({MEASURES[c]}) > 0 THEN ln({MEASURES[c]}) END', 6)} AS {c}" for c in LOGGED)},
+    f"""WITH {FARM_SQL} SELECT dist, {", ".join(f"{rnd(f'CASE WHEN ({MEASURES.get(c, c)}) = 0 THEN 0 WHEN ({MEASURES.get(c, c)}) > 0 THEN ln({MEASURES.get(c, c)}) END', 6)} AS {c}" for c in LOGGED)},
         {", ".join(E.FIELD_FLAGS)} FROM fm
         WHERE crop = 'maize' AND cost_acre > 0 AND acres > 0 AND harvest_kg / acres > 1 AND main07 / qwetpre IS NOT NULL""",
 )
