@@ -62,9 +62,10 @@ def _natural(a: DataFrame, b: DataFrame, how: str) -> tuple[DataFrame, bool]:
 def left_join_chain(first: DataFrame, others: list[DataFrame]) -> DataFrame:
     """Left join a list of tables, one after another, on the names each shares with the result so far.
 
-    A result whose hot keys were split is written before the next join reads its parts again.
+    Every look for hot keys reads the result so far. So the first table is written before the first such look, and
+    a result whose hot keys were split before the next join reads its parts again.
     """
-    out = first
+    out = first if all(may_broadcast(other) for other in others) else materialise(first)
     for i, other in enumerate(others):
         out, parted = _natural(out, other, "left")
         if parted and i + 1 < len(others):

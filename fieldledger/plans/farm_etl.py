@@ -203,8 +203,9 @@ def farm_table(
         *[sum_safe(c).alias(c) for c in amounts], *[F.avg(c).alias(c) for c in flags]
     )
     rolled = C.threshold_flags(rolled, flags)
-    homes = [acres_total, labour_wide(labour, activities, later), chemicals_wide(inputs), rain]
-    wide = left_join_chain(rolled, [*homes, heads] if heads is not None else homes)
+    homes = [acres_total, labour_wide(labour, activities, later), *([] if heads is None else [heads]), rain]
+    # the tables by household stand together, so that the rows move once for all of them
+    wide = left_join_chain(rolled, [chemicals_wide(inputs), *homes])
     chem = [f"{k}_{m}" for k in [*[k.lower() for k in PEST_KINDS], "chem"] for m in ("kg", "kes")]
     wide = C.fill_block(wide, "chem_kg", chem).withColumnsRenamed(
         {"seedkg": "seed_kg", "scost": "seed_kes", "kgharv": "harvest_kg"}
