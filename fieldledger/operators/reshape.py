@@ -19,14 +19,13 @@ def pivot_wide(df: DataFrame, ids: list[str], key: str, values: list[str], measu
 
 def pivot_measures(df: DataFrame, ids: list[str], key: str, values: list[str], measures: list[str]) -> DataFrame:
     """Several measures pivoted in one pass, with a total per measure: ``<value>_<measure>``, ``total_<measure>``."""
-    out = df.groupBy(*ids).pivot(key, values).agg(*[F.sum(m).alias(m) for m in measures])
-    if len(measures) == 1:
-        out = out.withColumnsRenamed({v: f"{v}_{measures[0]}" for v in values})
-    cells = {(v, m): F.coalesce(F.col(f"`{v}_{m}`"), F.lit(0.0)) for v in values for m in measures}
+    # sums of their own for each cell need one shuffle, a pivot two
+    cells = {f"{v}_{m}": F.sum(F.when(F.col(key) == v, F.col(m))) for v in values for m in measures}
+    out = df.groupBy(*ids).agg(*[F.coalesce(c, F.lit(0.0)).alias(name) for name, c in cells.items()])
     return out.select(
         *ids,
-        *[c.alias(f"{v}_{m}") for (v, m), c in cells.items()],
-        *[reduce(add, [cells[v, m] for v in values]).alias(f"total_{m}") for m in measures],
+        *[F.col(f"`{name}`") for name in cells],
+        *[reduce(add, [F.col(f"`{v}_{m}`") for v in values]).alias(f"total_{m}") for m in measures],
     )
 
 

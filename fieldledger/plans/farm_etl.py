@@ -15,6 +15,7 @@ from fieldledger.operators import columns as C
 from fieldledger.operators import reshape as R
 from fieldledger.operators.aggregate import sum_safe, with_subtotal
 from fieldledger.operators.joins import dimension_join, left_join_chain
+from fieldledger.operators.lineage import materialise
 
 # Survey codes.
 CROPS = ["maize-dry", "maize-green", "beans"]
@@ -140,12 +141,9 @@ def chemical_prices(inputs: DataFrame, bad_price: float | None = 76500.0) -> Dat
     """
     rows = pest_chemicals(inputs, bad_price)
     kinds = [*[k.lower() for k in PEST_KINDS], "chem"]
-    fine = rows.groupBy("dist", "hhid", "crop", "kind").agg(
-        F.avg("price").alias("price"), F.sum("kg").alias("kg"), F.sum("kes").alias("kes")
-    )
     # one row per household and crop, with the logged prices side by side
-    per_kind = [F.max(F.when(F.col("kind") == k, log_positive("price"))).alias(k) for k in kinds[:-1]]
-    home = fine.groupBy("dist", "hhid", "crop").agg(*per_kind, log_positive(ratio(F.sum("kes"), F.sum("kg"))).alias("chem"))
+    per_kind = [log_positive(F.avg(F.when(F.col("kind") == k, F.col("price")))).alias(k) for k in kinds[:-1]]
+    home = rows.groupBy("dist", "hhid", "crop").agg(*per_kind, log_positive(ratio(F.sum("kes"), F.sum("kg"))).alias("chem"))
     spread = home.groupBy("dist", "crop").agg(
         *[F.avg(k).alias(f"{k}_m") for k in kinds], *[F.stddev_samp(k).alias(f"{k}_s") for k in kinds]
     )
@@ -244,7 +242,9 @@ def model_table(
     farms = farm_table(
         crop, field, fert, inputs, labour, household_rain(rain, climate), crop_price, activities, household_heads(members, sizes), later
     )
-    return dimension_join(farms, chemical_prices(inputs), ["dist", "crop"], "left")
+    # the size check and the join read it
+    prices = materialise(chemical_prices(inputs))
+    return dimension_join(farms, prices, ["dist", "crop"], "left")
 
 
 def log_table(farms: DataFrame, crop: str, continuous: list[str], flags: list[str]) -> DataFrame:
