@@ -18,17 +18,22 @@ contexts share a string only if they share the core of one of five ranges of off
 in common. Cores are counted by 128-bit hashes; where one repeats, the strings around it are classes by hash, and a class's least
 and greatest place give the previous and next factor. Both steps are sums, linear in the contexts, whatever they have in
 common. Intermediate tables go to the shared folder.
+
+Passages of ``WORDS`` words that another document holds too are reported beside, as they may be shorter than ``LENGTH`` bytes. A
+text is then a string of words, runs without ASCII white space, each a unit of 8 bytes, its hash. Anchors and groups are those above; all groups
+go by cores and classes, and a class counts if two documents have it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldledger.llm.registry import doc_query, table
@@ -36,6 +41,9 @@ from fieldledger.llm.rows import map_rows, shared_table, ship_package, text_colu
 
 LENGTH, GRAM = 400, 64
 SHARE = 1024
+#: Words of a passage and of the grams in it, and bytes of a word's hash.
+WORDS, WORD_GRAM, WORD = 51, 8, 8
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Ranges of anchor offsets, less one, whose strings share a core.
 CORES = 4
 #: Bytes of context whose suffixes are sorted at a time, if the groups allow; bytes of text hashed at a time.
@@ -61,12 +69,27 @@ class Powers:
                 setattr(self, name, np.multiply.accumulate(powers))
 
 
-def gram_keys(a: np.ndarray, gram: int, powers: Powers) -> np.ndarray:
+def units(text: str, unit: int) -> bytes:
+    """The text's bytes or, where a unit is a word, the hashes of its words, made of a stretch at a time."""
+    raw = text.encode("utf-8", "surrogatepass")
+    if unit == 1:
+        return raw
+    out, at = [], 0
+    while at < len(raw):
+        cut_at = SPACE.search(raw, at + STRETCH)
+        end = cut_at.start() if cut_at else len(raw)
+        out.append(np.fromiter(map(xxhash.xxh3_64_intdigest, raw[at:end].split()), np.uint64).tobytes())
+        at = end
+    return b"".join(out)
+
+
+def gram_keys(raw: bytes, gram: int, powers: Powers, unit: int = 1) -> np.ndarray:
     """Per gram its mixed rolling hash, with the position in the low bits so that the leftmost of equals is least."""
+    a = powers.byte[np.frombuffer(raw, np.uint8)] if unit == 1 else np.frombuffer(raw, np.uint64)
     n = len(a) - gram + 1
     powers.grow(len(a) + 1)
     sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(powers.byte[a] * powers.up[: len(a)], out=sums[1:])
+    np.cumsum(a * powers.up[: len(a)], out=sums[1:])
     h = (sums[gram:] - sums[:n]) * powers.down[:n]
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return (h & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64)
@@ -83,14 +106,14 @@ def window_minima(keys: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(raw: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int]]:
+def anchors(raw: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM, unit: int = 1) -> Iterator[tuple[int, int, int]]:
     """``(anchor, first start, last start)`` of runs of starts that share an anchor, from left to right.
 
     A long text is taken in stretches; a run that crosses from one to the next is given in two parts.
     """
-    for at in range(0, max(0, len(raw) - length + 1), STRETCH):
-        a = np.frombuffer(raw, np.uint8, min(STRETCH + length - 1, len(raw) - at), at)
-        owner = (window_minima(gram_keys(a, gram, powers), length - gram + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
+    for at in range(0, max(0, len(raw) // unit - length + 1), STRETCH):
+        part = memoryview(raw)[unit * at : unit * (at + STRETCH + length - 1)]
+        owner = (window_minima(gram_keys(part, gram, powers, unit), length - gram + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         last = np.r_[first[1:], len(owner)] - 1
         yield from zip((owner[first] + at).tolist(), (first + at).tolist(), (last + at).tolist(), strict=True)
@@ -100,7 +123,7 @@ def signed(h: int) -> int:
     return h - (h >> 63 << 64)
 
 
-def occurrences(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def occurrences(rows: DataFrame, length: int, gram: int, unit: int = 1) -> DataFrame:
     """``ah, ctx, doc, th, lo, hi``: hashes of an anchor's gram and of its context, and the starts that belong to it."""
 
     def make():
@@ -108,11 +131,11 @@ def occurrences(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
         def run(docs, marks, texts):
             for d, m, t in zip(docs, marks, texts, strict=True):
-                raw = t.encode("utf-8", "surrogatepass")
-                for p, lo, hi in anchors(raw, powers, length, gram):
-                    ah = xxhash.xxh3_64_intdigest(raw[p : p + gram])
+                raw = units(t, unit)
+                for p, lo, hi in anchors(raw, powers, length, gram, unit):
+                    ah = xxhash.xxh3_64_intdigest(raw[unit * p : unit * (p + gram)])
                     # where the anchor stands in the context is part of it
-                    ctx = xxhash.xxh3_64_intdigest(raw[lo : hi + length], p - lo)
+                    ctx = xxhash.xxh3_64_intdigest(raw[unit * lo : unit * (hi + length)], p - lo)
                     yield signed(ah), signed(ctx), d, m, lo, hi
 
         return run
@@ -120,43 +143,47 @@ def occurrences(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return map_rows(rows, [F.col("doc"), F.col("th"), F.col("text")], "ah bigint, ctx bigint, doc bigint, th bigint, lo int, hi int", make)
 
 
-def grouped(occ: DataFrame, share: int) -> DataFrame:
+def document() -> Column:
+    return F.xxhash64("doc", "th")
+
+
+def grouped(occ: DataFrame, share: int, across: bool = False) -> DataFrame:
     """The occurrences that matter, with what is known of them.
 
-    ``whole``: the context occurs more than once. ``shown``: the suffix step needs it. ``least``: it is the first of
+    ``whole``: the context occurs more than once or, with ``across``, in two documents. ``shown``: the later steps need it; of a context that
+    is whole they need one. ``least``: it is the first of
     its context. ``large``: the group has too many contexts to meet in one task. The sums are written before they are joined: a join whose
     sides both come straight from a shuffle can split the rows of a hot gram over tasks, one above an aggregate can not.
     """
-    repeated = shared_table(occ.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ah"))
+    twice = F.min(document()) < F.max(document()) if across else F.count(F.lit(1)) > 1
+    repeated = shared_table(occ.groupBy("ah").agg(twice.alias("twice")).filter("twice").select("ah"))
     kept = shared_table(occ.join(repeated, "ah", "left_semi"))
-    contexts = shared_table(
-        kept.groupBy("ah", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "lo")).alias("first"))
-    )
+    contexts = shared_table(kept.groupBy("ah", "ctx").agg(twice.alias("whole"), F.min(F.struct("doc", "th", "lo")).alias("first")))
     groups = shared_table(contexts.groupBy("ah").agg(F.count(F.lit(1)).alias("m")))
-    known = contexts.join(groups, "ah").select("ah", "ctx", "n", "first", "m")
+    known = contexts.join(groups, "ah").select("ah", "ctx", "whole", "first", "m")
     told = kept.join(known, ["ah", "ctx"])
     least = F.col("first") == F.struct("doc", "th", "lo")
     return told.select(
-        "ah", "ctx", "doc", "th", "lo", "hi",
-        (F.col("n") > 1).alias("whole"),
-        ((F.col("m") > 1) & least).alias("shown"),
+        "ah", "ctx", "doc", "th", "lo", "hi", "whole",
+        ((F.col("m") > 1) & (least | ~F.col("whole"))).alias("shown"),
         least.alias("least"),
         (F.col("m") > share).alias("large"),
     )
 
 
-def shown_contexts(rows: DataFrame, told: DataFrame, length: int) -> DataFrame:
-    """Bytes of the contexts that the suffix step needs, from one more reading of the texts."""
-    entry = F.struct("lo", "hi", "ah", "ctx", "whole", "large")
+def shown_contexts(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """Bytes of the contexts that the later steps need, ``lo`` to ``end`` in their unit, from one more reading of the texts."""
+    entry = F.struct("lo", "end", "unit", "ah", "ctx", "whole", "large")
     wanted = told.filter("shown").groupBy("doc", "th").agg(F.collect_list(entry).alias("entries"))
-    ddl = "ah bigint, ctx bigint, large boolean, doc bigint, th bigint, lo int, whole boolean, context binary"
+    ddl = "unit int, ah bigint, ctx bigint, large boolean, doc bigint, th bigint, lo int, whole boolean, context binary"
 
     def make():
         def run(docs, marks, texts, entries):
             for d, m, t, found in zip(docs, marks, texts, entries, strict=True):
-                raw = t.encode("utf-8", "surrogatepass")
+                raw = {u: units(t, u) for u in {e["unit"] for e in found}}
                 for e in found:
-                    yield e["ah"], e["ctx"], e["large"], d, m, e["lo"], e["whole"], raw[e["lo"] : e["hi"] + length]
+                    u = e["unit"]
+                    yield u, e["ah"], e["ctx"], e["large"], d, m, e["lo"], e["whole"], raw[u][u * e["lo"] : u * e["end"]]
 
         return run
 
@@ -265,60 +292,67 @@ def halves(h: int) -> tuple[int, int]:
     return signed(h >> 64), signed(h & 0xFFFFFFFFFFFFFFFF)
 
 
-def offset_ranges(context: bytes, length: int, gram: int, powers: Powers) -> Iterator[tuple[int, int, int, bytes]]:
+def offset_ranges(context: bytes, length: int, gram: int, powers: Powers, unit: int = 1) -> Iterator[tuple[int, int, int, bytes]]:
     """``(range, first start, last start, core)`` of each range of anchor offsets that starts of the context fall in."""
     width = max(1, (length - gram) // CORES)
-    at = int(gram_keys(np.frombuffer(context, np.uint8, length), gram, powers).min() & np.uint64(0xFFFFFF))
-    last = len(context) - length
+    at = int(gram_keys(context[: unit * length], gram, powers, unit).min() & np.uint64(0xFFFFFF))
+    last = len(context) // unit - length
     for g in range((at - last) // width, at // width + 1):
         core = at - width * g
-        yield g, max(0, core - width + 1), min(last, core), context[core : core + length - width + 1]
+        yield g, max(0, core - width + 1), min(last, core), context[unit * core : unit * (core + length - width + 1)]
+
+
+def classes(rows: DataFrame, at: str, across: bool) -> DataFrame:
+    """``h1, h2, a, b``: the hashes that two places have, the least and the greatest of them; with ``across``, that two documents have.
+
+    A whole context is shown in one document, but two have it.
+    """
+    place = document() if across else F.struct("doc", "th", at)
+    sums = rows.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("whole").alias("whole"))
+    return sums.filter("a < b OR whole" if across else "a < b").select("h1", "h2", "a", "b")
 
 
-def repeated_cores(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+def repeated_cores(contexts: DataFrame, length: int, gram: int, unit: int, across: bool) -> DataFrame:
     """``ah, ctx, ranges``: the ranges of offsets of each context whose core another place has too."""
 
     def make():
         powers = Powers()
 
-        def run(heads, hashes, docs, marks, los, texts):
-            for ah, ctx, d, m, lo, c in zip(heads, hashes, docs, marks, los, texts, strict=True):
-                for g, _, _, core in offset_ranges(c, length, gram, powers):
-                    yield *halves(xxhash.xxh3_128_intdigest(core, g)), g, ah, ctx, d, m, lo
+        def run(heads, hashes, docs, marks, los, wholes, texts):
+            for ah, ctx, d, m, lo, whole, c in zip(heads, hashes, docs, marks, los, wholes, texts, strict=True):
+                for g, _, _, core in offset_ranges(c, length, gram, powers, unit):
+                    yield *halves(xxhash.xxh3_128_intdigest(core, g)), g, ah, ctx, d, m, lo, whole
 
         return run
 
-    ddl = "h1 bigint, h2 bigint, g int, ah bigint, ctx bigint, doc bigint, th bigint, lo int"
-    cores = shared_table(map_rows(contexts, [F.col(c) for c in ("ah", "ctx", "doc", "th", "lo", "context")], ddl, make))
-    place = F.struct("doc", "th", "lo")
-    twice = cores.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b").select("h1", "h2")
+    ddl = "h1 bigint, h2 bigint, g int, ah bigint, ctx bigint, doc bigint, th bigint, lo int, whole boolean"
+    cores = shared_table(map_rows(contexts, [F.col(c) for c in ("ah", "ctx", "doc", "th", "lo", "whole", "context")], ddl, make))
+    twice = classes(cores, "lo", across).select("h1", "h2")
     # written first, so that the join can split a core that very many contexts share
     return cores.join(shared_table(twice), ["h1", "h2"], "left_semi").groupBy("ah", "ctx").agg(F.collect_set("g").alias("ranges"))
 
 
-def large_groups(contexts: DataFrame, length: int, gram: int, keep_first: bool) -> DataFrame:
-    """Covered byte ranges of the contexts of large groups, ``doc, th, start, end``, from counts of hashes alone."""
-    chosen = contexts.join(shared_table(repeated_cores(contexts, length, gram)), ["ah", "ctx"])
+def large_groups(contexts: DataFrame, length: int, gram: int, keep_first: bool = False, unit: int = 1, across: bool = False) -> DataFrame:
+    """Covered ranges of the contexts of large groups, ``doc, th, start, end``, from counts of hashes alone."""
+    chosen = contexts.join(shared_table(repeated_cores(contexts, length, gram, unit, across)), ["ah", "ctx"])
 
     def make():
         powers = Powers()
 
         def run(docs, marks, los, wholes, texts, ranges):
             for d, m, lo, whole, c, kept in zip(docs, marks, los, wholes, texts, ranges, strict=True):
-                for g, first, last, _ in offset_ranges(c, length, gram, powers):
+                for g, first, last, _ in offset_ranges(c, length, gram, powers, unit):
                     if g in kept:
                         for x in range(first, last + 1):
-                            yield *halves(xxhash.xxh3_128_intdigest(c[x : x + length])), d, m, lo, lo + x, whole
+                            yield *halves(xxhash.xxh3_128_intdigest(c[unit * x : unit * (x + length)])), d, m, lo, lo + x, whole
 
         return run
 
     ddl = "h1 bigint, h2 bigint, doc bigint, th bigint, lo int, start int, whole boolean"
     inputs = [F.col(c) for c in ("doc", "th", "lo", "whole", "context", "ranges")]
     starts = shared_table(map_rows(chosen, inputs, ddl, make))
-    place = F.struct("doc", "th", "start")
-    classes = starts.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b")
-    hit = starts.join(shared_table(classes), ["h1", "h2"])
-    hit = hit.filter(F.col("a") < place) if keep_first else hit.filter("NOT whole")
+    hit = starts.join(shared_table(classes(starts, "start", across)), ["h1", "h2"])
+    hit = hit.filter(F.col("a") < F.struct("doc", "th", "start")) if keep_first else hit.filter("NOT whole")
     # a context has fewer starts than a string has bytes
     runs = hit.groupBy("doc", "th", "lo").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
@@ -335,31 +369,58 @@ def large_groups(contexts: DataFrame, length: int, gram: int, keep_first: bool)
     return map_rows(runs, [F.col(c) for c in ("doc", "th", "starts")], "doc bigint, th bigint, start bigint, end bigint", join_up)
 
 
-def repeated_ranges(docs: DataFrame, length: int, gram: int, share: int, keep_first: bool) -> DataFrame:
-    """``doc, th, ranges``: byte ranges of each keyed document that repeated strings cover."""
+def repeated_ranges(docs: DataFrame, length: int, gram: int, share: int, keep_first: bool, words: int, word_gram: int) -> DataFrame:
+    """``doc, th, ranges, passages``: of each keyed document, what repeated strings cover, in bytes, and what passages that
+    another document holds too cover, in words."""
     ship_package(docs.sparkSession)
     told = shared_table(grouped(shared_table(occurrences(docs, length, gram)), share))
-    whole = told.filter("whole and not least" if keep_first else "whole")
-    ranges = whole.select("doc", "th", F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("end"))
+    worded = shared_table(occurrences(docs, words, word_gram, WORD))
+    shared = shared_table(grouped(worded, 0, across=True))
+    end = lambda n: (F.col("hi") + n).alias("end")
     # written, as large groups are read several times and the texts should be read once
-    contexts = shared_table(shown_contexts(docs, told, length))
-    dealt = contexts.filter("NOT large").select("ah", "doc", "th", "lo", "whole", "context").repartition("ah").sortWithinPartitions("ah")
-    found = ranges.unionByName(dealt.mapInArrow(suffix_step(length, keep_first), "doc bigint, th bigint, start bigint, end bigint"))
-    if not contexts.filter("large").isEmpty():
-        found = found.unionByName(large_groups(contexts.filter("large"), length, gram, keep_first))
-    return found.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    both = told.select("*", end(length), F.lit(1).alias("unit")).unionByName(shared.select("*", end(words), F.lit(WORD).alias("unit")))
+    contexts = shared_table(shown_contexts(docs, both))
+
+    found = ranges_of(told.filter("whole and not least" if keep_first else "whole"), end(length))
+    of_bytes = contexts.filter("unit = 1")
+    dealt = of_bytes.filter("NOT large").select("ah", "doc", "th", "lo", "whole", "context").repartition("ah").sortWithinPartitions("ah")
+    found = found.unionByName(dealt.mapInArrow(suffix_step(length, keep_first), "doc bigint, th bigint, start bigint, end bigint"))
+    if not of_bytes.filter("large").isEmpty():
+        found = found.unionByName(large_groups(of_bytes.filter("large"), length, gram, keep_first))
+
+    passages = ranges_of(shared.filter("whole"), end(words))
+    passages = passages.unionByName(large_groups(contexts.filter(F.col("unit") == WORD), words, word_gram, unit=WORD, across=True))
+    # rows that repeat hold all of each other, but are one document above
+    copies = worded.groupBy("doc", "th").agg(F.count_if(F.col("lo") == 0).alias("n"), F.lit(0).alias("lo"), F.max("hi").alias("hi"))
+    passages = passages.unionByName(ranges_of(copies.filter("n > 1"), end(words)))
+
+    span = F.struct("start", "end")
+    spans = found.select("*", F.lit(1).alias("unit")).unionByName(passages.select("*", F.lit(WORD).alias("unit")))
+    return spans.groupBy("doc", "th").agg(
+        F.collect_set(F.when(F.col("unit") == 1, span)).alias("ranges"), F.collect_set(F.when(F.col("unit") == WORD, span)).alias("passages")
+    )
 
 
-def cut(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], bytes]:
-    """Maximal runs of covered bytes, and the bytes that are left."""
+def ranges_of(rows: DataFrame, end: Column) -> DataFrame:
+    return rows.select("doc", "th", F.col("lo").cast("long").alias("start"), end.cast("long").alias("end"))
+
+
+def joined_up(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of what the ranges cover."""
     runs: list[list[int]] = []
     for a, b in sorted(ranges):
         if runs and a <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], b)
         else:
             runs.append([a, b])
+    return [(a, b) for a, b in runs]
+
+
+def cut(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], bytes]:
+    """Maximal runs of covered bytes, and the bytes that are left."""
+    runs = joined_up(ranges)
     edges = [0, *(x for r in runs for x in r), len(raw)]
-    return [(a, b) for a, b in runs], b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+    return runs, b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
 def without_repeats(
@@ -370,13 +431,18 @@ def without_repeats(
     gram: int = GRAM,
     share: int = SHARE,
     keep_first: bool = False,
+    words: int = WORDS,
+    word_gram: int = WORD_GRAM,
 ) -> DataFrame:
-    """``doc_id, n_bytes, runs, kept_sha256`` of every row: what repeated strings of ``length`` bytes cover.
+    """``doc_id, n_bytes, runs, kept_sha256, passages`` of every row: what repeated strings of ``length`` bytes cover.
 
     Every byte covered by a string that also starts elsewhere goes; with ``keep_first`` only what an earlier
     string repeats, in the order of ids, hashes of texts and positions. A null text reads as empty, texts shorter than
     ``length`` are untouched. Repeated rows are copies of each other: without ``keep_first`` both go, with it
     both stay, as nothing tells them apart. Null ids are kept.
+
+    ``passages`` are the maximal runs of words, counted from 0, that passages of ``words`` words cover which another row holds
+    too. They are told whatever their bytes, and nothing is removed for them.
     """
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
@@ -384,27 +450,33 @@ def without_repeats(
         F.xxhash64(text_column(text), F.isnull(doc_id)).alias("th"),
         text_column(text).alias("text"),
     )
-    ranges = repeated_ranges(rows.select("doc", "th", "text"), length, gram, share, keep_first)
+    ranges = repeated_ranges(rows.select("doc", "th", "text"), length, gram, share, keep_first, words, word_gram)
 
     def make():
-        def run(ids, texts, found):
-            for i, t, r in zip(ids, texts, found, strict=True):
+        pairs = lambda found: [(x["start"], x["end"]) for x in found or ()]
+        spans = lambda runs: [{"start": a, "end": b} for a, b in runs]
+
+        def run(ids, texts, found, passages):
+            for i, t, r, p in zip(ids, texts, found, passages, strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
-                runs, left = cut(raw, [(x["start"], x["end"]) for x in r or ()])
-                yield i, len(raw), [{"start": a, "end": b} for a, b in runs], hashlib.sha256(left).hexdigest()
+                runs, left = cut(raw, pairs(r))
+                yield i, len(raw), spans(runs), hashlib.sha256(left).hexdigest(), spans(joined_up(pairs(p)))
 
         return run
 
-    ddl = "doc_id bigint, n_bytes bigint, runs array<struct<start:bigint,end:bigint>>, kept_sha256 string"
+    span = "array<struct<start:bigint,end:bigint>>"
+    ddl = f"doc_id bigint, n_bytes bigint, runs {span}, kept_sha256 string, passages {span}"
     joined = rows.join(ranges, ["doc", "th"], "left")
-    return map_rows(joined, [F.col("doc_id"), F.col("text"), F.col("ranges")], ddl, make)
+    return map_rows(joined, [F.col(c) for c in ("doc_id", "text", "ranges", "passages")], ddl, make)
 
 
 @doc_query("op4_suffix_repeats")
 def op4(spark, directory):
     found = without_repeats(table(spark, directory, "documents"))
-    n_removed = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    covered = lambda runs: F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
     return found.select(
-        "doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), "kept_sha256",
+        "doc_id", "n_bytes", covered("runs").alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), "kept_sha256",
         (F.size("runs") > 0).alias("has_repeats"),
+        covered("passages").alias("n_passage_words"),
+        (F.size("passages") > 0).alias("has_passages"),
     )
