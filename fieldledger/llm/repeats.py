@@ -43,6 +43,8 @@ LENGTH, GRAM = 400, 64
 SHARE = 1024
 #: Words of a passage and of the grams in it, and bytes of a word's hash.
 WORDS, WORD_GRAM, WORD = 51, 8, 8
+#: Longer words, in bytes, are not hashed by the rolling hash.
+LONG_WORD = 32
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Ranges of anchor offsets, less one, whose strings share a core.
 CORES = 4
@@ -53,13 +55,14 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 class Powers:
-    """Powers of the rolling hash's base and of its inverse, and a fixed number for each byte."""
+    """Powers of the rolling hash's base and of its inverse, a fixed number for each byte, and which bytes part words."""
 
     def __init__(self):
         self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
         x = np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         self.byte = x ^ (x >> np.uint64(32))
+        self.space = np.array([SPACE.match(bytes([b])) is not None for b in range(256)])
 
     def grow(self, n: int) -> None:
         if len(self.up) < n:
@@ -69,7 +72,7 @@ class Powers:
                 setattr(self, name, np.multiply.accumulate(powers))
 
 
-def units(text: str, unit: int) -> bytes:
+def units(text: str, unit: int, powers: Powers) -> bytes:
     """The text's bytes or, where a unit is a word, the hashes of its words, made of a stretch at a time."""
     raw = text.encode("utf-8", "surrogatepass")
     if unit == 1:
@@ -78,11 +81,29 @@ def units(text: str, unit: int) -> bytes:
     while at < len(raw):
         cut_at = SPACE.search(raw, at + STRETCH)
         end = cut_at.start() if cut_at else len(raw)
-        out.append(np.fromiter(map(xxhash.xxh3_64_intdigest, raw[at:end].split()), np.uint64).tobytes())
+        out.append(word_hashes(raw[at:end], powers))
         at = end
     return b"".join(out)
 
 
+def word_hashes(raw: bytes, powers: Powers) -> bytes:
+    """Per word its mixed rolling hash, eight bytes each; long words, in which the rolling hash has patterns, get another."""
+    a = np.frombuffer(raw, np.uint8)
+    space = np.ones(len(a) + 2, bool)
+    space[1:-1] = powers.space[a]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    begins, ends = edges[::2], edges[1::2]
+    powers.grow(len(a) + 1)
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(powers.byte[a] * powers.up[: len(a)], out=sums[1:])
+    h = (sums[ends] - sums[begins]) * powers.down[begins]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    for k in np.flatnonzero(ends - begins > LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(raw[begins[k] : ends[k]])
+    return h.tobytes()
+
+
 def gram_keys(raw: bytes, gram: int, powers: Powers, unit: int = 1) -> np.ndarray:
     """Per gram its mixed rolling hash, with the position in the low bits so that the leftmost of equals is least."""
     a = powers.byte[np.frombuffer(raw, np.uint8)] if unit == 1 else np.frombuffer(raw, np.uint64)
@@ -123,24 +144,29 @@ def signed(h: int) -> int:
     return h - (h >> 63 << 64)
 
 
-def occurrences(rows: DataFrame, length: int, gram: int, unit: int = 1) -> DataFrame:
-    """``ah, ctx, doc, th, lo, hi``: hashes of an anchor's gram and of its context, and the starts that belong to it."""
+def occurrences(rows: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFrame:
+    """``unit, ah, ctx, doc, th, lo, hi``: hashes of an anchor's gram and of its context, and the starts that belong to it.
+
+    Each kind is ``(length, gram, unit)``; the texts are read once for all.
+    """
 
     def make():
         powers = Powers()
 
         def run(docs, marks, texts):
             for d, m, t in zip(docs, marks, texts, strict=True):
-                raw = units(t, unit)
-                for p, lo, hi in anchors(raw, powers, length, gram, unit):
-                    ah = xxhash.xxh3_64_intdigest(raw[unit * p : unit * (p + gram)])
-                    # where the anchor stands in the context is part of it
-                    ctx = xxhash.xxh3_64_intdigest(raw[unit * lo : unit * (hi + length)], p - lo)
-                    yield signed(ah), signed(ctx), d, m, lo, hi
+                for length, gram, unit in kinds:
+                    raw = units(t, unit, powers)
+                    for p, lo, hi in anchors(raw, powers, length, gram, unit):
+                        ah = xxhash.xxh3_64_intdigest(raw[unit * p : unit * (p + gram)])
+                        # where the anchor stands in the context is part of it
+                        ctx = xxhash.xxh3_64_intdigest(raw[unit * lo : unit * (hi + length)], p - lo)
+                        yield unit, signed(ah), signed(ctx), d, m, lo, hi
 
         return run
 
-    return map_rows(rows, [F.col("doc"), F.col("th"), F.col("text")], "ah bigint, ctx bigint, doc bigint, th bigint, lo int, hi int", make)
+    ddl = "unit int, ah bigint, ctx bigint, doc bigint, th bigint, lo int, hi int"
+    return map_rows(rows, [F.col("doc"), F.col("th"), F.col("text")], ddl, make)
 
 
 def document() -> Column:
@@ -178,9 +204,11 @@ def shown_contexts(rows: DataFrame, told: DataFrame) -> DataFrame:
     ddl = "unit int, ah bigint, ctx bigint, large boolean, doc bigint, th bigint, lo int, whole boolean, context binary"
 
     def make():
+        powers = Powers()
+
         def run(docs, marks, texts, entries):
             for d, m, t, found in zip(docs, marks, texts, entries, strict=True):
-                raw = {u: units(t, u) for u in {e["unit"] for e in found}}
+                raw = {u: units(t, u, powers) for u in {e["unit"] for e in found}}
                 for e in found:
                     u = e["unit"]
                     yield u, e["ah"], e["ctx"], e["large"], d, m, e["lo"], e["whole"], raw[u][u * e["lo"] : u * e["end"]]
@@ -373,8 +401,9 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, share: int, keep_fi
     """``doc, th, ranges, passages``: of each keyed document, what repeated strings cover, in bytes, and what passages that
     another document holds too cover, in words."""
     ship_package(docs.sparkSession)
-    told = shared_table(grouped(shared_table(occurrences(docs, length, gram)), share))
-    worded = shared_table(occurrences(docs, words, word_gram, WORD))
+    occ = shared_table(occurrences(docs, [(length, gram, 1), (words, word_gram, WORD)]))
+    told = shared_table(grouped(occ.filter("unit = 1").drop("unit"), share))
+    worded = occ.filter(F.col("unit") == WORD).drop("unit")
     shared = shared_table(grouped(worded, 0, across=True))
     end = lambda n: (F.col("hi") + n).alias("end")
     # written, as large groups are read several times and the texts should be read once
