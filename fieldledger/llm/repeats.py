@@ -50,6 +50,8 @@ SPACE = re.compile(rb"[\x20\x09-\x0D]")
 CORES = 4
 #: Bytes of context whose suffixes are sorted at a time, if the groups allow; bytes of text hashed at a time.
 SORTED_BYTES, STRETCH = 1 << 20, 1 << 22
+#: Bytes of texts whose anchors are sought at a time, with the rest of the last text.
+JOINED_BYTES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -140,6 +142,22 @@ def anchors(raw: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM,
         yield from zip((owner[first] + at).tolist(), (first + at).tolist(), (last + at).tolist(), strict=True)
 
 
+def anchors_of_all(raws: list[bytes], powers: Powers, length: int, gram: int, unit: int) -> Iterator[tuple[int, int, int, int]]:
+    """``(which text, anchor, first start, last start)`` as ``anchors`` gives them for each, from many short texts in one string."""
+    sizes = np.array([len(r) for r in raws], np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // JOINED_BYTES)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(raws)], strict=True):
+        ends = np.cumsum(sizes[a:b] // unit)
+        found = np.array(list(anchors(b"".join(raws[a:b]), powers, length, gram, unit)), np.int64).reshape(-1, 3)
+        # a string within a text has its anchor there; strings that cross to the next text are left out
+        which = np.searchsorted(ends, found[:, 0], "right")
+        begin = np.r_[0, ends][which]
+        first = np.maximum(found[:, 1], begin)
+        last = np.minimum(found[:, 2], ends[which] - length)
+        at = np.flatnonzero(first <= last)
+        yield from zip(*(c[at].tolist() for c in (which + a, found[:, 0] - begin, first - begin, last - begin)), strict=True)
+
+
 def signed(h: int) -> int:
     return h - (h >> 63 << 64)
 
@@ -154,14 +172,14 @@ def occurrences(rows: DataFrame, kinds: list[tuple[int, int, int]]) -> DataFrame
         powers = Powers()
 
         def run(docs, marks, texts):
-            for d, m, t in zip(docs, marks, texts, strict=True):
-                for length, gram, unit in kinds:
-                    raw = units(t, unit, powers)
-                    for p, lo, hi in anchors(raw, powers, length, gram, unit):
-                        ah = xxhash.xxh3_64_intdigest(raw[unit * p : unit * (p + gram)])
-                        # where the anchor stands in the context is part of it
-                        ctx = xxhash.xxh3_64_intdigest(raw[unit * lo : unit * (hi + length)], p - lo)
-                        yield unit, signed(ah), signed(ctx), d, m, lo, hi
+            for length, gram, unit in kinds:
+                raws = [units(t, unit, powers) for t in texts]
+                for k, p, lo, hi in anchors_of_all(raws, powers, length, gram, unit):
+                    raw = raws[k]
+                    ah = xxhash.xxh3_64_intdigest(raw[unit * p : unit * (p + gram)])
+                    # where the anchor stands in the context is part of it
+                    ctx = xxhash.xxh3_64_intdigest(raw[unit * lo : unit * (hi + length)], p - lo)
+                    yield unit, signed(ah), signed(ctx), docs[k], marks[k], lo, hi
 
         return run
 

@@ -213,6 +213,18 @@ def test_anchors_give_every_start_once():
         assert all(lo <= p <= hi + 44 and p - lo <= 44 for p, lo, hi in runs)
 
 
+def test_anchors_of_many_texts_are_those_of_each(monkeypatch):
+    powers = repeats.Powers()
+    rnd = random.Random(13)
+    for joined in (repeats.JOINED_BYTES, 64):
+        monkeypatch.setattr(repeats, "JOINED_BYTES", joined)
+        for unit in (1, 8):
+            for _ in range(60):
+                raws = [bytes(rnd.choice(b"ab") for _ in range(unit * rnd.choice([0, 3, 30, 90]))) for _ in range(rnd.randint(0, 9))]
+                want = [(k, *x) for k, r in enumerate(raws) for x in repeats.anchors(r, powers, 20, 6, unit)]
+                assert list(repeats.anchors_of_all(raws, powers, 20, 6, unit)) == want
+
+
 def test_offset_ranges_hold_every_start_once_and_a_core_all_its_strings_have():
     powers = repeats.Powers()
     rnd = random.Random(11)
